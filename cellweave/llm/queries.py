@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import read
+from cellweave.llm.simhash import near_duplicates
 from cellweave.llm.substring import dedup_substrings
 
 
@@ -18,8 +19,17 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    bits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return near_duplicates(docs).select(F.col("id").alias("doc_id"), bits.alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_substring_dedup": op3_substring_dedup}
+    return {
+        "op3_substring_dedup": op3_substring_dedup,
+        "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
