@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -72,3 +74,11 @@ def pack_sorted(values: np.ndarray) -> bytes:
 
 def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
+
+
+def slices(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few megabytes, so that what is made of a part stays small too."""
+    for batch in batches:
+        rows = max(1, min(batch.num_rows, most * batch.num_rows // max(1, batch.nbytes)))
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
