@@ -1,15 +1,15 @@
 """SimHash near-dedup through anchor points of a covering code.
 
-A document's fingerprint has 64 bits. Two fingerprints within ``DISTANCE`` = 3 bits of each other differ
-in at most one bit on one of their 32-bit halves, so each half is searched with a threshold of one. The
-anchors of a half are the words of the Hamming code of length 31 over its low bits: a perfect code, every
-value lies within the covering radius, 1, of exactly one anchor, its home. A fingerprint is replicated to
-every anchor within covering radius plus threshold, 2: its home and 15 more at most. If two halves differ in
-one bit, the second is within 2 of the home of the first, so comparing the fingerprints at home with all
-that were replicated to the anchor finds every link.
-
-Only distinct fingerprints are replicated, 32 times at most. Anchors with many fingerprints are compared in
-blocks, each pair of blocks in its own task if need be; a task returns a spanning forest of the links it finds,
+A document's fingerprint has 64 bits, in two blocks of 32 or four of 16. Fingerprints within 3 bits of each other
+differ in at most one bit on one of two blocks, those within 7 on one of four, so each block is searched with a
+threshold of one. A block's anchors are the words of the Hamming code of length 31 (or 15) over its low bits, with its
+high bit as it is. That code is perfect: every value lies within the covering radius, 1, of exactly one anchor, its home.
+A fingerprint is replicated to every anchor within covering radius plus threshold, 2, on the low bits, and to its home
+with the other high bit: 17 (or 9) at most. If two blocks differ in one bit, the second reaches the home of the first, so
+comparing the fingerprints at home with all that were replicated to the anchor finds every link.
+
+Only distinct fingerprints are replicated, 34 or 36 times at most. Anchors with many fingerprints are compared in
+parts, each pair of parts in its own task if need be; a task returns a spanning forest of the links it finds,
 never all pairs of a group. The forests become components with a few joins.
 """
 
@@ -28,11 +28,12 @@ from cellweave.llm.components import components, local_forest
 
 SEED = 42
 DISTANCE = 3
+#: The width of the blocks for each largest distance.
+WIDTHS = {3: 32, 7: 16}
 #: Fingerprints of an anchor that one task compares with as many others, and pairs compared at once.
 BLOCK = 4096
 PAIRS = 1 << 21
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_HALF = np.uint64(0x7FFFFFFF)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -66,42 +67,33 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def _code() -> tuple[np.ndarray, np.ndarray]:
-    """Parity masks of the code's five checks; for each syndrome, the flips that lead to anchors within two."""
-    positions = np.arange(1, 32, dtype=np.uint64)
-    bit = np.uint64(1) << (positions - np.uint64(1))
-    masks = np.array([bit[(positions >> np.uint64(j)) & np.uint64(1) == 1].sum() for j in range(5)], np.uint64)
-    flips = np.zeros((32, 16), np.uint64)
-    for s in range(1, 32):
-        pairs = [int(bit[i - 1] | bit[(i ^ s) - 1]) for i in range(1, 32) if i < i ^ s and i != s]
-        flips[s] = [int(bit[s - 1]), *pairs]
+def _code(length: int) -> tuple[list[np.uint64], np.ndarray]:
+    """Parity masks of a Hamming code's checks; for each syndrome, the flips that lead to anchors within two."""
+    bit = [1 << (p - 1) for p in range(1, length + 1)]
+    masks = [np.uint64(sum(bit[p - 1] for p in range(1, length + 1) if p >> j & 1)) for j in range(length.bit_length())]
+    flips = np.zeros((length + 1, (length + 1) // 2), np.uint64)
+    for s in range(1, length + 1):
+        flips[s] = [bit[s - 1], *(bit[p - 1] | bit[(p ^ s) - 1] for p in range(1, length + 1) if p < p ^ s and p != s)]
     return masks, flips
 
 
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the fingerprint, anchor with its half in the high bits, whether it is home)."""
-    masks, flips = _code()
+def anchors(fp: np.ndarray, width: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the fingerprint, anchor with its block's number in the high bits, whether it is home)."""
+    masks, flips = _code(width - 1)
+    high = np.uint64(1 << (width - 1))
     out = []
-    for half in (0, 1):
-        value = (fp >> np.uint64(32 * half)) & _HALF
+    for block in range(64 // width):
+        value = (fp >> np.uint64(width * block)) & np.uint64((1 << width) - 1)
         syndrome = sum(((np.bitwise_count(value & m) & 1).astype(np.int64) << j) for j, m in enumerate(masks))
         near = value[:, None] ^ flips[syndrome]
+        near = np.concatenate([near, near[:, :1] ^ high], axis=1) | np.uint64(block << 32)
         use = np.ones(near.shape, bool)
-        use[syndrome == 0, 1:] = False
+        use[syndrome == 0, 1:-1] = False
         row, column = np.nonzero(use)
-        out.append((row, near[row, column] | np.uint64(half << 31), column == 0))
+        out.append((row, near[row, column], column == 0))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for k in range(0, len(fp), 1 << 13):
-            part = fp[k : k + (1 << 13)]
-            row, anchor, home = anchors(part)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(part[row].view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
-
-
 def _linked(keys: np.ndarray, side: np.ndarray, fp: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links of whole groups (rows ordered by key, home side first), each part as a forest."""
     starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
@@ -122,7 +114,17 @@ def _linked(keys: np.ndarray, side: np.ndarray, fp: np.ndarray, distance: int) -
 
 def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``(u, v)``: edges that connect the distinct fingerprints ``fp`` as all links within ``distance`` do."""
-    members = fps.select("fp").mapInArrow(_replicate, "anchor long, fp long, home boolean")
+    width = WIDTHS[min(d for d in WIDTHS if d >= distance)]
+
+    def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for k in range(0, len(fp), 1 << 13):
+                part = fp[k : k + (1 << 13)]
+                row, anchor, home = anchors(part, width)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(part[row].view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
+
+    members = fps.select("fp").mapInArrow(replicate, "anchor long, fp long, home boolean")
     counts = members.groupBy("anchor").agg(F.count("*").alias("n"), F.max("home").alias("homes")).where("n > 1 and homes")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.join(counts.select("anchor", blocks.alias("blocks")), "anchor").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
@@ -156,14 +158,14 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
     """One row per input row: ``id``, ``fp`` (fingerprint bits as a signed long) and ``component_id``.
 
-    A component holds all fingerprints reachable over links of ``distance`` (3 at most) or fewer bits;
+    A component holds all fingerprints reachable over links of ``distance`` (7 at most) or fewer bits;
     ``component_id`` is its smallest id. Texts are taken whole, A-Z in lower case; words are runs of anything
     but ASCII white space. Null and empty texts have fingerprint zero and link like any other. Rows with
     equal ids each get their row. A null id counts as larger than any; a component of null ids has a null
     ``component_id``. An empty table gives none.
     """
-    if not 0 <= distance <= DISTANCE:
-        raise ValueError("the two halves cover distances from 0 to 3")
+    if not 0 <= distance <= max(WIDTHS):
+        raise ValueError("the blocks cover distances from 0 to 7")
     docs = checkpointed(fingerprints(df, id_col, text_col, shingle))
     least = docs.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(least, distance))

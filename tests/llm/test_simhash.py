@@ -17,7 +17,7 @@ def plain(text, k=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def classes(ids, fps):
+def classes(ids, fps, distance=3):
     root = {f: f for f in fps}
 
     def find(x):
@@ -28,7 +28,7 @@ def classes(ids, fps):
     distinct = sorted(set(fps))
     for i, a in enumerate(distinct):
         for b in distinct[:i]:
-            if (a ^ b).bit_count() <= 3:
+            if (a ^ b).bit_count() <= distance:
                 root[find(a)] = find(b)
     least = {}
     for i, f in zip(ids, fps):
@@ -41,13 +41,23 @@ def test_every_value_has_one_home_and_its_neighbours_reach_it():
     rng = np.random.default_rng(1)
     fp = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
     row, anchor, home = anchors(fp)
-    assert (np.bincount(row[home]) == 2).all() and np.bincount(row).max() == 32
+    assert (np.bincount(row[home]) == 2).all() and np.bincount(row).max() == 34
     other = fp ^ (np.uint64(1) << rng.integers(0, 32, 300).astype(np.uint64)) ^ (np.uint64(3) << np.uint64(40))
     r2, a2, _ = anchors(other)
     homes = {i: set(anchor[home & (row == i)].tolist()) for i in range(300)}
     assert all(homes[i] & set(a2[r2 == i].tolist()) for i in range(300))
 
 
+def test_links_within_seven_meet_on_a_block_of_sixteen():
+    r = random.Random(4)
+    for _ in range(200):
+        f = g = r.getrandbits(64)
+        for bit in r.sample(range(64), r.randint(0, 7)):
+            g ^= 1 << bit
+        (_, a, home), (_, b, _) = (anchors(np.array([x], np.uint64), 16) for x in (f, g))
+        assert set(a[home].tolist()) & set(b.tolist())
+
+
 def test_fingerprints():
     r = random.Random(5)
     for _ in range(200):
@@ -88,8 +98,9 @@ def test_near_duplicates_against_brute_force(spark):
             rows.append((r.randint(0, 500), " ".join(w)))
             w[r.randrange(300)] = "edit"
     rows += [(9, None), (8, ""), (None, " "), (None, "only here"), rows[0], rows[0]]
-    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     fps = [plain(t) for _, t in rows]
-    want = sorted(zip([i for i, _ in rows], fps, classes([i for i, _ in rows], fps)), key=str)
-    assert sorted([(x.id, x.fp % (1 << 64), x.component_id) for x in got], key=str) == want
+    for distance in (3, 7):
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), distance=distance).collect()
+        want = sorted(zip([i for i, _ in rows], fps, classes([i for i, _ in rows], fps, distance)), key=str)
+        assert sorted([(x.id, x.fp % (1 << 64), x.component_id) for x in got], key=str) == want
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
