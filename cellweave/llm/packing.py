@@ -11,7 +11,9 @@ Two packers share the tokenizer and the cutting of overlong documents:
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,11 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cellweave.llm.common import MEMO_ENTRIES, slices
+from cellweave.llm.common import slices
 
+#: A task has one core.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
 LENGTH = 1024
 END = 2
+#: Pieces and words that a task's process remembers at most.
+REMEMBERED = 1_600_000
 #: Open sequences of a task, and pieces that it looks at together before it places the longest of them first.
 OPEN = 4096
 LOOKAHEAD = 1 << 15
@@ -37,27 +43,45 @@ POOL_TOKENS = 1 << 21
 MATRIX_ROWS = 64
 
 
-class PieceIds(dict):
-    """Piece of text, as the tokenizer itself splits it, to the bytes of its ids; remembered within bounds.
+#: White space that is no space, before a space: a run that a split at spaces would part.
+_PARTED = tuple(f"{chr(c)} " for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
-    The tokenizer encodes each piece separately, so the ids of a text are those of its pieces in turn.
+
+class PieceIds:
+    """Texts to ids. The tokenizer splits a text into pieces and encodes each for itself, so the ids of a text are those of its
+    pieces in turn; pieces, and the words between spaces that they make up, are remembered within bounds.
+
+    A piece begins with a space or at its side, never around it, unless spaces or other white space stand before a space.
+    Texts where these do are split into pieces whole; the others at their spaces first. New pieces go to the tokenizer together.
     """
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pattern = regex.compile(pattern)
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        value = self[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-        return value
-
-    def document(self, text: str | None, end: int) -> np.ndarray:
-        raw = b"".join(map(self.__getitem__, self.pattern.findall(text))) if text else b""
-        return np.append(np.frombuffer(raw, "<u4"), np.uint32(end))
+        self.pieces: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}
+
+    def documents(self, texts: list[str | None], end: int) -> list[np.ndarray]:
+        """The ids of each text, and ``end`` after them."""
+        if len(self.pieces) + len(self.spaced) > REMEMBERED:
+            self.pieces.clear()
+            self.spaced.clear()
+        find, one = self.pattern.findall, self.pieces.__getitem__
+        words = [None if not t or any(x in t for x in _PARTED) else t.split(" ") for t in texts]
+        first = [find(w[0] if w else t) if t else [] for t, w in zip(texts, words)]
+        new = set().union(*(w[1:] for w in words if w)).difference(self.spaced)
+        whole = [w for w in new if w.isascii() and w.isalpha()]
+        made = {w: find(f" {w}") for w in new.difference(whole)}
+        need = list({p for pieces in (*first, *made.values()) for p in pieces}.difference(self.pieces))
+        found = self.tokenizer.encode_batch_fast([*(f" {w}" for w in whole), *need], add_special_tokens=False)
+        raw = [array("I", x.ids).tobytes() for x in found]
+        self.spaced.update(zip(whole, raw))
+        self.pieces.update(zip(need, raw[len(whole) :]))
+        self.spaced.update((w, b"".join(map(one, pieces))) for w, pieces in made.items())
+        follow = self.spaced.__getitem__
+        last = np.array([end], "<u4").tobytes()
+        return [np.frombuffer(b"".join((*map(one, f), *map(follow, w[1:] if w else ()), last)), "<u4") for f, w in zip(first, words)]
 
 
 @lru_cache(maxsize=2)
@@ -120,8 +144,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         own, names = tokenizer(path), ["doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in slices(batches):
             rows = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = own.document(text, end)
+            for i, ids in zip(batch.column(0).to_pylist(), own.documents(batch.column(1).to_pylist(), end)):
                 rows += [(i, k, s, n, zlib.crc32(ids[s : s + n])) for k, (s, n) in enumerate(cuts(len(ids), length))]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
@@ -272,8 +295,7 @@ def pack_matrices(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pool, tokens = [], 0
 
         for batch in slices(batches):
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = own.document(text, end)
+            for i, ids in zip(batch.column(0).to_pylist(), own.documents(batch.column(1).to_pylist(), end)):
                 for s, n in cuts(len(ids), length):
                     if tokens + n > pool_tokens:
                         yield from flushed()

@@ -44,6 +44,18 @@ def test_places_are_gapless_and_pieces_whole(spark, rows):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_ids_are_the_tokenizers_own():
+    r = random.Random(11)
+    marks = [" ", "  ", "   ", "\n", " \n", "\n ", "\t ", "\xa0", "\xa0 ", "\x1c", "\x1d ", "\u2003 ", "\u3000", "'s", "a", "été", "x1", "²", "_", "!?", "日本", "don't"]
+    texts = ["".join(r.choice(marks) for _ in range(r.randint(0, 30))) for _ in range(3000)]
+    own = packing.PieceIds(packing.BPE_50K)
+    t = Tokenizer.from_file(packing.BPE_50K)
+    t.encode_special_tokens = True
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    got = [x.tolist() for k in range(0, 3000, 100) for x in own.documents(texts[k : k + 100], packing.END)]
+    assert got == [[*w, packing.END] for w in want]
+
+
 def test_packing_is_close_to_full():
     r = random.Random(1)
     sizes = [min(1024, int(r.lognormvariate(5.5, 1.2)) + 1) for _ in range(20000)]
