@@ -43,7 +43,7 @@ def inertia(labels: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
     return out.select(
         *keys, "label", "area", (4 * F.sqrt("l0")).alias("major_axis_length"), (4 * F.sqrt("l1")).alias("minor_axis_length"),
         (F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2).alias("orientation"),
-        F.coalesce(F.sqrt(F.greatest(1 - ratio, F.lit(0.0))), F.lit(NAN)).alias("eccentricity"),
+        F.when(ratio.isNull(), NAN).otherwise(F.sqrt(F.greatest(1 - ratio, F.lit(0.0)))).alias("eccentricity"),
     )
 
 
