@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,12 @@ class WordHashes(dict):
         return value
 
 
+@lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """The memo of this process."""
+    return WordHashes()
+
+
 def pack(values: np.ndarray) -> bytes:
     """An integer array as byte planes under zstd; ``unpack`` is its inverse."""
     raw = np.ascontiguousarray(values)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import WordHashes, pack, pack_sorted, power_of_two, text_bytes, unpack, unpack_sorted
+from cellweave.llm.common import WordHashes, pack, pack_sorted, power_of_two, text_bytes, unpack, unpack_sorted, word_hashes
 
 #: Bytes of text that one chunk holds on average, and windows that one shard holds at most on average.
 CHUNK_BYTES = 8 << 20
@@ -84,17 +84,29 @@ class _Chunk:
         self.high = window_hashes(flat, window, BASES[0])[self.at] if n else np.empty(0, np.uint64)
         self.low = (window_hashes(flat, window, BASES[1])[self.at] if n else np.empty(0, np.uint64)).astype(np.uint32)
 
-    def groups(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Windows ordered by digest, ties in document order, and where each digest begins.
+    def groups(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows ordered by digest, where each digest begins, and the first window that has it.
 
-        A stable sort: the first of a digest belongs to the chunk's smallest id.
+        Documents are in the order of their ids, so the first window belongs to the digest's smallest id.
         """
         rows = np.arange(len(self.at)) if keep is None else np.flatnonzero(keep)
-        rows = rows[np.lexsort((self.low[rows], self.high[rows]))]
-        high, low = self.high[rows], self.low[rows]
-        new = np.ones(len(rows), bool)
-        new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
-        return rows, np.flatnonzero(new)
+        order, starts = _by_digest(self.high[rows], self.low[rows])
+        rows = rows[order]
+        return rows, starts, np.minimum.reduceat(rows, starts) if len(rows) else rows
+
+
+def _by_digest(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal digests together, and where each begins in it."""
+    order = np.argsort(high)
+    h, w = high[order], low[order]
+    same = h[1:] == h[:-1]
+    if (same & (w[1:] != w[:-1])).any():  # two digests agree in their high parts alone
+        order = np.lexsort((low, high))
+        h, w = high[order], low[order]
+        same = (h[1:] == h[:-1]) & (w[1:] == w[:-1])
+    new = np.ones(len(order), bool)
+    new[1:] = ~same
+    return order, np.flatnonzero(new)
 
 
 def _split(keys: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
@@ -139,7 +151,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by_chunk = docs.groupBy("chunk")
 
     def sketch(key: tuple, table: pa.Table) -> pa.Table:
-        cells = np.unique(_Chunk(table, window, WordHashes()).high >> np.uint64(64 - cell_bits))
+        cells = np.unique(_Chunk(table, window, word_hashes()).high >> np.uint64(64 - cell_bits))
         parts = _split(cells, cell_bits - shard_bits)
         return _table(_CELLS, shard=[s for s, _, _ in parts], chunk=[key[0].as_py()] * len(parts), cells=[pack_sorted(cells[a:b]) for _, a, b in parts])
 
@@ -158,12 +170,11 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def digests(key: tuple, table: pa.Table, repeated: pa.Table) -> pa.Table:
         if not len(repeated) or not len(table):
             return _DIGESTS.empty_table()
-        chunk = _Chunk(table, window, WordHashes())
+        chunk = _Chunk(table, window, word_hashes())
         cells = np.sort(np.concatenate([unpack_sorted(x) for x in repeated["cells"].to_pylist()]))
         own = chunk.high >> np.uint64(64 - cell_bits)
         keep = cells[np.minimum(np.searchsorted(cells, own), len(cells) - 1)] == own
-        rows, starts = chunk.groups(keep)
-        first = rows[starts]
+        _, _, first = chunk.groups(keep)
         parts = _split(chunk.high[first], 64 - shard_bits)
         cut = lambda x, f: [f(x[first[a:b]]) for _, a, b in parts]
         return _table(_DIGESTS, shard=[s for s, _, _ in parts], chunk=[key[0].as_py()] * len(parts), high=cut(chunk.high, pack_sorted), low=cut(chunk.low, pack), least=cut(chunk.owner, pack), at=[pack(first[a:b].astype(np.uint32)) for _, a, b in parts])
@@ -172,10 +183,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         high = [unpack_sorted(x) for x in table["high"].to_pylist()]
         flat, low = np.concatenate(high), np.concatenate([unpack(x, np.uint32) for x in table["low"].to_pylist()])
         owner = np.concatenate([unpack(x, np.int64) for x in table["least"].to_pylist()])
-        order = np.lexsort((low, flat))
-        new = np.ones(len(order), bool)
-        new[1:] = (flat[order][1:] != flat[order][:-1]) | (low[order][1:] != low[order][:-1])
-        starts = np.flatnonzero(new)
+        order, starts = _by_digest(flat, low)
         smallest = np.repeat(np.minimum.reduceat(owner[order], starts), np.diff([*starts, len(order)]))
         smaller = np.empty(len(order), bool)
         smaller[order] = smallest < owner[order]
@@ -186,16 +194,16 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     result = T.StructType([T.StructField("document", docs.schema["document"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def remove(table: pa.Table, elsewhere: pa.Table) -> pa.Table:
-        chunk = _Chunk(table, window, WordHashes())
-        rows, starts = chunk.groups()
+        chunk = _Chunk(table, window, word_hashes())
+        rows, starts, first = chunk.groups()
         repeat = np.zeros(len(rows), bool)
         if len(rows):
             sizes = np.diff([*starts, len(rows)])
-            here = chunk.owner[rows] > np.repeat(chunk.owner[rows[starts]], sizes)
+            here = chunk.owner[rows] > np.repeat(chunk.owner[first], sizes)
             flagged = np.zeros(len(rows), bool)
             for x in elsewhere["at"].to_pylist():
                 flagged[unpack(x, np.uint32)] = True
-            repeat[rows] = here | np.repeat(flagged[rows[starts]], sizes)
+            repeat[rows] = here | np.repeat(flagged[first], sizes)
         total_words = int(chunk.lengths.sum())
         edge = np.zeros(total_words + 1, np.int64)
         begin = chunk.at[repeat]
