@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +23,9 @@ def local_session(app: str, cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .getOrCreate()
     )
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder for files between steps: in the session's ``spark.checkpoint.dir``, which all machines share, if it is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared}/{uuid4().hex}" if shared else tempfile.mkdtemp(prefix="cellweave-")
