@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.coerce import col, integer, is_missing, kind, lossy, number, require, truthy
@@ -38,10 +37,21 @@ def current_names(df: DataFrame) -> DataFrame:
     return df.toDF(*names)
 
 
-def _annotated(df: DataFrame, grouping: Sequence[str]) -> Column:
-    """Whether a row is not after the last row that has a stage."""
-    last = F.max(F.when(~is_missing(df, "cell_cycle_stage"), F.col(ROW_ID))).over(Window.partitionBy(*map(col, grouping)))
-    return F.coalesce(F.col(ROW_ID) <= last, F.lit(False))
+def _with_groups(df: DataFrame, grouping: Sequence[str], figures: DataFrame) -> DataFrame:
+    """Rows with the figures of their group (a row for each); one row for the whole table if nothing groups."""
+    return df.join(figures, list(grouping), "left") if grouping else df.crossJoin(F.broadcast(figures))
+
+
+def _annotated(df: DataFrame, grouping: Sequence[str]) -> DataFrame:
+    """``__annotated``: whether a row is not after the last row that has a stage. Groups are aggregated, never gathered.
+
+    A table that has the column already keeps it.
+    """
+    if "__annotated" in df.columns:
+        return df
+    last = df.groupBy(*map(col, grouping)).agg(F.max(F.when(~is_missing(df, "cell_cycle_stage"), F.col(ROW_ID))).alias("__last"))
+    marked = _with_groups(df, grouping, last)
+    return marked.withColumn("__annotated", F.coalesce(F.col(ROW_ID) <= F.col("__last"), F.lit(False))).drop("__last")
 
 
 def add_missing_columns(df: DataFrame, grouping: Sequence[str] = ("position",)) -> DataFrame:
@@ -50,8 +60,8 @@ def add_missing_columns(df: DataFrame, grouping: Sequence[str] = ("position",))
     lacking = {c: v for c, v in DEFAULTS.items() if c not in df.columns}
     if "cell_cycle_stage" not in df.columns or not lacking:
         return out
-    marked = out.withColumn("__annotated", _annotated(df, grouping))
-    return marked.withColumns({c: F.when(F.col("__annotated"), F.lit(v)) for c, v in lacking.items()}).drop("__annotated")
+    marked = _annotated(out, grouping)
+    return marked.withColumns({c: F.when(F.col("__annotated"), F.lit(v)) for c, v in lacking.items()}).select(*map(col, out.columns), *lacking)
 
 
 def add_will_divide(df: DataFrame, grouping: Sequence[str] = ("position",)) -> DataFrame:
@@ -64,20 +74,21 @@ def add_will_divide(df: DataFrame, grouping: Sequence[str] = ("position",)) -> D
     require(df, "frame_i", "Cell_ID", "generation_num", "relative_ID", "relationship", ROW_ID)
     g = list(grouping)
     ids = {"__cell": integer(df, "Cell_ID"), "__frame": integer(df, "frame_i"), "__gen": integer(df, "generation_num"), "__rel": integer(df, "relative_ID")}
-    base = df.withColumns(ids | {"__in": _annotated(df, g), "__bud": lossy(df, "relationship") == "bud", "__later": number(df, "generation_num") > 0})
-    rows = base.where("__in and __cell is not null")
-    first = F.min_by(F.when(F.col("__bud"), F.struct("__rel", "__frame")), F.when(F.col("__bud"), F.col(ROW_ID)))
-    cells = rows.groupBy(*g, "__cell").agg(first.alias("f"), F.max("__bud").alias("buds"), F.max(F.coalesce("__later", F.lit(False))).alias("later")).where("buds and later")
-    cells = cells.select(*g, "__cell", F.col("f.__rel").alias("mother"), F.col("f.__frame").alias("at"))
-    seen = rows.where("__frame is not null").groupBy(*g, F.col("__cell").alias("mother"), F.col("__frame").alias("at")).agg(F.max_by("__gen", ROW_ID).alias("gen"), F.lit(True).alias("found"))
-    cycles = cells.where("mother is not null and at is not null").join(seen, [*g, "mother", "at"], "left")
-    fails = F.raise_error(F.concat(F.lit("mother "), F.col("mother").cast("string"), F.lit(" is missing at frame "), F.col("at").cast("string")))
-    cycles = cycles.select(*g, F.col("mother").alias("__cell"), F.when(F.col("found"), F.col("gen")).otherwise(fails.cast("long")).alias("__gen")).where("__gen is not null").distinct()
-    marked = base.join(cells.select(*g, "__cell", F.lit(True).alias("__own")), [*g, "__cell"], "left")
-    marked = marked.join(cycles.withColumn("__as_mother", F.lit(True)), [*g, "__cell", "__gen"], "left")
-    divides = (F.col("__own") & F.col("__bud")) | F.col("__as_mother")
-    value = F.when(F.col("__in"), F.coalesce(divides, F.lit(False)).cast("int"))
-    return marked.withColumn("will_divide", value).select(*map(col, df.columns), "will_divide")
+    base = _annotated(df, g).withColumns(ids).withColumns({"__in": F.col("__annotated") & F.col("__cell").isNotNull(), "__bud": lossy(df, "relationship") == "bud"})
+    of_cell = Window.partitionBy(*map(col, g), F.col("__cell"))
+    counted = F.col("__in") & (F.col("__gen") > 0)
+    first = F.min_by(F.struct("__rel", "__frame", ROW_ID), F.when(F.col("__in") & F.col("__bud"), F.col(ROW_ID))).over(of_cell)
+    marked = base.withColumns({"__later": F.max(F.coalesce(counted, F.lit(False))).over(of_cell), "__first": first})
+    own = F.col("__in") & F.col("__later") & F.col(f"__first.{ROW_ID}").isNotNull()
+    buds = marked.where(own & (F.col(ROW_ID) == F.col(f"__first.{ROW_ID}"))).select(*g, F.col("__rel").alias("__cell"), "__frame").where("__cell is not null and __frame is not null")
+    seen = base.where("__in and __frame is not null").groupBy(*g, "__cell", "__frame").agg(F.max_by("__gen", ROW_ID).alias("__gen"), F.lit(True).alias("__found"))
+    fails = F.raise_error(F.concat(F.lit("mother "), F.col("__cell").cast("string"), F.lit(" is missing at frame "), F.col("__frame").cast("string")))
+    cycles = buds.join(seen, [*g, "__cell", "__frame"], "left").withColumn("__gen", F.when(F.col("__found"), F.col("__gen")).otherwise(fails.cast("long")))
+    cycles = cycles.where("__gen is not null").select(*g, "__cell", "__gen").distinct().withColumn("__as_mother", F.lit(True))
+    out = marked.join(cycles, [*g, "__cell", "__gen"], "left")
+    divides = (own & F.col("__bud")) | (F.col("__in") & F.col("__as_mother"))
+    value = F.when(F.col("__annotated"), F.coalesce(divides, F.lit(False)).cast("int"))
+    return out.withColumn("will_divide", value).select(*map(col, df.columns), "will_divide")
 
 
 def fix_will_divide(df: DataFrame, grouping: Sequence[str] = ("position",)) -> DataFrame:
@@ -87,12 +98,14 @@ def fix_will_divide(df: DataFrame, grouping: Sequence[str] = ("position",)) -> D
     require(df, "frame_i", "Cell_ID", "generation_num", "will_divide")
     ids = {"__cell": integer(df, "Cell_ID"), "__gen": integer(df, "generation_num"), "__on": ~is_missing(df, "cell_cycle_stage")}
     base = df.withColumns(ids)
-    cycles = base.where("__on and __cell is not null and __gen is not null").select(*grouping, "__cell", (F.col("__gen") - 1).alias("__gen")).distinct()
-    followed = base.join(cycles.withColumn("__followed", F.lit(True)), [*grouping, "__cell", "__gen"], "left")
     n = number(df, "will_divide")
-    divides = F.max(F.col("__on") & F.coalesce((n > 0) & ~F.isnan(n), F.lit(False))).over(Window.partitionBy(*grouping, "__cell", "__gen"))
-    stale = F.col("__on") & F.col("__cell").isNotNull() & F.col("__gen").isNotNull() & F.col("__followed").isNull() & divides
-    return followed.withColumn("will_divide", F.when(stale, F.lit(0).cast(kind(df, "will_divide"))).otherwise(F.col("will_divide"))).select(*map(col, df.columns))
+    known = F.col("__on") & F.col("__cell").isNotNull() & F.col("__gen").isNotNull()
+    of_cell = Window.partitionBy(*map(col, grouping), F.col("__cell"))
+    there = F.collect_set(F.when(known, F.col("__gen"))).over(of_cell)
+    divides = F.max(known & F.coalesce((n > 0) & ~F.isnan(n), F.lit(False))).over(Window.partitionBy(*map(col, grouping), F.col("__cell"), F.col("__gen")))
+    marked = base.withColumns({"__there": there, "__divides": divides})
+    stale = known & F.col("__divides") & ~F.array_contains("__there", F.col("__gen") + 1)
+    return marked.withColumn("will_divide", F.when(stale, F.lit(0).cast(kind(df, "will_divide"))).otherwise(F.col("will_divide"))).select(*map(col, df.columns))
 
 
 def corrected_blocks(df: DataFrame, grouping: Sequence[str] = ("position",)) -> DataFrame:
@@ -111,8 +124,9 @@ def corrected_blocks(df: DataFrame, grouping: Sequence[str] = ("position",)) ->
     new = F.when((value > 0) & ~F.isnan(value) & cell.isNotNull(), F.coalesce(first, F.lit(-1))).otherwise(F.lit(-1))
     if "corrected_on_frame_i" in df.columns:
         old = number(df, "corrected_on_frame_i")
-        there = F.max(F.coalesce((old > -1) & ~F.isnan(old), F.lit(False))).over(Window.partitionBy(*map(col, grouping)))
-        new = F.when(there, integer(df, "corrected_on_frame_i")).otherwise(new)
+        there = df.groupBy(*map(col, grouping)).agg(F.max(F.coalesce((old > -1) & ~F.isnan(old), F.lit(False))).alias("__there"))
+        runs = _with_groups(runs.withColumn("__new", new), grouping, there)
+        return runs.withColumn("corrected_on_frame_i", F.when(F.col("__there"), integer(df, "corrected_on_frame_i")).otherwise(F.col("__new"))).drop("__changed", "__run", "__new", "__there", "corrected_assignment")
     return runs.withColumn("corrected_on_frame_i", new).drop("__changed", "__run", "corrected_assignment")
 
 
@@ -126,7 +140,7 @@ def ensure_compatible(df: DataFrame, grouping: Sequence[str] = ("position",)) ->
     """A table of any version as one of today: index columns go, first rows of repeated objects stay, annotations are completed.
 
     Missing cells of other columns become 0 if all annotation columns were there. The order of frames and cells counts as
-    row order from here on.
+    row order from here on; frames are below 2**22 and cells below 2**40.
     """
     require(df, "frame_i", "Cell_ID", ROW_ID)
     out = df.drop("index", "level_0")
@@ -134,11 +148,14 @@ def ensure_compatible(df: DataFrame, grouping: Sequence[str] = ("position",)) ->
         fill = {c: F.when(is_missing(out, c), F.lit(0).cast(kind(out, c))).otherwise(col(c)) for c in out.columns if c not in (*ANNOTATIONS, ROW_ID, *grouping)}
         out = out.withColumns(fill)
     out = first_of_keys(out, [*grouping, "frame_i", "Cell_ID"])
-    order = Window.partitionBy(*map(col, grouping)).orderBy(integer(out, "frame_i"), integer(out, "Cell_ID"), ROW_ID)
-    out = out.withColumn(ROW_ID, F.row_number().over(order))
-    for step in (add_missing_columns, add_will_divide, fix_will_divide, corrected_blocks):
+    out = out.withColumn(ROW_ID, F.coalesce(integer(out, "frame_i"), F.lit(0)) * F.lit(1 << 40) + F.coalesce(integer(out, "Cell_ID"), F.lit(0)))
+    if "cell_cycle_stage" in out.columns:
+        out = _annotated(out, grouping)
+    for step in (add_missing_columns, add_will_divide, fix_will_divide):
         out = step(out, grouping)
-    return out
+    if "corrected_assignment" in out.columns and "corrected_on_frame_i" not in df.columns:
+        out = out.drop("corrected_on_frame_i")  # only defaults, which the blocks replace
+    return corrected_blocks(out, grouping).drop("__annotated")
 
 
 # --- edits ---------------------------------------------------------------------------------------------------------
@@ -197,21 +214,20 @@ def integrity_of_frames(df: DataFrame, grouping: Sequence[str] = ("position",))
         *at, integer(df, "Cell_ID").alias("cell"), integer(df, "relative_ID").alias("rel"),
         lossy(df, "cell_cycle_stage").alias("stage"), lossy(df, "relationship").alias("role"), integer(df, "generation_num").alias("gen"),
     )
-    listed = lambda rows, what: rows.groupBy(*at).agg(F.sort_array(F.collect_set("cell")).alias("ids")).select(*at, F.lit(what).alias("category"), "ids")
-    buds = base.where("role = 'bud'")
-    counts = base.where("stage = 'S'").groupBy(*at).agg(F.count_if(F.col("role") == "bud").alias("b"), F.count_if(F.col("role") == "mother").alias("m")).where("b <> m")
-    uneven = counts.select(*at, F.lit("numbers of mothers and buds differ").alias("category"), F.array().cast("array<bigint>").alias("ids"))
-    many = buds.groupBy(*at, F.col("rel").alias("cell")).count().where("count > 1")
-    pairs = base.where("stage = 'S'")
     other = base.select(*at, F.col("cell").alias("rel"), F.col("rel").alias("back")).dropDuplicates([*at, "rel"])
-    joined = pairs.join(other, [*at, "rel"], "left")
-    issues = [
-        listed(buds.where("stage <> 'S'"), "buds not in S"), listed(buds.where("gen <> 0"), "buds with a generation other than 0"),
-        listed(base.where("stage = 'G1' and rel > 0"), "relatives in G1"), listed(base.where("role = 'mother' and gen < 1"), "mothers of generation 0"),
-        listed(many, "mothers with several buds"), listed(joined.where("back is null"), "relatives not in the frame"),
-        listed(joined.where("back <> cell"), "relatives that name another"), uneven,
-    ]
-    return reduce(DataFrame.unionByName, issues)
+    joined = base.join(other, [*at, "rel"], "left")
+    bud, in_s = F.col("role") == "bud", F.col("stage") == "S"
+    rules = {
+        "buds not in S": bud & ~in_s, "buds with a generation other than 0": bud & (F.col("gen") != 0), "relatives in G1": (F.col("stage") == "G1") & (F.col("rel") > 0),
+        "mothers of generation 0": (F.col("role") == "mother") & (F.col("gen") < 1), "relatives not in the frame": in_s & F.col("back").isNull(),
+        "relatives that name another": in_s & (F.col("back") != F.col("cell")),
+    }
+    each = joined.select(*at, "cell", F.explode(F.array_compact(F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items())))).alias("category"))
+    many = base.where(bud).groupBy(*at, F.col("rel").alias("cell")).count().where("count > 1").select(*at, "cell", F.lit("mothers with several buds").alias("category"))
+    listed = each.unionByName(many).groupBy(*at, "category").agg(F.sort_array(F.collect_set("cell")).alias("ids"))
+    counts = base.where(in_s).groupBy(*at).agg(F.count_if(bud).alias("b"), F.count_if(F.col("role") == "mother").alias("m")).where("b <> m")
+    uneven = counts.select(*at, F.lit("numbers of mothers and buds differ").alias("category"), F.array().cast("array<bigint>").alias("ids"))
+    return listed.unionByName(uneven)
 
 
 def cycles_without_g1(df: DataFrame, grouping: Sequence[str] = ("position",)) -> DataFrame:

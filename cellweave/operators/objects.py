@@ -22,35 +22,38 @@ ANNOTATION_DEFAULTS = {
 }
 
 
-def regions(labels: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
-    """Area, centroid (y, x; and both rounded down) and bounding box (last row and column excluded) of every object."""
-    rows = labels.where("label <> 0").groupBy(*keys, "label")
-    out = rows.agg(
+def _figures(labels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Everything about an object's pixels that one aggregation gives."""
+    y, x = F.col("y").cast("double"), F.col("x").cast("double")
+    out = labels.where("label <> 0").groupBy(*keys, "label").agg(
         F.count("*").alias("area"), F.avg("y").alias("centroid-0"), F.avg("x").alias("centroid-1"), F.min("y").alias("bbox-0"), F.min("x").alias("bbox-1"),
-        (F.max("y") + 1).alias("bbox-2"), (F.max("x") + 1).alias("bbox-3"),
+        (F.max("y") + 1).alias("bbox-2"), (F.max("x") + 1).alias("bbox-3"), F.var_pop(y).alias("yy"), F.var_pop(x).alias("xx"), F.covar_pop(x, y).alias("xy"),
     )
-    return out.withColumns({"y_centroid": F.floor(F.col("`centroid-0`")), "x_centroid": F.floor(F.col("`centroid-1`"))})
+    half, gap = (F.col("xx") + F.col("yy")) / 2, F.sqrt(F.pow((F.col("xx") - F.col("yy")) / 2, 2) + F.pow("xy", 2))
+    out = out.withColumns({"l0": F.greatest(half + gap, F.lit(0.0)), "l1": F.greatest(half - gap, F.lit(0.0))})
+    ratio = F.try_divide(F.col("l1"), F.col("l0"))
+    return out.withColumns({
+        "y_centroid": F.floor(F.col("`centroid-0`")), "x_centroid": F.floor(F.col("`centroid-1`")), "major_axis_length": 4 * F.sqrt("l0"), "minor_axis_length": 4 * F.sqrt("l1"),
+        "orientation": F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2, "eccentricity": F.when(ratio.isNull(), NAN).otherwise(F.sqrt(F.greatest(1 - ratio, F.lit(0.0)))),
+    }).drop("yy", "xx", "xy", "l0", "l1")
+
+
+def regions(labels: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
+    """Area, centroid (y, x; and both rounded down) and bounding box (last row and column excluded) of every object."""
+    return _figures(labels, keys).drop("major_axis_length", "minor_axis_length", "orientation", "eccentricity")
 
 
 def inertia(labels: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
     """Axis lengths, orientation and eccentricity from the population covariance of an object's pixels."""
-    rows = labels.where("label <> 0").groupBy(*keys, "label")
-    y, x = F.col("y").cast("double"), F.col("x").cast("double")
-    out = rows.agg(F.count("*").alias("area"), F.var_pop(y).alias("yy"), F.var_pop(x).alias("xx"), F.covar_pop(x, y).alias("xy"))
-    half, gap = (F.col("xx") + F.col("yy")) / 2, F.sqrt(F.pow((F.col("xx") - F.col("yy")) / 2, 2) + F.pow("xy", 2))
-    out = out.select(*keys, "label", "area", "xx", "yy", "xy", F.greatest(half + gap, F.lit(0.0)).alias("l0"), F.greatest(half - gap, F.lit(0.0)).alias("l1"))
-    ratio = F.try_divide(F.col("l1"), F.col("l0"))
-    return out.select(
-        *keys, "label", "area", (4 * F.sqrt("l0")).alias("major_axis_length"), (4 * F.sqrt("l1")).alias("minor_axis_length"),
-        (F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy")) / 2).alias("orientation"),
-        F.when(ratio.isNull(), NAN).otherwise(F.sqrt(F.greatest(1 - ratio, F.lit(0.0)))).alias("eccentricity"),
-    )
+    return _figures(labels, keys).select(*keys, "label", "area", "major_axis_length", "minor_axis_length", "orientation", "eccentricity")
 
 
 def shapes(labels: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
-    """Measurements of form that need no neighbourhood but edges: see ``planes.hulls`` for those of hull and holes."""
-    r, i, p = regions(labels, keys), inertia(labels, keys).drop("area"), perimeters(labels, keys)
-    out = r.join(i, [*keys, "label"]).join(p, [*keys, "label"])
+    """Measurements of form that need no neighbourhood but edges: see ``planes.hulls`` for those of hull and holes.
+
+    Regions and inertia come from one aggregation of the pixels.
+    """
+    out = _figures(labels, keys).join(perimeters(labels, keys), [*keys, "label"])
     box = (F.col("`bbox-2`") - F.col("`bbox-0`")) * (F.col("`bbox-3`") - F.col("`bbox-1`"))
     guarded = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(NAN))
     return out.withColumns({
@@ -60,16 +63,18 @@ def shapes(labels: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
 
 
 def rotational_volumes(labels: DataFrame, size_y: float = 1.0, size_x: float = 1.0, keys: Sequence[str] = FRAME) -> DataFrame:
-    """The volume of each object turned about its long axis: bins of one pixel along it, a disk of each bin's width."""
-    rows = labels.where("label <> 0").select(*keys, "label", "y", "x")
-    i = inertia(labels, keys).select(*keys, "label", "orientation")
-    c = rows.groupBy(*keys, "label").agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"))
-    placed = rows.join(c.join(i, [*keys, "label"]), [*keys, "label"])
-    dy, dx = F.col("y") - F.col("cy"), F.col("x") - F.col("cx")
-    cos, sin = F.cos("orientation"), F.sin("orientation")
-    placed = placed.select(*keys, "label", (dx * cos + dy * sin).alias("u"), (dy * cos - dx * sin).alias("v"))
-    least = placed.groupBy(*keys, "label").agg(F.min("u").alias("u0"))
-    bins = placed.join(least, [*keys, "label"]).groupBy(*keys, "label", F.floor(F.col("u") - F.col("u0")).alias("bin")).agg((F.max("v") - F.min("v") + 1).alias("w"))
+    """The volume of each object turned about its long axis: bins of one pixel along it, a disk of each bin's width.
+
+    Pixels are dealt by object once; the figures they are seen against are windows over that.
+    """
+    own = Window.partitionBy(*keys, "label")
+    y, x = F.col("y").cast("double"), F.col("x").cast("double")
+    turn = F.atan2(2 * F.covar_pop(x, y).over(own), F.var_pop(x).over(own) - F.var_pop(y).over(own)) / 2
+    rows = labels.where("label <> 0").select(*keys, "label", (y - F.avg("y").over(own)).alias("dy"), (x - F.avg("x").over(own)).alias("dx"), turn.alias("turn"))
+    cos, sin = F.cos("turn"), F.sin("turn")
+    placed = rows.select(*keys, "label", (F.col("dx") * cos + F.col("dy") * sin).alias("u"), (F.col("dy") * cos - F.col("dx") * sin).alias("v"))
+    binned = placed.select(*keys, "label", "v", F.floor(F.col("u") - F.min("u").over(own)).alias("bin"))
+    bins = binned.groupBy(*keys, "label", "bin").agg((F.max("v") - F.min("v") + 1).alias("w"))
     voxels = bins.groupBy(*keys, "label").agg(F.sum(F.lit(PI) * F.pow(F.col("w") / 2, F.lit(2.0))).alias("cell_vol_vox"))
     return voxels.withColumn("cell_vol_fl", F.col("cell_vol_vox") * (size_y * size_x * size_x))
 
