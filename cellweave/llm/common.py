@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest number of memo entries an executor's Python worker keeps before it starts afresh.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 250_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +39,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a batch on its way to Python.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, after its session has been told to send Python no more than a few megabytes of rows at once."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH).rstrip("b")) > BATCH_BYTES:
+        conf.set(_BATCH, BATCH_BYTES)
+    return df
+
+
 def text_bytes(df: DataFrame, text_col: str) -> int:
     """UTF-8 bytes of a whole text column; only sizes partitions, never results."""
     return df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
@@ -87,7 +100,7 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob, np.uint64), dtype=np.uint64)
 
 
-def slices(batches: Iterable[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in parts of a few megabytes, so that what is made of a part stays small too."""
     for batch in batches:
         rows = max(1, min(batch.num_rows, most * batch.num_rows // max(1, batch.nbytes)))

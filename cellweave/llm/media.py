@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import slices
+from cellweave.llm.common import bounded, slices
 
 #: WAV format tags.
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 17
@@ -135,7 +135,7 @@ def pcm_column(df: DataFrame, media_col: str, id_col: str = "doc_id", rate: int
             pcm = [None if x is None else resample(x[1], x[0], rate).tobytes() for x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([rate] * len(pcm), pa.int32()), pa.array(pcm, pa.binary())], ["id", "rate", "pcm"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(run, "id long, rate int, pcm binary")
+    return bounded(df).select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(run, "id long, rate int, pcm binary")
 
 
 def store_payloads(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,7 +151,7 @@ def store_payloads(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             media = [wav(x + b"\0" * (BLOCK - len(x) if not x else -len(x) % BLOCK), MU_LAW) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_bytes long, media binary")
+    return bounded(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_bytes long, media binary")
 
 
 def _figures(samples: np.ndarray, starts: np.ndarray) -> list[tuple[int, int]]:
@@ -185,4 +185,4 @@ def payload_features(media: DataFrame, rate: int = 16000) -> DataFrame:
             tails = [zlib.crc32(x[-BLOCK:]) for x in payloads]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(payloads, pa.binary()), batch.column(2), pa.array(tails, pa.int64()), pa.array(features, pa.string())], names)
 
-    return media.select("id", "n_bytes", "media").mapInArrow(run, "id long, n_bytes long, payload binary, media binary, tail_crc32 long, feature string")
+    return bounded(media).select("id", "n_bytes", "media").mapInArrow(run, "id long, n_bytes long, payload binary, media binary, tail_crc32 long, feature string")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cellweave.llm.common import slices
+from cellweave.llm.common import bounded, slices
 
 #: A task has one core.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -34,7 +34,7 @@ BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
 LENGTH = 1024
 END = 2
 #: Pieces and words that a task's process remembers at most.
-REMEMBERED = 1_600_000
+REMEMBERED = 900_000
 #: Open sequences of a task, and pieces that it looks at together before it places the longest of them first.
 OPEN = 4096
 LOOKAHEAD = 1 << 15
@@ -149,7 +149,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return bounded(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
 
 
 def place_pieces(cut: DataFrame, length: int = LENGTH, most_open: int = OPEN, lookahead: int = LOOKAHEAD) -> DataFrame:
@@ -304,4 +304,4 @@ def pack_matrices(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if pool:
             yield from flushed()
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, MATRICES)
+    return bounded(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, MATRICES)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import MEMO_ENTRIES, pack, slices, unpack
+from cellweave.llm.common import MEMO_ENTRIES, bounded, pack, slices, unpack
 
 BUCKETS = 1 << 14
 DIMENSIONS = 64
@@ -100,7 +100,7 @@ def context_vectors(df: DataFrame, text_col: str = "text") -> np.ndarray:
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "sums": pa.array([pack(total)], pa.binary())})
 
     shape = "block long, sums binary"
-    sums = df.select(F.col(text_col).alias("text")).mapInArrow(gather, shape).groupBy("block").applyInArrow(add, shape)
+    sums = bounded(df).select(F.col(text_col).alias("text")).mapInArrow(gather, shape).groupBy("block").applyInArrow(add, shape)
     vectors = np.zeros((BUCKETS, DIMENSIONS))
     for row in sums.collect():
         vectors[row.block * BLOCK : (row.block + 1) * BLOCK] = unpack(row.sums, np.int64).reshape(BLOCK, DIMENSIONS)
@@ -213,7 +213,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network | None, text_co
     Whole texts are scored; null and empty ones too, as documents without words. ``predicted`` is 1 where the score is 0.5 or
     more. Rows with equal or null ids each get their score. Without a network every score is 0.5. An empty table gives none.
     """
-    rows = docs.select(F.struct("*").alias("document"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.struct("*").alias("document"), F.col(text_col).alias("text"))
     shape = T.StructType([T.StructField("document", rows.schema["document"].dataType), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
 

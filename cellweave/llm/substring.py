@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import WordHashes, pack, pack_sorted, power_of_two, text_bytes, unpack, unpack_sorted, word_hashes
+from cellweave.llm.common import WordHashes, bounded, pack, pack_sorted, power_of_two, text_bytes, unpack, unpack_sorted, word_hashes
 
 #: Bytes of text that one chunk holds on average, and windows that one shard holds at most on average.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 SHARD_WINDOWS = 1 << 21
 #: Cells per window of the whole corpus (as a power of two), and count-min rows with their width per window.
 CELL_BITS = 4
@@ -68,12 +68,12 @@ class _Chunk:
 
     def __init__(self, table: pa.Table, window: int, memo: WordHashes):
         ids = [_LAST if x is None else x for x in table["__id"].to_pylist()]
-        texts = [b"" if x is None else x.encode() for x in table["__text"].to_pylist()]
+        texts = ["" if x is None else x for x in table["__text"].to_pylist()]
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.ids = np.array([ids[i] for i in self.order], np.int64)
-        self.words = [texts[i].split() for i in self.order]
-        self.lengths = np.array([len(w) for w in self.words], np.int64)
-        hashes = [np.fromiter(map(memo.__getitem__, w), np.uint64, len(w)) for w in self.words]
+        self.texts = [texts[i] for i in self.order]
+        hashes = [np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)) for words in (t.encode().split() for t in self.texts)]
+        self.lengths = np.array([len(h) for h in hashes], np.int64)
         flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         self.ends = np.cumsum(self.lengths)
         doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
@@ -144,7 +144,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cell_bits = min(60, power_of_two(windows) + CELL_BITS)
     row_bits = max(8, power_of_two(2 * min(windows, shard_windows)))
 
-    docs = df.select(
+    docs = bounded(df).select(
         F.struct("*").alias("document"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"),
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).alias("chunk"),
     )
@@ -211,7 +211,8 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         np.add.at(edge, begin + window, -1)
         covered = np.cumsum(edge[:-1]) > 0
         kept, removed = [], []
-        for words, end in zip(chunk.words, chunk.ends):
+        for text, end in zip(chunk.texts, chunk.ends):
+            words = text.encode().split()
             gone = covered[end - len(words) : end]
             removed.append(int(gone.sum()))
             kept.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode() if removed[-1] else b" ".join(words).decode())

@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import MEMO_ENTRIES, slices
+from cellweave.llm.common import MEMO_ENTRIES, bounded, slices
 
 PIECES_32K = public_tokenizers.path("piece_bpe_32k.model")
 _WORD_START = "▁"
@@ -116,4 +116,4 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [pa.array(x, pa.int64()) for x in zip(*rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n_words", "n_tokens", "n_unknown"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_words long, n_tokens long, n_unknown long")
+    return bounded(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_words long, n_tokens long, n_unknown long")
