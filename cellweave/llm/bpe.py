@@ -24,10 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import MEMO_ENTRIES, slices
+from cellweave.llm.common import bounded, slices
 
 MULTI_50K = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 ID_BYTES = 4
+#: Pieces, and pairs of tokens, that a task's process remembers at most.
+MEMO_ENTRIES = 400_000
 
 
 class BytePairCodec(dict):
@@ -75,39 +77,48 @@ class BytePairCodec(dict):
         begin: list[list[tuple[int, int]]] = [[] for _ in raw]
         for last, (token, length) in self.automaton.iter(raw.decode("latin-1")):
             begin[last - length + 1].append((token, last + 1))
-        for options in begin:
-            options.sort(key=lambda x: -x[1])
         alive = [True] * (len(raw) + 1)
-        laid: list[tuple[int, int, int]] = []
-        at = option = 0
+        laid: list[tuple[int, int]] = []
+        at, compatible = 0, self.compatible
         while at < len(raw):
             left = laid[-1][0] if laid else -1
-            options = begin[at]
-            while option < len(options) and not (alive[options[option][1]] and self.compatible(left, options[option][0])):
-                option += 1
-            if option < len(options):
-                laid.append((options[option][0], at, option))
-                at, option = options[option][1], 0
+            options = begin[at]  # shortest first, as matches come by where they end
+            while options and not (alive[options[-1][1]] and compatible(left, options[-1][0])):
+                options.pop()
+            if options:
+                token, end = options.pop()
+                laid.append((token, at))
+                at = end
             elif laid:
                 alive[at] = False
-                _, at, option = laid.pop()
-                option += 1
+                _, at = laid.pop()
             else:
                 raise ValueError("the ranks have no token for some byte")
-        return [t for t, _, _ in laid]
+        return [t for t, _ in laid]
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, self.pattern.findall(text)))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+@lru_cache(maxsize=2)
+def ranks(path: str) -> dict[bytes, int]:
+    lines = (line.split() for line in Path(path).read_bytes().splitlines() if line)
+    return {base64.b64decode(a): int(b) for a, b in lines}
 
 
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str = public_tokenizers.PATTERN) -> BytePairCodec:
     """The codec of a rank file, once per process."""
-    lines = (line.split() for line in Path(path).read_bytes().splitlines() if line)
-    return BytePairCodec({base64.b64decode(a): int(b) for a, b in lines}, pattern)
+    return BytePairCodec(ranks(path), pattern)
+
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> dict[int, bytes]:
+    return {i: t for t, i in ranks(path).items()}
+
+
+def decoded(ids: bytes, tokens: dict[int, bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MULTI_50K) -> DataFrame:
@@ -123,7 +134,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
             ids = [own.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["id", "ids"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, ids binary")
+    return bounded(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, ids binary")
 
 
 def decode(df: DataFrame, path: str = MULTI_50K) -> DataFrame:
@@ -134,9 +145,9 @@ def decode(df: DataFrame, path: str = MULTI_50K) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        tokens = token_bytes(path)
         for batch in slices(batches):
-            raw = [own.decode(x) if x else b"" for x in batch.column(1).to_pylist()]
+            raw = [decoded(x, tokens) if x else b"" for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], ["id", "ids", "decoded"])
 
-    return df.select("id", "ids").mapInArrow(run, "id long, ids binary, decoded binary")
+    return bounded(df).select("id", "ids").mapInArrow(run, "id long, ids binary, decoded binary")
