@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,10 +71,20 @@ class WordHashes(dict):
         return value
 
 
-@lru_cache(maxsize=1)
+_KEPT: dict[object, object] = {}
+
+
+def sole(name: object, make: Callable[[], object]) -> object:
+    """What this process remembers for one operator; what it remembered for another goes first."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def word_hashes() -> WordHashes:
     """The memo of this process."""
-    return WordHashes()
+    return sole("word hashes", WordHashes)
 
 
 def pack(values: np.ndarray) -> bytes:

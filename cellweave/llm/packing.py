@@ -15,7 +15,6 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cellweave.llm.common import bounded, slices
+from cellweave.llm.common import bounded, slices, sole
 
 #: A task has one core.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -84,9 +83,9 @@ class PieceIds:
         return [np.frombuffer(b"".join((*map(one, f), *map(follow, w[1:] if w else ()), last)), "<u4") for f, w in zip(first, words)]
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str) -> PieceIds:
-    return PieceIds(path)
+    """The tokenizer of this process."""
+    return sole(("pieces", path), lambda: PieceIds(path))
 
 
 def cuts(n: int, length: int) -> list[tuple[int, int]]:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import MEMO_ENTRIES, bounded, pack, slices, unpack
+from cellweave.llm.common import MEMO_ENTRIES, bounded, pack, slices, sole, unpack
 
 BUCKETS = 1 << 14
 DIMENSIONS = 64
@@ -75,7 +75,7 @@ def context_vectors(df: DataFrame, text_col: str = "text") -> np.ndarray:
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forms, total = Forms(), np.zeros(BUCKETS * DIMENSIONS)
+        forms, total = sole("forms", Forms), np.zeros(BUCKETS * DIMENSIONS)
         for batch in slices(batches):
             each = [x >> 2 for x, _ in _words(batch.column(0).to_pylist(), forms)]
             if not each:
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = spark.sparkContext.broadcast(vectors)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forms = Forms()
+        forms = sole("forms", Forms)
         for batch in slices(batches):
             x = pooled(batch.column(2).to_pylist(), shared.value, forms)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "x"])
@@ -218,7 +218,7 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network | None, text_co
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forms, (known, net) = Forms(), shared.value
+        forms, (known, net) = sole("forms", Forms), shared.value
         for batch in slices(batches):
             x = pooled(batch.column(1).to_pylist(), known, forms)
             p = net.score(x.astype(np.float64)) if net else np.full(len(x), PRIOR)

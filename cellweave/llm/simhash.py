@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import bounded, checkpointed
+from cellweave.llm.common import bounded, checkpointed, sole
 from cellweave.llm.components import components, local_forest
 
 SEED = 42
@@ -60,6 +60,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``(id, fp)`` of every row; ``fp`` holds the fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole("fingerprints", dict)
         for batch in batches:
             bits = np.fromiter((fingerprint(t, shingle) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view(np.int64))], ["id", "fp"])
