@@ -15,7 +15,7 @@ never all pairs of a group. The forests become components with a few joins.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +28,22 @@ from cellweave.llm.components import components, local_forest
 
 SEED = 42
 DISTANCE = 3
-#: The width of the blocks for each largest distance.
-WIDTHS = {3: 32, 7: 16}
+#: The blocks' width and the threshold in each of them, for each largest distance.
+BLOCKS = {3: (32, 1), 7: (16, 1)}
 #: Fingerprints of an anchor that one task compares with as many others, and pairs compared at once.
 BLOCK = 4096
 PAIRS = 1 << 21
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+def normal(text: str | None) -> list[bytes]:
+    """The words that fingerprints and shingles are made of."""
+    return (text or "").encode().translate(_LOWER).split()
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """The unsigned 64-bit SimHash of a whole text; zero if it has no words."""
-    words = (text or "").encode().translate(_LOWER).split()
+    words = normal(text)
     if not words:
         return 0
     joined = b" ".join(words)
@@ -95,8 +100,8 @@ def anchors(fp: np.ndarray, width: int = 32) -> tuple[np.ndarray, np.ndarray, np
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _linked(keys: np.ndarray, side: np.ndarray, fp: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links of whole groups (rows ordered by key, home side first), each part as a forest."""
+def _near(keys: np.ndarray, side: np.ndarray, fp: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(home row, other row) of all pairs within ``distance`` in whole groups (rows ordered by key, home side first), in parts."""
     starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
     sizes = np.diff(np.r_[starts, len(keys)])
     homes = np.add.reduceat(side == 0, starts) if len(starts) else np.empty(0, np.int64)
@@ -106,54 +111,87 @@ def _linked(keys: np.ndarray, side: np.ndarray, fp: np.ndarray, distance: int) -
         pair = np.arange(k, min(k + PAIRS, int(total[-1])))
         group = np.searchsorted(total, pair, "right")
         inside = pair - (total[group] - homes[group] * others[group])
-        a = fp[starts[group] + inside // others[group]]
-        b = fp[starts[group] + homes[group] + inside % others[group]]
-        near = (a != b) & (np.bitwise_count(a ^ b) <= distance)
+        i = starts[group] + inside // others[group]
+        j = starts[group] + homes[group] + inside % others[group]
+        near = np.bitwise_count(fp[i] ^ fp[j]) <= distance
         if near.any():
-            yield local_forest(a[near], b[near])
+            yield i[near], j[near]
+
 
+def meetings(
+    fps: DataFrame, distance: int, found: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None], Iterator[tuple[np.ndarray, ...]]], shape: str
+) -> DataFrame:
+    """What ``found(anchors, fp, other fp, rows)`` yields of the pairs within ``distance`` that meet at an anchor.
 
-def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``(u, v)``: edges that connect the distinct fingerprints ``fp`` as all links within ``distance`` do."""
-    width = WIDTHS[min(d for d in WIDTHS if d >= distance)]
+    ``fps`` has distinct rows of ``fp`` and, if anything, a long ``label``; ``rows`` has the labels of both sides, or is None.
+    Two rows meet at least once with each of them at home.
+    """
+    width, _ = BLOCKS[min(d for d in BLOCKS if d >= distance)]
+    own = [c for c in ("fp", "label") if c in fps.columns]
+    typed = ", ".join(f"{c} long" for c in own)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for k in range(0, len(fp), 1 << 13):
-                part = fp[k : k + (1 << 13)]
-                row, anchor, home = anchors(part, width)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(part[row].view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
+            columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            for k in range(0, batch.num_rows, 1 << 13):
+                part = [x[k : k + (1 << 13)] for x in columns]
+                row, anchor, home = anchors(part[0].view(np.uint64), width)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), *(pa.array(x[row]) for x in part), pa.array(home)], ["anchor", *own, "home"])
 
-    members = fps.select("fp").mapInArrow(replicate, "anchor long, fp long, home boolean")
+    members = fps.select(*own).mapInArrow(replicate, f"anchor long, {typed}, home boolean")
     counts = members.groupBy("anchor").agg(F.count("*").alias("n"), F.max("home").alias("homes")).where("n > 1 and homes")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.join(counts.select("anchor", blocks.alias("blocks")), "anchor").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = members.join(counts.select("anchor", blocks.alias("blocks")), "anchor").withColumn("own", F.pmod(F.xxhash64(*own), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    home = dealt.where("home").select("anchor", F.col("own").alias("a"), every.alias("b"), F.lit(0).alias("side"), "fp")
-    other = dealt.select("anchor", every.alias("a"), F.col("own").alias("b"), F.lit(1).alias("side"), "fp")
+    home = dealt.where("home").select("anchor", F.col("own").alias("a"), every.alias("b"), F.lit(0).alias("side"), *own)
+    other = dealt.select("anchor", every.alias("a"), F.col("own").alias("b"), F.lit(1).alias("side"), *own)
     rows = home.unionByName(other).repartition("anchor", "a", "b").sortWithinPartitions("anchor", "a", "b", "side")
+    names = [x.split()[0] for x in shape.split(", ")]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
-        def found(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            for u, v in _linked(parts[0], parts[1], parts[2].view(np.uint64), distance):
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+        def pairs(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            fp = parts[2].view(np.uint64)
+            for i, j in _near(parts[0], parts[1], fp, distance):
+                labels = np.stack([parts[3][i], parts[3][j]]) if len(parts) > 3 else None
+                for columns in found(parts[0][i, 0], fp[i], fp[j], labels):
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names)
 
         for batch in batches:
             columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-            new = [np.stack(columns[:3], axis=1), columns[3], columns[4]]
+            new = [np.stack(columns[:3], axis=1), *columns[3:]]
             held = [np.concatenate(x) for x in zip(held, new)] if held else new
             last = np.flatnonzero((held[0] != held[0][-1]).any(axis=1)) if len(held[0]) else []
             if len(last):
                 cut = last[-1] + 1
-                yield from found([x[:cut] for x in held])
+                yield from pairs([x[:cut] for x in held])
                 held = [x[cut:] for x in held]
         if held:
-            yield from found(held)
+            yield from pairs(held)
+
+    return rows.mapInArrow(compare, shape)
+
+
+def links(fps: DataFrame, distance: int = DISTANCE, nearest: bool = False) -> DataFrame:
+    """``(u, v)``: edges that connect the distinct fingerprints ``fp`` as all links within ``distance`` do.
+
+    With ``nearest``, also each fingerprint's shortest links.
+    """
+
+    def forest(anchor: np.ndarray, a: np.ndarray, b: np.ndarray, _: None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        a, b = a[a != b], b[a != b]
+        if not len(a):
+            return
+        yield local_forest(a, b)
+        if nearest:
+            u, v = np.concatenate([a, b]), np.concatenate([b, a])
+            order = np.lexsort((v, np.bitwise_count(u ^ v), u))
+            u, v = u[order], v[order]
+            first = np.r_[True, u[1:] != u[:-1]]
+            yield u[first], v[first]
 
-    return rows.mapInArrow(compare, "u long, v long")
+    return meetings(fps, distance, forest, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
@@ -165,7 +203,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     equal ids each get their row. A null id counts as larger than any; a component of null ids has a null
     ``component_id``. An empty table gives none.
     """
-    if not 0 <= distance <= max(WIDTHS):
+    if not 0 <= distance <= max(BLOCKS):
         raise ValueError("the blocks cover distances from 0 to 7")
     docs = checkpointed(fingerprints(df, id_col, text_col, shingle))
     least = docs.groupBy("fp").agg(F.min("id").alias("least"))

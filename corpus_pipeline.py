@@ -11,7 +11,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import packing, quality, simhash, substring
+from cellweave.llm import nearcopies, packing, quality, substring
 from cellweave.llm.common import read, shared_dir
 
 #: Bits in which the fingerprints of near copies differ at most. With three words to a shingle, pairs that share
@@ -26,12 +26,14 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest id, one row of it.
+    """One document of each group of near copies: that with the smallest id, one row of it.
 
-    Rows without an id stay, one for each text.
+    Fingerprints propose pairs, which count if they share 0.8 of their five-word shingles. Rows without an id stay, one
+    for each text.
     """
-    classes = simhash.near_duplicates(docs, distance=NEAR_BITS)
-    kept = classes.where("id = component_id").select(F.col("id").alias("__id")).distinct()
+    marked = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    copies = nearcopies.near_copies(marked, NEAR_BITS, row_col="__row")
+    kept = copies.groupBy("component").agg(F.min("id").alias("__id")).select("__id").distinct()
     found = docs.join(kept, docs.doc_id == kept["__id"], "left_semi").dropDuplicates(["doc_id"])
     return found.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
