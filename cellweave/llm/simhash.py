@@ -2,13 +2,14 @@
 
 A document's fingerprint has 64 bits, in two blocks of 32 or four of 16. Fingerprints within 3 bits of each other
 differ in at most one bit on one of two blocks, those within 7 on one of four, so each block is searched with a
-threshold of one. A block's anchors are the words of the Hamming code of length 31 (or 15) over its low bits, with its
-high bit as it is. That code is perfect: every value lies within the covering radius, 1, of exactly one anchor, its home.
-A fingerprint is replicated to every anchor within covering radius plus threshold, 2, on the low bits, and to its home
-with the other high bit: 17 (or 9) at most. If two blocks differ in one bit, the second reaches the home of the first, so
+threshold of one; those within 11 differ in at most two on one of four, searched with a threshold of two. A block's
+anchors are the words of the Hamming code of length 31 (or 15) over its low bits, with its high bit as it is. That code
+is perfect: every value lies within the covering radius, 1, of exactly one anchor, its home. A fingerprint is replicated
+to every anchor within covering radius plus threshold on the low bits, and to those one bit nearer with the other high
+bit: 17 (or 9, or 44) at most. If two blocks differ within the threshold, the second reaches the home of the first, so
 comparing the fingerprints at home with all that were replicated to the anchor finds every link.
 
-Only distinct fingerprints are replicated, 34 or 36 times at most. Anchors with many fingerprints are compared in
+Only distinct fingerprints are replicated, 34, 36 or 176 times at most. Anchors with many fingerprints are compared in
 parts, each pair of parts in its own task if need be; a task returns a spanning forest of the links it finds,
 never all pairs of a group. The forests become components with a few joins.
 """
@@ -16,6 +17,9 @@ never all pairs of a group. The forests become components with a few joins.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
+from itertools import combinations
+from operator import xor
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +33,7 @@ from cellweave.llm.components import components, local_forest
 SEED = 42
 DISTANCE = 3
 #: The blocks' width and the threshold in each of them, for each largest distance.
-BLOCKS = {3: (32, 1), 7: (16, 1)}
+BLOCKS = {3: (32, 1), 7: (16, 1), 11: (16, 2)}
 #: Fingerprints of an anchor that one task compares with as many others, and pairs compared at once.
 BLOCK = 4096
 PAIRS = 1 << 21
@@ -73,29 +77,36 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return bounded(df).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def _code(length: int) -> tuple[list[np.uint64], np.ndarray]:
-    """Parity masks of a Hamming code's checks; for each syndrome, the flips that lead to anchors within two."""
-    bit = [1 << (p - 1) for p in range(1, length + 1)]
-    masks = [np.uint64(sum(bit[p - 1] for p in range(1, length + 1) if p >> j & 1)) for j in range(length.bit_length())]
-    flips = np.zeros((length + 1, (length + 1) // 2), np.uint64)
-    for s in range(1, length + 1):
-        flips[s] = [bit[s - 1], *(bit[p - 1] | bit[(p ^ s) - 1] for p in range(1, length + 1) if p < p ^ s and p != s)]
-    return masks, flips
+@lru_cache
+def _code(width: int, threshold: int) -> tuple[list[np.uint64], np.ndarray, np.ndarray]:
+    """Parity masks of the Hamming code's checks on a block's low bits; for each syndrome, the flips that lead to anchors.
 
-
-def anchors(fp: np.ndarray, width: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    These are the anchors within covering radius plus threshold, less one where the high bit flips too. The home comes
+    first. The last array tells flips from filling.
+    """
+    length, high = width - 1, 1 << (width - 1)
+    masks = [np.uint64(sum(1 << (p - 1) for p in range(1, length + 1) if p >> j & 1)) for j in range(length.bit_length())]
+    found: list[list[int]] = [[] for _ in range(length + 1)]
+    for weight in range(threshold + 2):
+        for places in combinations(range(1, length + 1), weight):
+            flip, syndrome = sum(1 << (p - 1) for p in places), reduce(xor, places, 0)
+            found[syndrome] += [flip, flip | high] if weight <= threshold else [flip]
+    flips = np.zeros((length + 1, max(map(len, found))), np.uint64)
+    use = np.zeros(flips.shape, bool)
+    for s, each in enumerate(found):
+        flips[s, : len(each)], use[s, : len(each)] = each, True
+    return masks, flips, use
+
+
+def anchors(fp: np.ndarray, width: int = 32, threshold: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the fingerprint, anchor with its block's number in the high bits, whether it is home)."""
-    masks, flips = _code(width - 1)
-    high = np.uint64(1 << (width - 1))
+    masks, flips, use = _code(width, threshold)
     out = []
     for block in range(64 // width):
         value = (fp >> np.uint64(width * block)) & np.uint64((1 << width) - 1)
         syndrome = sum(((np.bitwise_count(value & m) & 1).astype(np.int64) << j) for j, m in enumerate(masks))
-        near = value[:, None] ^ flips[syndrome]
-        near = np.concatenate([near, near[:, :1] ^ high], axis=1) | np.uint64(block << 32)
-        use = np.ones(near.shape, bool)
-        use[syndrome == 0, 1:-1] = False
-        row, column = np.nonzero(use)
+        near = (value[:, None] ^ flips[syndrome]) | np.uint64(block << 32)
+        row, column = np.nonzero(use[syndrome])
         out.append((row, near[row, column], column == 0))
     return tuple(np.concatenate(x) for x in zip(*out))
 
@@ -126,7 +137,7 @@ def meetings(
     ``fps`` has distinct rows of ``fp`` and, if anything, a long ``label``; ``rows`` has the labels of both sides, or is None.
     Two rows meet at least once with each of them at home.
     """
-    width, _ = BLOCKS[min(d for d in BLOCKS if d >= distance)]
+    width, threshold = BLOCKS[min(d for d in BLOCKS if d >= distance)]
     own = [c for c in ("fp", "label") if c in fps.columns]
     typed = ", ".join(f"{c} long" for c in own)
 
@@ -135,7 +146,7 @@ def meetings(
             columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
             for k in range(0, batch.num_rows, 1 << 13):
                 part = [x[k : k + (1 << 13)] for x in columns]
-                row, anchor, home = anchors(part[0].view(np.uint64), width)
+                row, anchor, home = anchors(part[0].view(np.uint64), width, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), *(pa.array(x[row]) for x in part), pa.array(home)], ["anchor", *own, "home"])
 
     members = fps.select(*own).mapInArrow(replicate, f"anchor long, {typed}, home boolean")
@@ -197,14 +208,14 @@ def links(fps: DataFrame, distance: int = DISTANCE, nearest: bool = False) -> Da
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
     """One row per input row: ``id``, ``fp`` (fingerprint bits as a signed long) and ``component_id``.
 
-    A component holds all fingerprints reachable over links of ``distance`` (7 at most) or fewer bits;
+    A component holds all fingerprints reachable over links of ``distance`` (11 at most) or fewer bits;
     ``component_id`` is its smallest id. Texts are taken whole, A-Z in lower case; words are runs of anything
     but ASCII white space. Null and empty texts have fingerprint zero and link like any other. Rows with
     equal ids each get their row. A null id counts as larger than any; a component of null ids has a null
     ``component_id``. An empty table gives none.
     """
     if not 0 <= distance <= max(BLOCKS):
-        raise ValueError("the blocks cover distances from 0 to 7")
+        raise ValueError("the blocks cover distances from 0 to 11")
     docs = checkpointed(fingerprints(df, id_col, text_col, shingle))
     least = docs.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(least, distance))

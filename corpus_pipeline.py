@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from cellweave.llm import nearcopies, packing, quality, substring
 from cellweave.llm.common import read, shared_dir
 
-#: Bits in which the fingerprints of near copies differ at most. With three words to a shingle, pairs that share
-#: 0.8 of their five-word shingles differ in 7 bits in the median; at 3 bits most such pairs would stay.
-NEAR_BITS = 7
+#: Bits in which the fingerprints of proposed near copies differ at most. With three words to a shingle, pairs that share
+#: 0.8 of their five-word shingles differ in 7 bits in the median; at 7 bits about half of those near 0.8 would be missed.
+NEAR_BITS = 11
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,3 +76,19 @@ def test_bounds_let_every_similar_pair_pass():
             apart = len(set(sets[i].tolist()) ^ set(sets[j].tolist()))
             odd = sum(((int(a) ^ int(b)) % (1 << 64)).bit_count() for a, b in zip(parities(sets[i]), parities(sets[j])))
             assert abs(len(sets[i]) - len(sets[j])) <= apart and odd <= apart
+
+
+def test_isolated_pairs_further_apart_than_seven_bits(spark):
+    r = random.Random(5)
+    words, rows, far = [f"w{i}" for i in range(3000)], [], 0
+    while far < 12:
+        w = [r.choice(words) for _ in range(200)]
+        v = list(w)
+        for at in range(20, 200, 50):
+            v[at] = r.choice(words)
+        a, b = " ".join(w), " ".join(v)
+        if 8 <= (fingerprint(a) ^ fingerprint(b)).bit_count() <= 11:
+            rows += [(2 * far, a), (2 * far + 1, b)]
+            far += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(x.doc_id for x in p.drop_near_copies(spark, docs, "").collect()) == [2 * k for k in range(12)]

@@ -104,3 +104,14 @@ def test_near_duplicates_against_brute_force(spark):
         want = sorted(zip([i for i, _ in rows], fps, classes([i for i, _ in rows], fps, distance)), key=str)
         assert sorted([(x.id, x.fp % (1 << 64), x.component_id) for x in got], key=str) == want
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_links_within_eleven_meet_on_a_block_of_sixteen_with_threshold_two():
+    r = random.Random(6)
+    assert np.bincount(anchors(np.array([r.getrandbits(64) for _ in range(300)], np.uint64), 16, 2)[0]).max() == 176
+    for _ in range(200):
+        f = g = r.getrandbits(64)
+        for bit in r.sample(range(64), r.randint(0, 11)):
+            g ^= 1 << bit
+        (_, a, home), (_, b, _) = (anchors(np.array([x], np.uint64), 16, 2) for x in (f, g))
+        assert set(a[home].tolist()) & set(b.tolist())
