@@ -26,15 +26,15 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id, one row of it.
+    """One row of each group of near copies: of those with the smallest id, that whose text and columns hash lowest.
 
-    Fingerprints propose pairs, which count if they share 0.8 of their five-word shingles. Rows without an id stay, one
-    for each text.
+    Fingerprints propose pairs, which count if they share 0.8 of their five-word shingles. Every row is judged by its own
+    text, so rows that share an id but not a text can all stay. Rows without an id stay, one for each text.
     """
-    marked = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    marked = docs.withColumn("__row", F.xxhash64("doc_id", "text", *(F.col(f"`{c}`") for c in docs.columns)))
     copies = nearcopies.near_copies(marked, NEAR_BITS, row_col="__row")
-    kept = copies.groupBy("component").agg(F.min("id").alias("__id")).select("__id").distinct()
-    found = docs.join(kept, docs.doc_id == kept["__id"], "left_semi").dropDuplicates(["doc_id"])
+    kept = copies.where("id is not null").groupBy("component").agg(F.min(F.struct("id", "row")).alias("first"))
+    found = marked.join(kept.select(F.col("first.row").alias("__row")), "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)
     return found.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 

@@ -92,3 +92,17 @@ def test_isolated_pairs_further_apart_than_seven_bits(spark):
             far += 1
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(x.doc_id for x in p.drop_near_copies(spark, docs, "").collect()) == [2 * k for k in range(12)]
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark):
+    r = random.Random(9)
+    a, b = (" ".join(r.choice("abcdefghij") + str(r.randrange(300)) for _ in range(150)) for _ in range(2))
+    rows = [(3, a, "en"), (5, a, "en"), (5, b, "en"), (5, b, "de"), (5, b, "de"), (7, b, "en"), (None, a, "en"), (None, a, "en")]
+    seen = set()
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)
+        got = p.drop_near_copies(spark, docs, "").collect()
+        assert sorted((x.doc_id, x.text) for x in got if x.doc_id is not None) == sorted([(3, a), (5, b)])
+        assert sum(x.doc_id is None for x in got) == 1
+        seen.add(tuple(sorted(x.lang for x in got if x.doc_id == 5)))
+    assert len(seen) == 1
