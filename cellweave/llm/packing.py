@@ -11,15 +11,16 @@ Two packers share the tokenizer and the cutting of overlong documents:
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
 LENGTH = 1024
 END = 2
-#: Pieces and words that a task's process remembers at most.
-REMEMBERED = 900_000
+#: Bytes of words and ids that a task's process remembers at most, and new words that the tokenizer gets as one text.
+REMEMBERED = 64 << 20
+TOGETHER = 64
 #: Open sequences of a task, and pieces that it looks at together before it places the longest of them first.
 OPEN = 4096
 LOOKAHEAD = 1 << 15
@@ -42,50 +44,94 @@ POOL_TOKENS = 1 << 21
 MATRIX_ROWS = 64
 
 
-#: White space that is no space, before a space: a run that a split at spaces would part.
-_PARTED = tuple(f"{chr(c)} " for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+#: White space that is followed by a space: a run that a split at spaces would part.
+_PARTED = "[\\t-\\r\\x1c- \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "
+
 
+class WordIds:
+    """Texts to ids, by way of their distinct words.
 
-class PieceIds:
-    """Texts to ids. The tokenizer splits a text into pieces and encodes each for itself, so the ids of a text are those of its
-    pieces in turn; pieces, and the words between spaces that they make up, are remembered within bounds.
+    The byte-level tokenizer splits a text into pieces and encodes each for itself. No piece reaches over a space that
+    follows something else than white space, so the ids of a text that is split at its spaces are those of its words in
+    turn, each word but the first with a space before it. Arrow splits and numbers the words; the tokenizer sees each
+    distinct word once, many together: no id but a word's first begins with a space. A numpy gather then makes one flat array
+    of ids. Words are remembered within a bound of bytes.
 
-    A piece begins with a space or at its side, never around it, unless spaces or other white space stand before a space.
-    Texts where these do are split into pieces whole; the others at their spaces first. New pieces go to the tokenizer together.
+    The tokenizer takes texts whole where white space stands before a space, or where the string of one of its added tokens
+    stands, which it gives that token's id unless ``special_as_text``; and all texts, if it splits them by another rule.
     """
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
+    def __init__(self, path: str, special_as_text: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.pattern = regex.compile(pattern)
-        self.pieces: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
-
-    def documents(self, texts: list[str | None], end: int) -> list[np.ndarray]:
-        """The ids of each text, and ``end`` after them."""
-        if len(self.pieces) + len(self.spaced) > REMEMBERED:
-            self.pieces.clear()
-            self.spaced.clear()
-        find, one = self.pattern.findall, self.pieces.__getitem__
-        words = [None if not t or any(x in t for x in _PARTED) else t.split(" ") for t in texts]
-        first = [find(w[0] if w else t) if t else [] for t, w in zip(texts, words)]
-        new = set().union(*(w[1:] for w in words if w)).difference(self.spaced)
-        whole = [w for w in new if w.isascii() and w.isalpha()]
-        made = {w: find(f" {w}") for w in new.difference(whole)}
-        need = list({p for pieces in (*first, *made.values()) for p in pieces}.difference(self.pieces))
-        found = self.tokenizer.encode_batch_fast([*(f" {w}" for w in whole), *need], add_special_tokens=False)
-        raw = [array("I", x.ids).tobytes() for x in found]
-        self.spaced.update(zip(whole, raw))
-        self.pieces.update(zip(need, raw[len(whole) :]))
-        self.spaced.update((w, b"".join(map(one, pieces))) for w, pieces in made.items())
-        follow = self.spaced.__getitem__
-        last = np.array([end], "<u4").tobytes()
-        return [np.frombuffer(b"".join((*map(one, f), *map(follow, w[1:] if w else ()), last)), "<u4") for f, w in zip(first, words)]
-
-
-def tokenizer(path: str) -> PieceIds:
+        self.tokenizer.encode_special_tokens = special_as_text
+        rule = json.loads(self.tokenizer.to_str())
+        before = rule["pre_tokenizer"] or {}
+        split = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        self.splits = split and not rule["normalizer"] and not rule["post_processor"]
+        strings = [t["content"] for t in rule["added_tokens"]]
+        self.whole = "|".join([_PARTED, *map(re.escape, strings)])
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = pa.array([""], pa.string())
+        self.ids = self._encoded([" "])[0]
+        self.starts, self.counts = np.zeros(1, np.int64), np.array([len(self.ids)])
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _numbered(self, words: pa.Array) -> np.ndarray:
+        """Where each word is remembered; new ones are encoded first."""
+        each = words.dictionary_encode()
+        new = each.dictionary.filter(pc.is_null(pc.index_in(each.dictionary, self.words)))
+        if len(new):
+            text = new.to_pylist()
+            ids = np.concatenate(self._encoded([f" {' '.join(text[k : k + TOGETHER])}" for k in range(0, len(text), TOGETHER)]))
+            starts = np.flatnonzero(self.spaced[ids])
+            self.starts = np.concatenate([self.starts, starts + len(self.ids)])
+            self.counts = np.concatenate([self.counts, np.diff(starts, append=len(ids))])
+            self.ids = np.concatenate([self.ids, ids])
+            self.words = pa.concat_arrays([self.words, new])
+        return pc.index_in(each.dictionary, self.words).to_numpy(zero_copy_only=False)[each.indices.to_numpy()]
+
+    def documents(self, texts: pa.Array, end: int) -> list[np.ndarray]:
+        """The ids of each text, and ``end`` after them; a null text is an empty one."""
+        if self.words.nbytes + self.ids.nbytes > REMEMBERED:
+            self._forget()
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        n = len(texts)
+        if not n:
+            return []
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False) if self.splits else np.ones(n, bool)
+        parts = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
+        at = parts.offsets.to_numpy().astype(np.int64)
+        at -= at[0]
+        words = parts.flatten()
+        number = self._numbered(words)
+        # What begins a text stands for itself: its first word without a space, or all of a text that is taken whole.
+        first = pc.if_else(pa.array(whole), texts, words.take(pa.array(at[:-1]))).dictionary_encode()
+        begun = self._encoded(first.dictionary.to_pylist())
+        own = np.array([len(x) for x in begun], np.int64)
+        own_at = len(self.ids) + np.cumsum(own) - own
+        store = np.concatenate([self.ids, *begun, np.array([end], np.uint32)])
+        # The segments of all texts in turn: one for each word and one for the end.
+        text = np.repeat(np.arange(n), np.diff(at))
+        start, count = np.full(len(number) + n, len(store) - 1), np.ones(len(number) + n, np.int64)
+        place = np.arange(len(number)) + text
+        start[place], count[place] = self.starts[number], self.counts[number]
+        head, code = at[:-1] + np.arange(n), first.indices.to_numpy()
+        start[head], count[head] = own_at[code], own[code]
+        ends = np.cumsum(count)
+        flat = store[np.repeat(start - ends + count, count) + np.arange(ends[-1])].astype("<u4")
+        return np.split(flat, ends[at[1:] + np.arange(n)][:-1])
+
+
+def tokenizer(path: str) -> WordIds:
     """The tokenizer of this process."""
-    return sole(("pieces", path), lambda: PieceIds(path))
+    return sole(("words", path), lambda: WordIds(path))
 
 
 def cuts(n: int, length: int) -> list[tuple[int, int]]:
@@ -143,7 +189,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         own, names = tokenizer(path), ["doc_id", "piece", "start", "length", "ids_crc32"]
         for batch in slices(batches):
             rows = []
-            for i, ids in zip(batch.column(0).to_pylist(), own.documents(batch.column(1).to_pylist(), end)):
+            for i, ids in zip(batch.column(0).to_pylist(), own.documents(batch.column(1), end)):
                 rows += [(i, k, s, n, zlib.crc32(ids[s : s + n])) for k, (s, n) in enumerate(cuts(len(ids), length))]
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
@@ -155,9 +201,11 @@ def place_pieces(cut: DataFrame, length: int = LENGTH, most_open: int = OPEN, lo
     """``pieces`` with ``sequence_id`` and ``offset``.
 
     Each task packs the pieces it is dealt, in an order that depends on them alone, so a task that runs again
-    places them alike. A sequence's id holds its task's number in the high bits.
+    places them alike. Pieces are dealt by all that they are and by the task they come from, so that many like ones (null
+    ids, repeated rows) spread too. A sequence's id holds its task's number in the high bits.
     """
-    order = [F.xxhash64("doc_id", "piece"), "doc_id", "piece", "length", "ids_crc32"]
+    own = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    order = [F.xxhash64(*own), *own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins = OpenBins(length, most_open, TaskContext.get().partitionId() << 40)
@@ -180,8 +228,8 @@ def place_pieces(cut: DataFrame, length: int = LENGTH, most_open: int = OPEN, lo
         if sum(b.num_rows for b in held):
             yield placed()
 
-    dealt = cut.repartition(F.xxhash64("doc_id", "piece")).sortWithinPartitions(*order)
-    return dealt.mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
+    dealt = cut.withColumn("__deal", F.xxhash64(*own, F.spark_partition_id())).repartition("__deal").sortWithinPartitions(*order)
+    return dealt.select(*own).mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = BPE_50K, length: int = LENGTH, end: int = END, most_open: int = OPEN) -> DataFrame:
@@ -261,17 +309,24 @@ def pack_matrices(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
 
     def matrices(pool: list[tuple[int | None, int, np.ndarray]], first: int) -> Iterator[dict]:
-        rows = best_fit_decreasing(np.array([len(x) for _, _, x in pool], np.int64), length)
+        sizes = np.array([len(x) for _, _, x in pool], np.int64)
+        rows = best_fit_decreasing(sizes, length)
         for k in range(0, len(rows), matrix_rows):
             part = rows[k : k + matrix_rows]
-            ids = np.full((len(part), length), pad, "<u4")
-            positions = np.empty((len(part), length), "<u4")
+            ids = np.full(len(part) * length, pad, "<u4")
+            begins = np.zeros(len(ids), np.int64)
             cumulative = []
             for r, members in enumerate(part):
-                edges = np.cumsum([0, *(len(pool[i][2]) for i in members)])
-                ids[r, : edges[-1]] = np.concatenate([pool[i][2] for i in members])
-                positions[r] = np.arange(length) - np.repeat(edges, np.diff(np.r_[edges, length]))
-                cumulative.append(edges.tolist())
+                edges = [0]
+                for i in members:
+                    at = r * length + edges[-1]
+                    ids[at : at + sizes[i]] = pool[i][2]
+                    begins[at] = at
+                    edges.append(edges[-1] + int(sizes[i]))
+                if edges[-1] < length:
+                    begins[r * length + edges[-1]] = r * length + edges[-1]
+                cumulative.append(edges)
+            positions = (np.arange(len(ids)) - np.maximum.accumulate(begins)).astype("<u4")
             yield {
                 "matrix_id": first + k // matrix_rows, "n_rows": len(part), "ids": ids.tobytes(), "lengths": [c[-1] for c in cumulative],
                 "cu_seqlens": cumulative, "positions": positions.tobytes(),
@@ -294,7 +349,7 @@ def pack_matrices(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pool, tokens = [], 0
 
         for batch in slices(batches):
-            for i, ids in zip(batch.column(0).to_pylist(), own.documents(batch.column(1).to_pylist(), end)):
+            for i, ids in zip(batch.column(0).to_pylist(), own.documents(batch.column(1), end)):
                 for s, n in cuts(len(ids), length):
                     if tokens + n > pool_tokens:
                         yield from flushed()

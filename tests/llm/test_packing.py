@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -11,7 +12,6 @@ from cellweave.llm import packing
 
 def reference(text):
     t = Tokenizer.from_file(packing.BPE_50K)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, packing.END]
 
 
@@ -44,16 +44,26 @@ def test_places_are_gapless_and_pieces_whole(spark, rows):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_ids_are_the_tokenizers_own():
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_ids_are_the_tokenizers_own(special_as_text):
     r = random.Random(11)
-    marks = [" ", "  ", "   ", "\n", " \n", "\n ", "\t ", "\xa0", "\xa0 ", "\x1c", "\x1d ", "\u2003 ", "\u3000", "'s", "a", "été", "x1", "²", "_", "!?", "日本", "don't"]
+    marks = [" ", "  ", "   ", "\n", " \n", "\n ", "\t ", "\xa0", "\xa0 ", "\x1c", "\x1d ", "\u2003 ", "\u3000", "'s", "a", "été", "x1", "²", "_", "!?", "日本", "don't", "<|endoftext|>", "\u0120"]
     texts = ["".join(r.choice(marks) for _ in range(r.randint(0, 30))) for _ in range(3000)]
-    own = packing.PieceIds(packing.BPE_50K)
+    own = packing.WordIds(packing.BPE_50K, special_as_text)
     t = Tokenizer.from_file(packing.BPE_50K)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = special_as_text
     want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
-    got = [x.tolist() for k in range(0, 3000, 100) for x in own.documents(texts[k : k + 100], packing.END)]
+    got = [x.tolist() for k in range(0, 3000, 100) for x in own.documents(pa.array(texts[k : k + 100]), packing.END)]
     assert got == [[*w, packing.END] for w in want]
+    assert own.documents(pa.array([], pa.string()), packing.END) == []
+    assert [x.tolist() for x in own.documents(pa.array([None, ""]), 7)] == [[7], [7]]
+
+
+def test_ids_do_not_depend_on_what_is_remembered(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 300)
+    own, texts = packing.WordIds(packing.BPE_50K), [f"word{i} other{i // 3} and\nmore" for i in range(60)]
+    got = [x.tolist() for k in range(0, 60, 4) for x in own.documents(pa.array(texts[k : k + 4]), packing.END)]
+    assert got == [reference(t) for t in texts] and len(own.words) < 60
 
 
 def test_packing_is_close_to_full():
@@ -94,13 +104,32 @@ def test_best_fit_decreasing_against_a_plain_search():
 
 
 def test_matrices_hold_every_id(spark, rows):
-    found = defaultdict(dict)
-    for m in packing.pack_matrices(spark.createDataFrame(rows[:40], "doc_id long, text string"), pool_tokens=5000, matrix_rows=4).collect():
+    columns = "doc_id long, text string, ids string, lengths int"
+    found, want = defaultdict(list), defaultdict(list)
+    df = spark.createDataFrame([(*x, "k", 5) for x in rows], columns)
+    for m in packing.pack_matrices(df, pool_tokens=5000, matrix_rows=4).collect():
         ids, positions = (np.frombuffer(x, "<u4").reshape(m.n_rows, 1024) for x in (m.ids, m.positions))
         for r in range(m.n_rows):
             edges = m.cu_seqlens[r]
             assert edges[0] == 0 and edges[-1] == m.lengths[r] and (ids[r, edges[-1] :] == packing.END).all()
+            assert positions[r, edges[-1] :].tolist() == list(range(1024 - edges[-1]))
             for doc, start, a, b in zip(m.doc_ids[r], m.starts[r], edges, edges[1:]):
-                found[doc][start] = ids[r, a:b].tolist()
+                found[doc].append((start, ids[r, a:b].tolist()))
                 assert positions[r, a:b].tolist() == list(range(b - a))
-    assert {d: [x for s in sorted(v) for x in v[s]] for d, v in found.items()} == {i: reference(t) for i, t in rows[:40]}
+    for i, t in rows:
+        ids = reference(t)
+        want[i] += [(s, ids[s : s + n]) for s, n in packing.cuts(len(ids), 1024)]
+    order = lambda x: sorted(x, key=repr)
+    assert {d: order(v) for d, v in found.items()} == {d: order(v) for d, v in want.items()}
+    assert packing.pack_matrices(df.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_spread_over_tasks(spark):
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesced, False)
+    try:
+        got = packing.pack(spark.range(4000).repartition(8).selectExpr("CAST(NULL AS LONG) AS doc_id", "'a b' AS text"), length=8).collect()
+    finally:
+        spark.conf.unset(coalesced)
+    assert len(got) == 4000 and len({x.sequence_id >> 40 for x in got}) > 1
+    assert max(sum(x.length for x in got if x.sequence_id == s) for s in {x.sequence_id for x in got}) <= 8
