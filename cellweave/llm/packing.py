@@ -33,9 +33,12 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 BPE_50K = public_tokenizers.path("byte_bpe_50k.json")
 LENGTH = 1024
 END = 2
-#: Bytes of words and ids that a task's process remembers at most, and new words that the tokenizer gets as one text.
-REMEMBERED = 64 << 20
-TOGETHER = 64
+#: Words that a task's process remembers at most, and new words that the tokenizer gets as one text.
+REMEMBERED = 1 << 17
+TOGETHER = 512
+LONG = 64
+#: Bytes of text that are encoded together.
+PART = 4 << 20
 #: Open sequences of a task, and pieces that it looks at together before it places the longest of them first.
 OPEN = 4096
 LOOKAHEAD = 1 << 15
@@ -48,6 +51,12 @@ MATRIX_ROWS = 64
 _PARTED = "[\\t-\\r\\x1c- \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}] "
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all runs in turn."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class WordIds:
     """Texts to ids, by way of their distinct words.
 
@@ -55,7 +64,7 @@ class WordIds:
     follows something else than white space, so the ids of a text that is split at its spaces are those of its words in
     turn, each word but the first with a space before it. Arrow splits and numbers the words; the tokenizer sees each
     distinct word once, many together: no id but a word's first begins with a space. A numpy gather then makes one flat array
-    of ids. Words are remembered within a bound of bytes.
+    of ids. Words that are found again are remembered, up to a fixed number; longer ones than ``LONG`` bytes are not.
 
     The tokenizer takes texts whole where white space stands before a space, or where the string of one of its added tokens
     stands, which it gives that token's id unless ``special_as_text``; and all texts, if it splits them by another rule.
@@ -83,24 +92,36 @@ class WordIds:
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _numbered(self, words: pa.Array) -> np.ndarray:
-        """Where each word is remembered; new ones are encoded first."""
+    def _numbered(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number of each word, and by number where its ids start and how many they are, in the ids that come last.
+
+        Words that are not remembered are encoded; those found more than once are remembered from then on.
+        """
         each = words.dictionary_encode()
-        new = each.dictionary.filter(pc.is_null(pc.index_in(each.dictionary, self.words)))
-        if len(new):
-            text = new.to_pylist()
-            ids = np.concatenate(self._encoded([f" {' '.join(text[k : k + TOGETHER])}" for k in range(0, len(text), TOGETHER)]))
-            starts = np.flatnonzero(self.spaced[ids])
-            self.starts = np.concatenate([self.starts, starts + len(self.ids)])
-            self.counts = np.concatenate([self.counts, np.diff(starts, append=len(ids))])
-            self.ids = np.concatenate([self.ids, ids])
-            self.words = pa.concat_arrays([self.words, new])
-        return pc.index_in(each.dictionary, self.words).to_numpy(zero_copy_only=False)[each.indices.to_numpy()]
+        codes = each.indices.to_numpy()
+        number = pc.index_in(each.dictionary, self.words)
+        new = pc.is_null(number).to_numpy(zero_copy_only=False)
+        number = pc.fill_null(number, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = each.dictionary.filter(pa.array(new))
+        text = fresh.to_pylist()
+        found = self._encoded([f" {' '.join(text[k : k + TOGETHER])}" for k in range(0, len(text), TOGETHER)])
+        ids = np.concatenate([self.ids, *found])
+        begin = np.flatnonzero(self.spaced[ids[len(self.ids) :]]) + len(self.ids)
+        starts, counts = np.concatenate([self.starts, begin]), np.concatenate([self.counts, np.diff(begin, append=len(ids))])
+        number[new] = len(self.words) + np.arange(len(fresh))
+        again = (np.bincount(codes, minlength=len(new))[new] > 1) & (pc.binary_length(fresh).to_numpy(zero_copy_only=False) <= LONG)
+        if len(self.words) + again.sum() > REMEMBERED:
+            self._forget()
+        keep = np.flatnonzero(again) + len(starts) - len(fresh)
+        sizes = counts[keep]
+        ends = np.cumsum(sizes)
+        self.starts, self.counts = np.concatenate([self.starts, len(self.ids) + ends - sizes]), np.concatenate([self.counts, sizes])
+        self.ids = np.concatenate([self.ids, ids[_runs(starts[keep], sizes)]])
+        self.words = pa.concat_arrays([self.words, fresh.filter(pa.array(again))])
+        return number[codes], starts, counts, ids
 
     def documents(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         """The ids of each text, and ``end`` after them; a null text is an empty one."""
-        if self.words.nbytes + self.ids.nbytes > REMEMBERED:
-            self._forget()
         texts = pc.fill_null(texts.cast(pa.string()), "")
         n = len(texts)
         if not n:
@@ -110,22 +131,22 @@ class WordIds:
         at = parts.offsets.to_numpy().astype(np.int64)
         at -= at[0]
         words = parts.flatten()
-        number = self._numbered(words)
+        number, starts, counts, ids = self._numbered(words)
         # What begins a text stands for itself: its first word without a space, or all of a text that is taken whole.
         first = pc.if_else(pa.array(whole), texts, words.take(pa.array(at[:-1]))).dictionary_encode()
         begun = self._encoded(first.dictionary.to_pylist())
         own = np.array([len(x) for x in begun], np.int64)
-        own_at = len(self.ids) + np.cumsum(own) - own
-        store = np.concatenate([self.ids, *begun, np.array([end], np.uint32)])
+        own_at = len(ids) + np.cumsum(own) - own
+        store = np.concatenate([ids, *begun, np.array([end], np.uint32)])
         # The segments of all texts in turn: one for each word and one for the end.
         text = np.repeat(np.arange(n), np.diff(at))
         start, count = np.full(len(number) + n, len(store) - 1), np.ones(len(number) + n, np.int64)
         place = np.arange(len(number)) + text
-        start[place], count[place] = self.starts[number], self.counts[number]
+        start[place], count[place] = starts[number], counts[number]
         head, code = at[:-1] + np.arange(n), first.indices.to_numpy()
         start[head], count[head] = own_at[code], own[code]
         ends = np.cumsum(count)
-        flat = store[np.repeat(start - ends + count, count) + np.arange(ends[-1])].astype("<u4")
+        flat = store[_runs(start, count)].astype("<u4")
         return np.split(flat, ends[at[1:] + np.arange(n)][:-1])
 
 
@@ -187,7 +208,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, names = tokenizer(path), ["doc_id", "piece", "start", "length", "ids_crc32"]
-        for batch in slices(batches):
+        for batch in slices(batches, PART):
             rows = []
             for i, ids in zip(batch.column(0).to_pylist(), own.documents(batch.column(1), end)):
                 rows += [(i, k, s, n, zlib.crc32(ids[s : s + n])) for k, (s, n) in enumerate(cuts(len(ids), length))]
@@ -348,7 +369,7 @@ def pack_matrices(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_pylist([row], kinds)
             pool, tokens = [], 0
 
-        for batch in slices(batches):
+        for batch in slices(batches, PART):
             for i, ids in zip(batch.column(0).to_pylist(), own.documents(batch.column(1), end)):
                 for s, n in cuts(len(ids), length):
                     if tokens + n > pool_tokens:
