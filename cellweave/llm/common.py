@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -61,14 +62,26 @@ def power_of_two(n: float) -> int:
     return max(0, int(np.ceil(np.log2(max(1.0, n)))))
 
 
-class WordHashes(dict):
-    """Word (bytes) to 64-bit hash, remembered up to a fixed number of words."""
+def split_words(texts: pa.Array, unicode: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts in turn, and how many each text has; a null text has none.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+    Words are runs of anything but ASCII white space (space and 9 to 13), or with ``unicode`` but white space of any kind.
+    """
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    parts = (pc.utf8_split_whitespace if unicode else pc.ascii_split_whitespace)(texts)
+    words = parts.flatten()
+    real = pc.greater(pc.binary_length(words), 0)
+    ends = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    at = parts.offsets.to_numpy().astype(np.int64)
+    return words.filter(real), np.diff(ends[at - at[0]])
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; each distinct word is hashed once."""
+    each = words.cast(pa.binary()).dictionary_encode()
+    distinct = each.dictionary.to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    return hashes[each.indices.to_numpy()]
 
 
 _KEPT: dict[object, object] = {}
@@ -82,11 +95,6 @@ def sole(name: object, make: Callable[[], object]) -> object:
     return _KEPT[name]
 
 
-def word_hashes() -> WordHashes:
-    """The memo of this process."""
-    return sole("word hashes", WordHashes)
-
-
 def pack(values: np.ndarray) -> bytes:
     """An integer array as byte planes under zstd; ``unpack`` is its inverse."""
     raw = np.ascontiguousarray(values)

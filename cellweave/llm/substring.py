@@ -3,8 +3,9 @@
 A window is ``window`` consecutive words of one document. A word is removed when some window that
 covers it has a word sequence that also starts in a document with a smaller id.
 
-Documents are dealt into chunks of a few megabytes by a hash of the whole row, so that every pass
-sees the same documents together; one exchange of the texts serves all three passes.
+Documents are dealt into chunks of a few megabytes by a hash of id, text and the part of the table that they
+come from, so that like rows spread too; one exchange of the texts serves all three passes, so every pass sees the
+same documents together.
 
 1. *Sketch.* Each chunk contributes the cells of its distinct windows, once each. Chunk sketches are
    sparse (sorted cell numbers); a shard of cells merges them into count-min rows and returns to each
@@ -23,11 +24,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import WordHashes, bounded, pack, pack_sorted, power_of_two, text_bytes, unpack, unpack_sorted, word_hashes
+from cellweave.llm.common import bounded, pack, pack_sorted, power_of_two, sole, split_words, text_bytes, unpack, unpack_sorted, word_hashes
 
 #: Bytes of text that one chunk holds on average, and windows that one shard holds at most on average.
 CHUNK_BYTES = 4 << 20
@@ -66,15 +68,14 @@ def window_hashes(words: np.ndarray, window: int, base: int) -> np.ndarray:
 class _Chunk:
     """The documents of one chunk in a fixed order, with the hashes of their windows."""
 
-    def __init__(self, table: pa.Table, window: int, memo: WordHashes):
+    def __init__(self, table: pa.Table, window: int):
+        sole("chunks", dict)
         ids = [_LAST if x is None else x for x in table["__id"].to_pylist()]
         texts = ["" if x is None else x for x in table["__text"].to_pylist()]
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
         self.ids = np.array([ids[i] for i in self.order], np.int64)
-        self.texts = [texts[i] for i in self.order]
-        hashes = [np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)) for words in (t.encode().split() for t in self.texts)]
-        self.lengths = np.array([len(h) for h in hashes], np.int64)
-        flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        self.words, self.lengths = split_words(table["__text"].combine_chunks().take(pa.array(self.order, pa.int64())))
+        flat = word_hashes(self.words)
         self.ends = np.cumsum(self.lengths)
         doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
         n = max(0, len(flat) - window + 1)
@@ -146,12 +147,12 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     docs = bounded(df).select(
         F.struct("*").alias("document"), F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"),
-        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).alias("chunk"),
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.spark_partition_id()), F.lit(chunks)).alias("chunk"),
     )
     by_chunk = docs.groupBy("chunk")
 
     def sketch(key: tuple, table: pa.Table) -> pa.Table:
-        cells = np.unique(_Chunk(table, window, word_hashes()).high >> np.uint64(64 - cell_bits))
+        cells = np.unique(_Chunk(table, window).high >> np.uint64(64 - cell_bits))
         parts = _split(cells, cell_bits - shard_bits)
         return _table(_CELLS, shard=[s for s, _, _ in parts], chunk=[key[0].as_py()] * len(parts), cells=[pack_sorted(cells[a:b]) for _, a, b in parts])
 
@@ -170,7 +171,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def digests(key: tuple, table: pa.Table, repeated: pa.Table) -> pa.Table:
         if not len(repeated) or not len(table):
             return _DIGESTS.empty_table()
-        chunk = _Chunk(table, window, word_hashes())
+        chunk = _Chunk(table, window)
         cells = np.sort(np.concatenate([unpack_sorted(x) for x in repeated["cells"].to_pylist()]))
         own = chunk.high >> np.uint64(64 - cell_bits)
         keep = cells[np.minimum(np.searchsorted(cells, own), len(cells) - 1)] == own
@@ -194,7 +195,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     result = T.StructType([T.StructField("document", docs.schema["document"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def remove(table: pa.Table, elsewhere: pa.Table) -> pa.Table:
-        chunk = _Chunk(table, window, word_hashes())
+        chunk = _Chunk(table, window)
         rows, starts, first = chunk.groups()
         repeat = np.zeros(len(rows), bool)
         if len(rows):
@@ -210,14 +211,11 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         np.add.at(edge, begin, 1)
         np.add.at(edge, begin + window, -1)
         covered = np.cumsum(edge[:-1]) > 0
-        kept, removed = [], []
-        for text, end in zip(chunk.texts, chunk.ends):
-            words = text.encode().split()
-            gone = covered[end - len(words) : end]
-            removed.append(int(gone.sum()))
-            kept.append(b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode() if removed[-1] else b" ".join(words).decode())
+        kept = np.concatenate([[0], np.cumsum(~covered)])
+        at = np.concatenate([[0], kept[chunk.ends]])
+        text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), chunk.words.filter(pa.array(~covered))), " ")
         document = table["document"].combine_chunks().take(pa.array(chunk.order, pa.int64()))
-        return pa.table({"document": document, "n_words": pa.array(chunk.lengths.tolist(), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_text": pa.array(kept, pa.string())})
+        return pa.table({"document": document, "n_words": pa.array(chunk.lengths, pa.int64()), "n_removed": pa.array(chunk.lengths - np.diff(at), pa.int64()), "kept_text": text})
 
     cells = by_chunk.applyInArrow(sketch, "shard long, chunk long, cells binary")
     repeated = cells.groupBy("shard").applyInArrow(merge, "chunk long, cells binary")
