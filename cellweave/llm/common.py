@@ -25,11 +25,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is made.
+    Where that is unset, a temporary folder is made if Spark runs on one machine alone (tests); a cluster must set it.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cellweave-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cellweave-"))
     return spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()
 
 
@@ -39,6 +42,22 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key that more than one row in so many has is looked up on its own.
+HEAVY = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` with the columns of ``table``, whose ``key`` is unique and whose ``count`` says how many rows have it.
+
+    Of keys that more than a thousandth of the rows have there are a thousand at most; these are broadcast. The others meet
+    in a shuffle, in which none of them is heavy. ``count`` does not stay.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    heavy = F.broadcast(table.where(F.col(count) * HEAVY > total).drop(count))
+    rest = rows.join(heavy.select(key), key, "left_anti").join(table.where(F.col(count) * HEAVY <= total).drop(count), key)
+    return rows.join(heavy, key).unionByName(rest)
+
+
 #: Bytes of a batch on its way to Python.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import bounded, checkpointed, sole
+from cellweave.llm.common import bounded, checkpointed, looked_up, sole
 from cellweave.llm.components import components, local_forest
 
 SEED = 42
@@ -217,9 +217,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not 0 <= distance <= max(BLOCKS):
         raise ValueError("the blocks cover distances from 0 to 11")
     docs = checkpointed(fingerprints(df, id_col, text_col, shingle))
-    least = docs.groupBy("fp").agg(F.min("id").alias("least"))
+    least = docs.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     roots = components(links(least, distance))
-    joined = least.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    joined = checkpointed(joined)
-    classes = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return docs.join(joined.join(classes, "root").select("fp", "component_id"), "fp").select("id", "fp", "component_id")
+    own = checkpointed(least.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    classes = checkpointed(own.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+    known = checkpointed(looked_up(own.select("fp", "n", "root"), classes, "root", "members"))
+    return looked_up(docs, known.select("fp", "component_id", "n"), "fp", "n").select("id", "fp", "component_id")

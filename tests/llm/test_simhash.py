@@ -115,3 +115,13 @@ def test_links_within_eleven_meet_on_a_block_of_sixteen_with_threshold_two():
             g ^= 1 << bit
         (_, a, home), (_, b, _) = (anchors(np.array([x], np.uint64), 16, 2) for x in (f, g))
         assert set(a[home].tolist()) & set(b.tolist())
+
+
+def test_rows_that_share_an_id_and_heavy_fingerprints(spark):
+    """One id on two unlike texts does not link them; a fingerprint that most rows have, and a very long text."""
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(5, "one text of its own"), (5, "quite another one here"), (2, "quite another one here")]
+    rows += [(i, "") for i in range(100, 1300)] + [(3, long), (4, long.upper())]
+    got = {(x.id, x.fp): x.component_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {c for (i, f), c in got.items() if f == 0} == {100} and len(got) == 1205
+    assert sorted(c for (i, _), c in got.items() if i == 5) == [2, 5] and [c for (i, _), c in got.items() if i in (3, 4)] == [3, 3]
