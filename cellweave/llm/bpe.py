@@ -30,6 +30,8 @@ MULTI_50K = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 ID_BYTES = 4
 #: Pieces, and pairs of tokens, that a task's process remembers at most.
 MEMO_ENTRIES = 400_000
+#: Characters of a piece beyond which it is not remembered.
+LONG_PIECE = 128
 
 
 class BytePairCodec(dict):
@@ -48,7 +50,9 @@ class BytePairCodec(dict):
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO_ENTRIES:
             self.clear()
-        value = self[piece] = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+        value = np.array(self.encode_piece(piece.encode()), "<u4").tobytes()
+        if len(piece) <= LONG_PIECE:
+            self[piece] = value
         return value
 
     def merged(self, raw: bytes) -> list[int]:

@@ -165,24 +165,27 @@ def payload_features(media: DataFrame, rate: int = 16000) -> DataFrame:
 
     The payload is read back from the file. ``feature`` has the energy and peak of its bytes taken as mu-law, as A-law and
     as ADPCM blocks of 64 bytes, and the number and CRC-32 of the samples, expanded by mu-law and resampled to ``rate``.
-    Equal files have equal features.
+    Equal files have equal features. A null file, and one that is no whole WAVE file, has null in all that is read from it.
+    An empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n_bytes", "payload", "media", "tail_crc32", "feature"]
         for batch in slices(batches):
             files = batch.column(2).to_pylist()
-            payloads = [wav_parts(x)[3] for x in files]
+            parts = [wav_parts(x or b"") for x in files]
+            whole = [k for k, p in enumerate(parts) if p and p[0] == MU_LAW and p[3] and len(p[3]) % BLOCK == 0]
+            payloads = [parts[k][3] for k in whole]
             raw = np.frombuffer(b"".join(payloads), np.uint8)
             starts = np.cumsum([0, *map(len, payloads)])[:-1]
             adpcm = decode_adpcm(raw.reshape(-1, BLOCK))
-            views = [_figures(MU_LAW_PCM[raw], starts), _figures(A_LAW_PCM[raw], starts), _figures(adpcm.ravel(), starts // BLOCK * adpcm.shape[1])]
-            features = []
-            for k, file in enumerate(files):
-                own_rate, samples = expand(file)
+            views = [_figures(MU_LAW_PCM[raw], starts), _figures(A_LAW_PCM[raw], starts), _figures(adpcm.ravel(), starts // BLOCK * adpcm.shape[1])] if whole else []
+            out: list[list] = [[None] * len(files) for _ in range(3)]
+            for n, k in enumerate(whole):
+                own_rate, samples = expand(files[k])
                 pcm = resample(samples, own_rate, rate)
-                features.append(";".join(f"{n}={v[k][0]},{v[k][1]}" for n, v in zip(("mulaw", "alaw", "adpcm"), views)) + f";pcm{rate}={len(pcm)},{zlib.crc32(pcm.tobytes()):08x}")
-            tails = [zlib.crc32(x[-BLOCK:]) for x in payloads]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(payloads, pa.binary()), batch.column(2), pa.array(tails, pa.int64()), pa.array(features, pa.string())], names)
+                figures = ";".join(f"{name}={v[n][0]},{v[n][1]}" for name, v in zip(("mulaw", "alaw", "adpcm"), views))
+                out[0][k], out[1][k], out[2][k] = payloads[n], zlib.crc32(payloads[n][-BLOCK:]), f"{figures};pcm{rate}={len(pcm)},{zlib.crc32(pcm.tobytes()):08x}"
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.binary()), batch.column(2), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string())], names)
 
     return bounded(media).select("id", "n_bytes", "media").mapInArrow(run, "id long, n_bytes long, payload binary, media binary, tail_crc32 long, feature string")

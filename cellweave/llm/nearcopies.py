@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweave.llm.common import bounded, checkpointed, slices, sole
+from cellweave.llm.common import bounded, checkpointed, looked_up, slices, sole
 from cellweave.llm.components import components
 from cellweave.llm.simhash import BLOCKS, fingerprint, links, meetings, normal
 
@@ -129,7 +129,7 @@ def near_copies(df: DataFrame, distance: int, id_col: str = "doc_id", text_col:
     without words, null ones too, are one. Texts and shingles are told apart by 64-bit hashes. An empty table gives none.
     """
     rows = checkpointed(_signed(df, id_col, text_col, row_col))
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row")))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row"), F.count("*").alias("n")))
     first = checkpointed(links(nodes.select("fp").distinct(), distance, nearest=True).distinct())
     shared = nodes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     busy = first.select(F.col("u").alias("fp")).union(first.select(F.col("v").alias("fp"))).union(shared).distinct()
@@ -148,4 +148,5 @@ def near_copies(df: DataFrame, distance: int, id_col: str = "doc_id", text_col:
         rest = rest.join(own, [side, f"{side}l"])
     more = checkpointed(_similar(rest.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")), sets))
     roots = components(sure.unionByName(more)).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return rows.join(roots, "node", "left").select("id", "row", F.coalesce("root", "node").alias("component"))
+    known = checkpointed(nodes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("component")))
+    return looked_up(rows, known, "node", "n").select("id", "row", "component")

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweave.llm.common import checkpointed
+
 #: Vectors of a shard at most on average; shards at least, if there are that many vectors; queries of a block.
 SHARD = 1 << 15
 SHARDS = 48
@@ -81,6 +83,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
     bad = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>" if array.startswith("array") else array).alias("v"), is_query.alias("q"))
     rows = rows.where("id is not null and v is not null").where(~F.exists("v", bad)).withColumn("d", F.size("v")).dropDuplicates(["id", "v"])
+    rows = checkpointed(rows)
     n = rows.count()
     shards = max(min(SHARDS, -(-n // 128)), -(-n // SHARD), 1)
 

@@ -74,3 +74,13 @@ def test_hash_of_the_stored_form(spark, tmp_path):
     (row,) = queries()["op8_media_payloads"](spark, str(tmp_path)).collect()
     stored = media.wav(b"abc" + b"\0" * 61, media.MU_LAW)
     assert (row.payload_bytes, row.media_bytes, row.media_sha256) == (64, len(stored), hashlib.sha256(stored).hexdigest())
+
+
+def test_null_and_damaged_files_have_no_features(spark):
+    good = media.wav(b"x" * 64, media.MU_LAW)
+    rows = [(1, 3, good), (2, 0, None), (3, 0, b"RIFF"), (4, 0, good[:40]), (None, 0, media.wav(b"y" * 64, media.A_LAW))]
+    df = spark.createDataFrame(rows, "id long, n_bytes long, media binary")
+    got = {x.id: x for x in media.payload_features(df).collect()}
+    assert bytes(got[1].payload) == b"x" * 64 and got[1].feature
+    assert all(got[i].payload is None and got[i].tail_crc32 is None and got[i].feature is None for i in (2, 3, 4, None))
+    assert media.payload_features(df.where("id = 2")).count() == 1 and media.payload_features(df.limit(0)).count() == 0
