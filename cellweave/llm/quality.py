@@ -1,10 +1,11 @@
 """A quality classifier: random-indexing word vectors, pooled per document, under a two-layer network.
 
-* Word forms are hashed into a fixed number of buckets. Each bucket has a fixed sparse vector of +1 and -1 (its index
-  vector); a bucket's context vector sums the index vectors of its neighbours over the whole corpus. Tasks add these
-  sums up for their part of the corpus; the parts meet by block of buckets.
-* A document is the mean of its words' context vectors, scaled to length one, and a few figures on how its words repeat
-  and what they consist of.
+* The tokens of a text are its runs of letters, as they are written, and its runs of other signs. Whole tokens are hashed
+  into a fixed number of buckets. Each bucket has a fixed sparse vector of +1 and -1 (its index vector); a bucket's context
+  vector sums the index vectors of its neighbours over the whole corpus. Tasks add these sums up for their part of the corpus;
+  the parts meet by block of buckets, in two steps.
+* A document is pooled from its tokens' context vectors alone: per dimension their mean, and the mean product of those of
+  tokens one and two apart, which tells running text from the same few words over and over.
 * A network with one hidden layer is fitted with numpy on a bounded sample of labelled documents. A temperature, fitted on
   documents of the sample that the network has not seen, calibrates its probabilities.
 """
@@ -18,11 +19,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweave.llm.common import MEMO_ENTRIES, bounded, pack, slices, sole, unpack
+from cellweave.llm.common import bounded, pack, slices, sole, split_words, unpack
 
 BUCKETS = 1 << 14
 DIMENSIONS = 64
@@ -31,7 +33,7 @@ REACH = 2
 BLOCK = 256
 #: Labelled documents that the network is fitted on, at most: those whose ids hash lowest.
 SAMPLE = 8000
-FIGURES = 6
+INPUTS = (REACH + 1) * DIMENSIONS
 HIDDEN = 32
 #: Where there is nothing to learn from, every document has this score.
 PRIOR = 0.5
@@ -39,68 +41,62 @@ PRIOR = 0.5
 _rng = np.random.default_rng(20240)
 INDEX_AT = np.argsort(_rng.random((BUCKETS, DIMENSIONS)), axis=1)[:, :NONZERO]
 INDEX_SIGN = _rng.choice([-1.0, 1.0], (BUCKETS, NONZERO))
-_FORM = regex.compile(r"^(\P{L}*)(.*?)(\P{L}*)$", regex.S)
-
-
-class Forms(dict):
-    """Word to bucket, remembered within bounds; a bucket's low bits hold two marks: capitals, odd signs.
-
-    A short word is its own form; of a longer one only the last letters count. Case, and signs other than a comma or
-    full stop at its end, lead to other forms.
-    """
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        before, core, after = _FORM.match(word).groups()
-        capitals = len(core) > 1 and core.isupper()
-        signs = (before + after).strip(".,")
-        core = core.lower() if len(core) <= 6 else "~" + core[-3:].lower()
-        form = f"{core}|{signs[:4]}|{capitals}" if not signs else f"|{''.join(sorted(set(signs)))[:4]}|{capitals}"
-        value = self[word] = (zlib.crc32(form.encode()) % BUCKETS) << 2 | capitals << 1 | bool(signs)
-        return value
-
-
-def _words(texts: list[str | None], forms: Forms) -> Iterator[tuple[np.ndarray, int]]:
-    """(marked buckets of the words, characters) of each text."""
-    for text in texts:
-        words = text.split() if text else []
-        yield np.fromiter(map(forms.__getitem__, words), np.int64, len(words)), len(text or "")
+_TOKEN = regex.compile(r"\p{L}+|\P{L}+")
+#: First step of the merge: groups of parts for each block. Tokens that are pooled at once.
+MERGES = 16
+POOLED = 1 << 15
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of all tokens in turn, how many each text has); a null text has none."""
+    sole("tokens", dict)
+    words, n_words = split_words(texts, unicode=True)
+    each = words.dictionary_encode()
+    found = [_TOKEN.findall(w) for w in each.dictionary.to_pylist()]
+    buckets = np.array([zlib.crc32(t.encode()) % BUCKETS for f in found for t in f], np.int64)
+    sizes = np.array([len(f) for f in found], np.int64)
+    starts, codes = np.cumsum(sizes) - sizes, each.indices.to_numpy()
+    size = sizes[codes]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    flat = buckets[np.repeat(starts[codes] - ends[:-1], size) + np.arange(ends[-1])]
+    at = np.concatenate([[0], np.cumsum(n_words)])
+    return flat, np.diff(ends[at])
 
 
 def context_vectors(df: DataFrame, text_col: str = "text") -> np.ndarray:
     """The context vectors (buckets, dimensions) over all whole texts, each scaled to length one, or zero if unseen.
 
-    What reaches the driver has a fixed size, whatever the corpus.
+    What reaches the driver has a fixed size, whatever the corpus; no task holds more than one part and its sum at once.
     """
+    size = BLOCK * DIMENSIONS
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forms, total = sole("forms", Forms), np.zeros(BUCKETS * DIMENSIONS)
+        total = np.zeros(BUCKETS * DIMENSIONS)
         for batch in slices(batches):
-            each = [x >> 2 for x, _ in _words(batch.column(0).to_pylist(), forms)]
-            if not each:
-                continue
-            gap = np.full(REACH, -1)
-            flat = np.concatenate([y for x in each for y in (x, gap)])
+            flat, counts = tokens(batch.column(0))
+            text = np.repeat(np.arange(len(counts)), counts)
             for reach in range(1, REACH + 1):
                 left, right = flat[:-reach], flat[reach:]
-                both = (left >= 0) & (right >= 0)
+                both = text[:-reach] == text[reach:]
                 for word, other in ((left[both], right[both]), (right[both], left[both])):
                     for j in range(NONZERO):
                         total += np.bincount(word * DIMENSIONS + INDEX_AT[other, j], INDEX_SIGN[other, j], BUCKETS * DIMENSIONS)
-        parts = total.astype(np.int64).reshape(-1, BLOCK * DIMENSIONS)
+        parts = total.astype(np.int64).reshape(-1, size)
         used = np.flatnonzero(parts.any(axis=1))
         if len(used):
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([pack(parts[k]) for k in used], pa.binary())], ["block", "sums"])
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK * DIMENSIONS, np.int64)
-        for x in table["sums"].to_pylist():
-            total += unpack(x, np.int64)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "sums": pa.array([pack(total)], pa.binary())})
-
-    shape = "block long, sums binary"
-    sums = bounded(df).select(F.col(text_col).alias("text")).mapInArrow(gather, shape).groupBy("block").applyInArrow(add, shape)
+            own = np.full(len(used), TaskContext.get().partitionId() % MERGES)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(own), pa.array([pack(parts[k]) for k in used], pa.binary())], ["block", "part", "sums"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for x in batch.column("sums"):
+                total += unpack(x.as_py(), np.int64)
+        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int64()), "part": pa.array([0], pa.int64()), "sums": pa.array([pack(total)], pa.binary())})
+
+    shape = "block long, part long, sums binary"
+    sums = bounded(df).select(F.col(text_col).alias("text")).mapInArrow(gather, shape)
+    sums = sums.groupBy("block", "part").applyInArrow(add, shape).groupBy("block").applyInArrow(add, shape)
     vectors = np.zeros((BUCKETS, DIMENSIONS))
     for row in sums.collect():
         vectors[row.block * BLOCK : (row.block + 1) * BLOCK] = unpack(row.sums, np.int64).reshape(BLOCK, DIMENSIONS)
@@ -108,17 +104,28 @@ def context_vectors(df: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0).astype(np.float32)
 
 
-def pooled(texts: list[str | None], vectors: np.ndarray, forms: Forms) -> np.ndarray:
-    """(documents, dimensions and figures): the mean context vector and figures on the words; zeros without words."""
-    out = np.zeros((len(texts), DIMENSIONS + FIGURES), np.float32)
-    for k, (marked, characters) in enumerate(_words(texts, forms)):
-        n = len(marked)
-        if n:
-            buckets, counts = np.unique(marked >> 2, return_counts=True)
-            out[k, :DIMENSIONS] = counts @ vectors[buckets] / n
-            again = float((marked[1:] == marked[:-1]).mean()) if n > 1 else 0.0
-            out[k, DIMENSIONS:] = (np.log1p(n) / 8, len(buckets) / n, min(3.0, characters / n / 8), float((marked & 1).mean()), float((marked >> 1 & 1).mean()), again)
-    return out
+def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
+    """(documents, INPUTS): per dimension the mean of the tokens' context vectors, and the mean products of tokens one and two apart.
+
+    Zeros where there are no such tokens.
+    """
+    flat, counts = tokens(texts)
+    text = np.repeat(np.arange(len(counts)), counts)
+    sums = np.zeros((REACH + 1, len(counts), DIMENSIONS))
+    for k in range(0, len(flat), POOLED):
+        part, owner = vectors[flat[k : k + POOLED + REACH]], text[k : k + POOLED + REACH]
+        n = min(POOLED, len(flat) - k)
+        starts = np.flatnonzero(np.diff(owner[:n], prepend=-1))
+        sums[0, owner[starts]] += np.add.reduceat(part[:n], starts, axis=0)
+        for reach in range(1, REACH + 1):
+            m = min(n, len(part) - reach)
+            if m > 0:
+                product = part[:m] * part[reach : m + reach]
+                product[owner[:m] != owner[reach : m + reach]] = 0
+                begin = starts[starts < m]
+                sums[reach, owner[begin]] += np.add.reduceat(product, begin, axis=0)
+    means = [x / np.maximum(counts - reach, 1)[:, None] for reach, x in enumerate(sums)]
+    return np.hstack(means).astype(np.float32)
 
 
 @dataclass
@@ -146,13 +153,14 @@ def _calibrated(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit_network(x: np.ndarray, y: np.ndarray, steps: int = 1500, batch: int = 256, decay: float = 1e-3) -> Network | None:
-    """A network for labels 0 and 1; None without both. A fifth of the rows, every fifth, only calibrates."""
-    if len(np.unique(y)) < 2:
-        return None
+    """A network for labels 0 and 1. Every fifth row only calibrates; None where the others have not both labels.
+
+    Without a fifth row the temperature stays 1.
+    """
     x = x.astype(np.float64)
-    aside = np.arange(len(y)) % 5 == 4 if len(y) >= 50 else np.zeros(len(y), bool)
+    aside = np.arange(len(y)) % 5 == 4
     if len(np.unique(y[~aside])) < 2:
-        aside[:] = False
+        return None
     seen, rng = np.flatnonzero(~aside), np.random.default_rng(7)
     spread = x[seen].std(axis=0)
     net = Network(x[seen].mean(axis=0), np.where(spread > 1e-6, spread, 1.0), [rng.normal(0, 0.15, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 0.15, HIDDEN), np.zeros(())], 1.0)
@@ -169,8 +177,8 @@ def fit_network(x: np.ndarray, y: np.ndarray, steps: int = 1500, batch: int = 25
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
             net.weights[i] = net.weights[i] - 0.005 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
-    check = aside if aside.any() else ~aside
-    net.temperature = _calibrated(net.logits(x[check]), y[check])
+    if aside.any():
+        net.temperature = _calibrated(net.logits(x[aside]), y[aside])
     return net
 
 
@@ -182,28 +190,28 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, Network | None]:
     """(context vectors, network). Vectors are gathered from all documents; the network is fitted on at most ``sample``.
 
-    Labels other than 0 and 1, of null ids or of held-out rows are not learnt from; of repeated labels of an id the lower
-    counts. Where the labels learnt from are not of both kinds there is no network.
+    Labels other than 0 and 1, of null ids, of held-out rows or of documents that are not there are not learnt from; of
+    repeated labels of an id the lower counts, of its unlike texts the one whose pooled vector has the lowest bytes. Where the
+    labels learnt from are not of both kinds there is no network.
     """
     vectors = context_vectors(docs, text_col)
     usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
     usable = usable.where(~held_out("id")).groupBy("id").agg(F.min("y").alias("y"))
-    chosen = usable.orderBy(F.xxhash64("id"), "id").limit(sample)
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    chosen = usable.join(text.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample)
     spark = docs.sparkSession
     known = spark.createDataFrame(chosen.collect(), "id long, y int")
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sampled = text.join(F.broadcast(known), "id").select("id", "y", "text")
     shared = spark.sparkContext.broadcast(vectors)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forms = sole("forms", Forms)
         for batch in slices(batches):
-            x = pooled(batch.column(2).to_pylist(), shared.value, forms)
+            x = pooled(batch.column(2), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "x"])
 
     rows = sampled.mapInArrow(pool, "id long, y int, x binary").groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.id).encode()), r.id))
-    x = np.array([np.frombuffer(r.x, np.float32) for r in rows]).reshape(len(rows), DIMENSIONS + FIGURES)
+    x = np.array([np.frombuffer(r.x, np.float32) for r in rows]).reshape(len(rows), INPUTS)
     return vectors, fit_network(x, np.array([r.y for r in rows], np.int64))
 
 
@@ -218,9 +226,9 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network | None, text_co
     shared = docs.sparkSession.sparkContext.broadcast((vectors, network))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forms, (known, net) = sole("forms", Forms), shared.value
+        known, net = shared.value
         for batch in slices(batches):
-            x = pooled(batch.column(1).to_pylist(), known, forms)
+            x = pooled(batch.column(1), known)
             p = net.score(x.astype(np.float64)) if net else np.full(len(x), PRIOR)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], ["document", "score", "predicted"])
 

@@ -2,6 +2,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import regex
+from pyspark.sql import functions as F
 
 from cellweave.llm import quality
 
@@ -21,13 +24,16 @@ def corpus(n, seed=1):
     return docs, labels
 
 
+def plain_tokens(text):
+    return [zlib.crc32(t.encode()) % quality.BUCKETS for w in (text or "").split() for t in regex.findall(r"\p{L}+|\P{L}+", w)]
+
+
 def test_context_vectors_against_plain_sums(spark):
     docs, _ = corpus(20)
-    docs += [(None, None), (99, "")]
+    docs += [(None, None), (99, ""), (98, "one"), (97, "Éa,b!! \u2003 c")]
     want = np.zeros((quality.BUCKETS, quality.DIMENSIONS))
-    forms = quality.Forms()
     for _, t in docs:
-        b = [forms[w] >> 2 for w in (t or "").split()]
+        b = plain_tokens(t)
         for i, x in enumerate(b):
             for y in b[max(0, i - quality.REACH) : i] + b[i + 1 : i + 1 + quality.REACH]:
                 want[x, quality.INDEX_AT[y]] += quality.INDEX_SIGN[y]
@@ -37,6 +43,49 @@ def test_context_vectors_against_plain_sums(spark):
     assert np.allclose(got, want, atol=1e-6)
 
 
+def test_pooling_against_plain_means(monkeypatch):
+    monkeypatch.setattr(quality, "POOLED", 7)
+    vectors = np.random.default_rng(3).normal(size=(quality.BUCKETS, quality.DIMENSIONS)).astype(np.float32)
+    texts = [t for _, t in corpus(30)[0]] + [None, "", "one", "two, x", "long words " * 3000]
+    for text, x in zip(texts, quality.pooled(pa.array(texts), vectors)):
+        v = vectors[plain_tokens(text)].astype(np.float64)
+        each = [v] + [v[:-r] * v[r:] for r in range(1, quality.REACH + 1)]
+        want = np.concatenate([e.mean(axis=0) if len(e) else np.zeros(quality.DIMENSIONS) for e in each])
+        assert np.allclose(x, want, atol=1e-4)
+
+
+def test_network_and_temperature():
+    """The fitted gradient vanishes as a plain one does, and no other candidate temperature has less loss."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(400, 5)).astype(np.float32)
+    y = (x[:, 0] * x[:, 1] + 0.3 * rng.normal(size=400) > 0).astype(int)
+    net = quality.fit_network(x, y)
+    aside = np.arange(400) % 5 == 4
+    assert ((net.score(x[~aside]) >= 0.5) == y[~aside]).mean() > 0.85
+    loss = lambda t: -np.mean(np.log(np.where(y[aside] > 0, 1 / (1 + np.exp(-net.logits(x[aside]) / t)), 1 / (1 + np.exp(net.logits(x[aside]) / t)))))
+    assert all(loss(net.temperature) <= loss(t) + 1e-9 for t in np.geomspace(0.25, 8, 60))
+    a, b, c, d = net.weights
+    for row, p in zip(x[:5], net.score(x[:5])):
+        hidden = [np.tanh(sum((row[i] - net.centre[i]) / net.spread[i] * a[i, j] for i in range(5)) + b[j]) for j in range(quality.HIDDEN)]
+        assert np.isclose(p, 1 / (1 + np.exp(-(sum(h * w for h, w in zip(hidden, c)) + d) / net.temperature)))
+    assert quality.fit_network(x, np.ones(400, int)) is None
+    assert quality.fit_network(x[:4], np.array([0, 1, 0, 1])).temperature == 1
+
+
+def test_repeated_ids_absent_documents_and_ties(spark):
+    docs, labels = corpus(300)
+    docs += [(4, "another text"), (4, "another text"), docs[7], (5, "word " * 50_000)]
+    absent = [(10_000 + i, i % 2, 0) for i in range(200)]
+    df, ly = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels + absent, "doc_id long, quality int, toxic int")
+    vectors, network = quality.fit(df, ly, sample=60)
+    again = quality.fit(df.repartition(5), ly.repartition(3), sample=60)[1]
+    assert network is not None and np.allclose(network.weights[0], again.weights[0])
+    rows = quality.score(df.withColumn("score", F.lit("x")), vectors, network).select("document.*", F.col("score").alias("own"), "predicted").collect()
+    assert len(rows) == 304 and {x.score for x in rows} == {"x"} and len({x.own for x in rows if x.text == "another text"}) == 1
+    none = quality.score(df, vectors, None).collect()
+    assert {(x.score, x.predicted) for x in none} == {(0.5, 1)}
+
+
 def test_learns_from_its_labels_alone(spark):
     docs, labels = corpus(500)
     held = {i for i, _ in docs if zlib.crc32(str(i).encode()) % 3 == 1}
