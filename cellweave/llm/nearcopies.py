@@ -1,15 +1,16 @@
 """Near copies: texts that share four fifths of their five-word shingles, found among close SimHash fingerprints.
 
 Fingerprints only propose. Each proposed pair of texts is decided by its whole shingle sets, and groups are formed of the
-pairs that pass. A first round decides a forest of the links and each fingerprint's nearest; texts that it joins need no
-further comparison with each other. A second round decides every other link, none left out. Before whole sets are
-joined, a pair must pass bounds that no similar pair fails: the sizes, and the parities of the sets' members in 512 bins,
-of which no more can differ than members do.
+pairs that pass. A first round decides the links to the fingerprint with most links at each anchor and to each fingerprint's
+nearest; texts that it joins need no further comparison with each other. A second round finds the fingerprints that have
+other links, and a third decides every such link, none left out. Before whole sets are joined, a pair must pass bounds that no
+similar pair fails: the sizes, and the parities of the sets' members in 512 bins, of which no more can differ than members do.
+The third round holds every link against these bounds where its fingerprints meet, so only links that pass leave their task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cellweave.llm.common import bounded, checkpointed, looked_up, slices, sole
 from cellweave.llm.components import components
-from cellweave.llm.simhash import BLOCKS, fingerprint, links, meetings, normal
+from cellweave.llm.simhash import fingerprint, meetings, normal
 
 #: Words to a shingle of the decision, and the shared part of a similar pair's shingles as a fraction.
 SHINGLE = 5
@@ -79,16 +80,17 @@ def _sets(df: DataFrame, entries: DataFrame, text_col: str, row_col: str) -> Dat
     return texts.mapInArrow(run, shape).dropDuplicates(["node"])
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, bounded_already: bool = False) -> DataFrame:
     """The ``(u, v)`` of ``pairs`` whose texts are similar, decided by whole shingle sets."""
     pairs = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    marks = sets.drop("members")
-    for side in ("u", "v"):
-        pairs = pairs.join(marks.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in marks.columns[1:])), side)
-    # A similar pair differs in (OF - SHARED) / (OF + SHARED) of both sizes together at most.
-    room = (F.col("u_n") + F.col("v_n")) * (OF - SHARED)
-    odd = reduce(add, (F.bit_count(F.col(f"u_p{k}").bitwiseXOR(F.col(f"v_p{k}"))) for k in range(PARITIES)))
-    pairs = pairs.where((F.abs(F.col("u_n") - F.col("v_n")) * (OF + SHARED) <= room) & (odd * (OF + SHARED) <= room)).select("u", "v")
+    if not bounded_already:
+        marks = sets.drop("members")
+        for side in ("u", "v"):
+            pairs = pairs.join(marks.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in marks.columns[1:])), side)
+        # A similar pair differs in (OF - SHARED) / (OF + SHARED) of both sizes together at most.
+        room = (F.col("u_n") + F.col("v_n")) * (OF - SHARED)
+        odd = reduce(add, (F.bit_count(F.col(f"u_p{k}").bitwiseXOR(F.col(f"v_p{k}"))) for k in range(PARITIES)))
+        pairs = pairs.where((F.abs(F.col("u_n") - F.col("v_n")) * (OF + SHARED) <= room) & (odd * (OF + SHARED) <= room)).select("u", "v")
     for side in ("u", "v"):
         pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("members").alias(f"{side}_members")), side)
 
@@ -104,21 +106,65 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return bounded(pairs).select("u", "v", "u_members", "v_members").mapInArrow(decide, "u long, v long")
 
 
-def _open_links(labelled: DataFrame, distance: int) -> DataFrame:
-    """``(u, ul, v, vl)``: every link between distinct rows of ``fp`` and ``label`` with unlike labels, once."""
-    width, threshold = BLOCKS[min(d for d in BLOCKS if d >= distance)]
-    mask = np.uint64((1 << width) - 1)
+def _first_links(fps: DataFrame, distance: int) -> DataFrame:
+    """``(u, v)``: each fingerprint's nearest, and the links of that with most links at each anchor."""
+
+    def found(anchor: np.ndarray, i: np.ndarray, j: np.ndarray, of: Callable) -> Iterator[tuple[np.ndarray, ...]]:
+        a, b = of("fp", i), of("fp", j)
+        use = a != b
+        if not use.any():
+            return
+        u, v, at = np.concatenate([a[use], b[use]]), np.concatenate([b[use], a[use]]), np.tile(anchor[use], 2)
+        order = np.lexsort((v, np.bitwise_count(u ^ v), u))
+        first = order[np.r_[True, u[order][1:] != u[order][:-1]]]
+        yield u[first], v[first], np.bitwise_count(u ^ v)[first].astype(np.int64)
+        order = np.lexsort((u, at))
+        new = np.flatnonzero(np.r_[True, (u[order][1:] != u[order][:-1]) | (at[order][1:] != at[order][:-1])])
+        place, vertex, degree = at[order][new], u[order][new], np.diff(new, append=len(order))
+        best = np.lexsort((vertex, -degree, place))
+        best = best[np.r_[True, place[best][1:] != place[best][:-1]]]
+        star = vertex[best][np.searchsorted(place[best], at)] == v
+        edges = np.unique(np.stack([u[star], v[star]], axis=1), axis=0)
+        yield edges[:, 0], edges[:, 1], np.full(len(edges), -1)
+
+    rows = checkpointed(meetings(fps.select("fp"), distance, found, "u long, v long, bits long"))
+    nearest = rows.where("bits >= 0").groupBy("u").agg(F.min(F.struct("bits", "v")).alias("near")).select("u", F.col("near.v").alias("v"))
+    return rows.where("bits < 0").select("u", "v").unionByName(nearest).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _open(of: Callable, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of rows have unlike labels; each pair counts in one order."""
+    return of("label", i) < of("label", j)
+
 
-    def found(anchor: np.ndarray, a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        block, differ = anchor >> 32, a ^ b
-        first = np.full(len(a), 64 // width)
-        for k in reversed(range(64 // width)):
-            first[np.bitwise_count(differ >> np.uint64(width * k) & mask) <= threshold] = k
-        use = (labels[0] < labels[1]) & (first == block)
+def _open_fingerprints(labelled: DataFrame, distance: int) -> DataFrame:
+    """``fp``: the fingerprints that have a link between unlike labels."""
+
+    def found(_: np.ndarray, i: np.ndarray, j: np.ndarray, of: Callable) -> Iterator[tuple[np.ndarray, ...]]:
+        use = _open(of, i, j)
         if use.any():
-            yield a[use], labels[0][use], b[use], labels[1][use]
+            yield (np.unique(of("fp", np.concatenate([i[use], j[use]]))),)
+
+    return meetings(labelled, distance, found, "fp long").distinct()
+
 
-    return meetings(labelled, distance, found, "u long, ul long, v long, vl long")
+def _open_links(marked: DataFrame, distance: int) -> DataFrame:
+    """``(u, v)``: the nodes of every link between rows of unlike labels that passes the bounds of size and parities."""
+    size = 1 << 17
+
+    def found(_: np.ndarray, i: np.ndarray, j: np.ndarray, of: Callable) -> Iterator[tuple[np.ndarray, ...]]:
+        use = _open(of, i, j)
+        i, j = i[use], j[use]
+        for k in range(0, len(i), size):
+            a, b = i[k : k + size], j[k : k + size]
+            n, m = of("n", a), of("n", b)
+            room = (n + m) * (OF - SHARED)
+            odd = sum(np.bitwise_count(of(f"p{p}", a) ^ of(f"p{p}", b)).astype(np.int64) for p in range(PARITIES))
+            near = (np.abs(n - m) * (OF + SHARED) <= room) & (odd * (OF + SHARED) <= room)
+            if near.any():
+                yield of("node", a[near]), of("node", b[near])
+
+    return meetings(marked, distance, found, "u long, v long")
 
 
 def near_copies(df: DataFrame, distance: int, id_col: str = "doc_id", text_col: str = "text", row_col: str = "row") -> DataFrame:
@@ -130,7 +176,7 @@ def near_copies(df: DataFrame, distance: int, id_col: str = "doc_id", text_col:
     """
     rows = checkpointed(_signed(df, id_col, text_col, row_col))
     nodes = checkpointed(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row"), F.count("*").alias("n")))
-    first = checkpointed(links(nodes.select("fp").distinct(), distance, nearest=True).distinct())
+    first = checkpointed(_first_links(nodes.select("fp").distinct(), distance))
     shared = nodes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     busy = first.select(F.col("u").alias("fp")).union(first.select(F.col("v").alias("fp"))).union(shared).distinct()
     entries = checkpointed(nodes.join(busy, "fp", "left_semi").select("fp", "node", "row"))
@@ -142,11 +188,9 @@ def near_copies(df: DataFrame, distance: int, id_col: str = "doc_id", text_col:
     sure = checkpointed(_similar(pairs, sets))
     roots = components(sure).select(F.col("u").alias("node"), F.col("v").alias("root"))
     labelled = checkpointed(entries.join(roots, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("label")))
-    rest = _open_links(labelled.select("fp", "label").distinct(), distance)
-    for side in ("u", "v"):
-        own = labelled.select(F.col("fp").alias(side), F.col("label").alias(f"{side}l"), F.col("node").alias(f"{side}_node"))
-        rest = rest.join(own, [side, f"{side}l"])
-    more = checkpointed(_similar(rest.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")), sets))
+    still = _open_fingerprints(labelled.select("fp", "label").distinct(), distance)
+    marked = checkpointed(labelled.join(still, "fp", "left_semi").join(sets.drop("members"), "node"))
+    more = checkpointed(_similar(_open_links(marked, distance), sets, bounded_already=True))
     roots = components(sure.unionByName(more)).select(F.col("u").alias("node"), F.col("v").alias("root"))
     known = checkpointed(nodes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("component")))
     return looked_up(rows, known, "node", "n").select("id", "row", "component")

@@ -130,15 +130,15 @@ def _near(keys: np.ndarray, side: np.ndarray, fp: np.ndarray, distance: int) ->
 
 
 def meetings(
-    fps: DataFrame, distance: int, found: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None], Iterator[tuple[np.ndarray, ...]]], shape: str
+    fps: DataFrame, distance: int, found: Callable[[np.ndarray, np.ndarray, np.ndarray, Callable[[str, np.ndarray], np.ndarray]], Iterator[tuple[np.ndarray, ...]]], shape: str
 ) -> DataFrame:
-    """What ``found(anchors, fp, other fp, rows)`` yields of the pairs within ``distance`` that meet at an anchor.
+    """What ``found(anchor, i, j, of)`` yields of the pairs within ``distance`` that meet at an anchor.
 
-    ``fps`` has distinct rows of ``fp`` and, if anything, a long ``label``; ``rows`` has the labels of both sides, or is None.
+    ``fps`` has distinct rows of ``fp`` and any other long columns; ``of(column, i)`` has those of the rows ``i``.
     Two rows meet at least once with each of them at home.
     """
     width, threshold = BLOCKS[min(d for d in BLOCKS if d >= distance)]
-    own = [c for c in ("fp", "label") if c in fps.columns]
+    own = ["fp", *(c for c in fps.columns if c != "fp")]
     typed = ", ".join(f"{c} long" for c in own)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +164,9 @@ def meetings(
 
         def pairs(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             fp = parts[2].view(np.uint64)
+            of = lambda name, rows: fp[rows] if name == "fp" else parts[2 + own.index(name)][rows]
             for i, j in _near(parts[0], parts[1], fp, distance):
-                labels = np.stack([parts[3][i], parts[3][j]]) if len(parts) > 3 else None
-                for columns in found(parts[0][i, 0], fp[i], fp[j], labels):
+                for columns in found(parts[0][i, 0], i, j, of):
                     yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names)
 
         for batch in batches:
@@ -184,25 +184,16 @@ def meetings(
     return rows.mapInArrow(compare, shape)
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, nearest: bool = False) -> DataFrame:
-    """``(u, v)``: edges that connect the distinct fingerprints ``fp`` as all links within ``distance`` do.
+def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``(u, v)``: edges that connect the distinct fingerprints ``fp`` as all links within ``distance`` do."""
 
-    With ``nearest``, also each fingerprint's shortest links.
-    """
-
-    def forest(anchor: np.ndarray, a: np.ndarray, b: np.ndarray, _: None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def forest(_: np.ndarray, i: np.ndarray, j: np.ndarray, of: Callable) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        a, b = of("fp", i), of("fp", j)
         a, b = a[a != b], b[a != b]
-        if not len(a):
-            return
-        yield local_forest(a, b)
-        if nearest:
-            u, v = np.concatenate([a, b]), np.concatenate([b, a])
-            order = np.lexsort((v, np.bitwise_count(u ^ v), u))
-            u, v = u[order], v[order]
-            first = np.r_[True, u[1:] != u[:-1]]
-            yield u[first], v[first]
-
-    return meetings(fps, distance, forest, "u long, v long")
+        if len(a):
+            yield local_forest(a, b)
+
+    return meetings(fps.select("fp"), distance, forest, "u long, v long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = DISTANCE) -> DataFrame:
