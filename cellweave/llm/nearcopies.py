@@ -107,20 +107,20 @@ def _similar(pairs: DataFrame, sets: DataFrame, bounded_already: bool = False) -
 
 
 def _first_links(fps: DataFrame, distance: int) -> DataFrame:
-    """``(u, v)``: each fingerprint's nearest, and the links of that with most links at each anchor."""
+    """``(u, v)``: each fingerprint's nearest, and its links to those with most links at the anchors where it is at home."""
 
     def found(anchor: np.ndarray, i: np.ndarray, j: np.ndarray, of: Callable) -> Iterator[tuple[np.ndarray, ...]]:
         a, b = of("fp", i), of("fp", j)
         use = a != b
         if not use.any():
             return
-        u, v, at = np.concatenate([a[use], b[use]]), np.concatenate([b[use], a[use]]), np.tile(anchor[use], 2)
+        u, v, at = a[use], b[use], anchor[use]
         order = np.lexsort((v, np.bitwise_count(u ^ v), u))
         first = order[np.r_[True, u[order][1:] != u[order][:-1]]]
         yield u[first], v[first], np.bitwise_count(u ^ v)[first].astype(np.int64)
-        order = np.lexsort((u, at))
-        new = np.flatnonzero(np.r_[True, (u[order][1:] != u[order][:-1]) | (at[order][1:] != at[order][:-1])])
-        place, vertex, degree = at[order][new], u[order][new], np.diff(new, append=len(order))
+        order = np.lexsort((v, at))
+        new = np.flatnonzero(np.r_[True, (v[order][1:] != v[order][:-1]) | (at[order][1:] != at[order][:-1])])
+        place, vertex, degree = at[order][new], v[order][new], np.diff(new, append=len(order))
         best = np.lexsort((vertex, -degree, place))
         best = best[np.r_[True, place[best][1:] != place[best][:-1]]]
         star = vertex[best][np.searchsorted(place[best], at)] == v
@@ -159,7 +159,7 @@ def _open_links(marked: DataFrame, distance: int) -> DataFrame:
             a, b = i[k : k + size], j[k : k + size]
             n, m = of("n", a), of("n", b)
             room = (n + m) * (OF - SHARED)
-            odd = sum(np.bitwise_count(of(f"p{p}", a) ^ of(f"p{p}", b)).astype(np.int64) for p in range(PARITIES))
+            odd = sum(np.bitwise_count((of(f"p{p}", a) ^ of(f"p{p}", b)).view(np.uint64)).astype(np.int64) for p in range(PARITIES))
             near = (np.abs(n - m) * (OF + SHARED) <= room) & (odd * (OF + SHARED) <= room)
             if near.any():
                 yield of("node", a[near]), of("node", b[near])
