@@ -84,10 +84,15 @@ def concat_positions(tables: dict[str, DataFrame], experiment: str, path: str |
     return out if columns is None else out.select(*(col(c) if c in out.columns else F.lit(None).alias(c) for c in columns))
 
 
+def _counted(digits: Column) -> Column:
+    """Digits that sort by value, of any length: their number comes first."""
+    return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
+
 def natural_key(name: str) -> Column:
-    """A key under which names sort as people count: digits by value."""
+    """A key under which names sort as people count: digits by value, however many."""
     parts = F.expr(rf"regexp_extract_all(lower(`{name}`), '([0-9]+|[^0-9]+)', 1)")
-    padded = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 24, "0")).otherwise(p))
+    padded = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), _counted(F.regexp_replace(p, "^0+(?=.)", ""))).otherwise(p))
     return F.array_join(padded, "")
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.coerce import NAN, col
 from cellweave.functions.formula import divide
-from cellweave.operators.pixels import FRAME, background, manual_background, perimeters
+from cellweave.operators import planes
+from cellweave.operators.pixels import FRAME, background, manual_background, perimeters, project
 
 PI = 3.141592653589793
 #: The quantiles of an object's intensities, by the name of their column.
@@ -145,26 +146,48 @@ def allowed(name: str, channel: str, variant: str = "", save: Sequence[str] | No
     return not is_in(skip) and (save is None or is_in(save))
 
 
-def measure(channels: dict[str, DataFrame], n_frames: int, time_increment: float = 1.0, size_y: float = 1.0, size_x: float = 1.0, keys: Sequence[str] = (), stop_frame: int | None = None, save: Sequence[str] | None = None, skip: Sequence[str] = ()) -> DataFrame:
+def variants(volume: DataFrame, labels: DataFrame, slices: DataFrame | int, keys: Sequence[str] = (), every_slice: Sequence[int] = ()) -> dict[str, DataFrame]:
+    """A channel with depth as the planes that are measured: maximum, mean, the chosen slice, and single slices that are asked for.
+
+    ``volume`` is ``frame_i, z, y, x, value``; ``labels`` (``frame_i, y, x, label``) join each plane, 0 where they have
+    none; ``slices`` is one slice, or a table of each frame's (``frame_i, z``).
+    """
+    at = [*keys, "frame_i"]
+    if isinstance(slices, int):
+        chosen = volume.where(F.col("z") == slices)
+    else:
+        chosen = volume.join(slices.select(*at, "z"), [*at, "z"])
+    planes_of = {"_maxProj": project(volume, "max", keys=at), "_meanProj": project(volume, "mean", keys=at), "_zSlice": chosen.select(*at, "y", "x", "value")}
+    planes_of |= {f"_zSlice{z}": project(volume, "single", z, keys=at) for z in every_slice}
+    where = labels.select(*at, "y", "x", "label")
+    return {v: p.join(where, [*at, "y", "x"], "left").withColumn("label", F.coalesce("label", F.lit(0))) for v, p in planes_of.items()}
+
+
+def measure(channels: dict[str, DataFrame | dict[str, DataFrame]], n_frames: int, time_increment: float = 1.0, size_y: float = 1.0, size_x: float = 1.0, keys: Sequence[str] = (), stop_frame: int | None = None, save: Sequence[str] | None = None, skip: Sequence[str] = (), with_hulls: bool = False) -> DataFrame:
     """One row per object and frame: place, shape, volume, every channel's intensities, motion and annotation defaults.
 
-    ``channels`` hold dense pixels (``frame_i, y, x, value, label``) of one label image. Only the metrics that are wanted
-    are in the plan, so the others are never computed.
+    ``channels`` hold dense pixels (``frame_i, y, x, value, label``) of one label image; a channel with depth is given as
+    its ``variants``, whose names end its columns. ``with_hulls`` adds the figures of the objects' convex hulls and holes.
+    Of the channels' metrics only those that are wanted are in the plan, so the others are never computed.
     """
     if not channels:
         raise ValueError("no channel is given")
     at = [*keys, "frame_i"]
-    kept = {c: p if stop_frame is None else p.where(F.col("frame_i") < stop_frame) for c, p in channels.items()}
+    before = lambda p: p if stop_frame is None else p.where(F.col("frame_i") < stop_frame)
+    kept = {(c, v): before(p) for c, given in channels.items() for v, p in (given.items() if isinstance(given, dict) else [("", given)])}
     labels = next(iter(kept.values())).select(*at, "y", "x", "label")
     limit = min(n_frames, stop_frame or n_frames)
     base = velocities(shapes(labels, at), size_y, size_x, keys)
     parts = [rotational_volumes(labels, size_y, size_x, at), disappearances(labels, limit, keys)]
     out = reduce(lambda a, b: a.join(b, [*at, "label"]), parts, base)
-    for c, p in kept.items():
+    if with_hulls:
+        out = out.join(planes.hulls(labels, at), [*at, "label"])
+    for (c, variant), p in kept.items():
         m = corrected(p, at).drop("area")
-        metrics = [n for n in m.columns if n not in (*at, "label") and allowed(n, c, "", save, skip)]
-        out = out.join(m.select(*at, "label", *(col(n).alias(f"{c}_{n}") for n in metrics)), [*at, "label"])
-        if f"{c}_amount_autoBkgr" in out.columns:
-            out = out.withColumns({f"{c}_concentration_autoBkgr_from_vol_{v}": divide(F.col(f"{c}_amount_autoBkgr"), F.col(f"cell_vol_{v}")) for v in ("vox", "fl")})
+        metrics = [n for n in m.columns if n not in (*at, "label") and allowed(n, c, variant, save, skip)]
+        out = out.join(m.select(*at, "label", *(col(n).alias(f"{c}_{n}{variant}") for n in metrics)), [*at, "label"])
+        amount = f"{c}_amount_autoBkgr{variant}"
+        if amount in out.columns:
+            out = out.withColumns({f"{c}_concentration_autoBkgr_from_vol_{v}{variant}": divide(F.col(f"`{amount}`"), F.col(f"cell_vol_{v}")) for v in ("vox", "fl")})
     more = {"Cell_ID": F.col("label"), "time_seconds": F.col("frame_i") * F.lit(float(time_increment)), "cell_area_pxl": F.col("area"), "cell_area_um2": F.col("area") * F.lit(size_y * size_x)}
     return out.withColumns(more | {k: F.lit(v) for k, v in ANNOTATION_DEFAULTS.items()}).drop("label")

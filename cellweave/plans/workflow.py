@@ -107,7 +107,11 @@ def parse(text: str) -> Workflow:
 
 
 def run_measurements(workflow: Workflow, channels: dict, n_frames: int, **sizes):
-    """The object table of a workflow's channels (dense pixels with labels), tracked first if it says so."""
+    """The object table of a workflow's channels (dense pixels with labels), tracked first if it says so.
+
+    Pixels of several positions carry a ``position``, the path it is from: each position is tracked and measured for
+    itself, up to the stop frame of its path. Pixels without one are of the workflow's first path.
+    """
     from pyspark.sql import functions as F
 
     from cellweave.operators import objects, tracking
@@ -116,9 +120,16 @@ def run_measurements(workflow: Workflow, channels: dict, n_frames: int, **sizes)
     if lacking:
         raise WorkflowError(f"no such channel: {lacking[0]}")
     used = {c: channels[c] for c in workflow.channels or channels}
-    stop = None if workflow.stop_frames[0] < 0 else workflow.stop_frames[0]
+    many = "position" in next(iter(used.values())).columns
+    stops = F.create_map(*(F.lit(x) for pair in zip(workflow.paths, workflow.stop_frames) for x in pair)) if many else None
+    stop = stops[F.col("position")] if many else F.lit(workflow.stop_frames[0])
+    used = {c: p.where((F.coalesce(stop, F.lit(-1)) < 0) | (F.col("frame_i") < stop)) for c, p in used.items()}
+    keys = ["position"] if many else []
     if workflow.track:
         first = next(iter(used.values()))
-        tracked = tracking.track(first.withColumn("position", F.lit(0)), ["position"], workflow.threshold, workflow.denominator).drop("position").withColumnRenamed("label", "__tracked")
-        used = {c: p.join(tracked, ["frame_i", "y", "x"], "left").withColumn("label", F.coalesce("__tracked", F.lit(0))).drop("__tracked") for c, p in used.items()}
-    return objects.measure(used, n_frames, save=workflow.save, skip=workflow.skip, stop_frame=stop, **sizes)
+        own = first if many else first.withColumn("position", F.lit(workflow.paths[0]))
+        tracked = tracking.track(own, ["position"], workflow.threshold, workflow.denominator).withColumnRenamed("label", "__tracked")
+        tracked = tracked if many else tracked.drop("position")
+        used = {c: p.join(tracked, [*keys, "frame_i", "y", "x"], "left").withColumn("label", F.coalesce("__tracked", F.lit(0))).drop("__tracked") for c, p in used.items()}
+    last = workflow.stop_frames[0] if not many and workflow.stop_frames[0] >= 0 else None
+    return objects.measure(used, n_frames, keys=keys, save=workflow.save, skip=workflow.skip, stop_frame=last, **sizes)
