@@ -76,10 +76,10 @@ def crop_roi_file_round_trip(spark, d):
     return I.read_crop_rois(spark, folder).drop("path")
 
 
-@query(""", a AS (SELECT frame_i, Cell_ID, position, min(cell_vol_fl) AS v FROM objects GROUP BY 1, 2, 3), p AS (SELECT * FROM a WHERE position IN (0, 1))
+@query(""", a AS (SELECT frame_i, Cell_ID, position, min(cell_vol_fl) AS v FROM objects GROUP BY 1, 2, 3), p AS (SELECT * FROM a)
   SELECT 'Position_' || (position + 1) AS Position_n, frame_i, Cell_ID, v / 2 + v AS ratio FROM p""", "objects")
 def multi_channel_formula(spark, d):
-    o = table(spark, d, "objects").where("position < 2")
+    o = table(spark, d, "objects")
     base = o.groupBy("frame_i", "Cell_ID", "position").agg(F.min("cell_vol_fl").alias("v"), F.min("_row_id").alias("_row_id"))
     named = base.withColumn("Position_n", F.concat(F.lit("Position_"), (F.col("position") + 1).cast("string"))).drop("position")
     return C.combine_metrics([named, named.withColumnRenamed("v", "w")], {"ratio": "gfp_v / 2 + w_phase"}, ["gfp", "phase"])

@@ -236,12 +236,13 @@ def first_rows_by_key(spark: SparkSession, d: str) -> DataFrame:
     return A.first_of_keys(objects(spark, d), ["position", "Cell_ID"]).select(*AT)
 
 
-_TWO = """, a AS (SELECT frame_i, Cell_ID, min(cell_vol_fl) AS v FROM objects WHERE position = 0 GROUP BY 1, 2), b AS (SELECT frame_i, Cell_ID, min(cell_area_um2) AS w FROM objects WHERE position = 1 GROUP BY 1, 2)"""
+_TWO = """, a AS (SELECT frame_i, Cell_ID, min(cell_vol_fl) AS v FROM objects WHERE position % 2 = 0 GROUP BY 1, 2), b AS (SELECT frame_i, Cell_ID, min(cell_area_um2) AS w FROM objects WHERE position % 2 <> 0 GROUP BY 1, 2)"""
 
 
 def _two(spark: SparkSession, d: str) -> list[DataFrame]:
+    """The objects of even positions as one table and those of odd ones as the other."""
     o = objects(spark, d)
-    return [o.where(f"position = {p}").groupBy("frame_i", "Cell_ID").agg(F.min(c).alias("signal"), F.min("_row_id").alias("_row_id")) for p, c in ((0, "cell_vol_fl"), (1, "cell_area_um2"))]
+    return [o.where(p).groupBy("frame_i", "Cell_ID").agg(F.min(c).alias("signal"), F.min("_row_id").alias("_row_id")) for p, c in (("position % 2 = 0", "cell_vol_fl"), ("position % 2 <> 0", "cell_area_um2"))]
 
 
 @query(_TWO + """ SELECT coalesce(a.frame_i, b.frame_i) AS frame_i, coalesce(a.Cell_ID, b.Cell_ID) AS Cell_ID, coalesce(v, 'nan'::DOUBLE) + coalesce(w, 'nan'::DOUBLE) AS both_signals,
