@@ -20,7 +20,11 @@ NEAR_BITS = 11
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it is fitted on the labels of those at hand."""
+    """Documents that the quality classifier accepts; it is fitted on the labels of those at hand.
+
+    Null and empty texts are scored as texts without tokens; a score of 0.5, as all have where nothing can be learnt, is
+    accepted. Rows that share an id each stand for themselves. An empty table gives none.
+    """
     fitted = quality.fit(docs, read(spark, sf_dir, "labels"))
     return quality.score(docs, *fitted).where("predicted = 1").select("document.*")
 
@@ -29,7 +33,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each group of near copies: of those with the smallest id, that whose text and columns hash lowest.
 
     Fingerprints propose pairs, which count if they share 0.8 of their five-word shingles. Every row is judged by its own
-    text, so rows that share an id but not a text can all stay. Rows without an id stay, one for each text.
+    text, so rows that share an id but not a text can all stay. Rows without an id stay, one for each text. An empty table
+    gives none.
     """
     marked = docs.withColumn("__row", F.xxhash64("doc_id", "text", *(F.col(f"`{c}`") for c in docs.columns)))
     copies = nearcopies.near_copies(marked, NEAR_BITS, row_col="__row")
@@ -53,7 +58,10 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its place in a sequence of 1024 tokens."""
+    """Every piece of every document with its place in a sequence of 1024 tokens.
+
+    Null and empty texts are packed as the end token alone; rows with equal or null ids each for itself. An empty table gives none.
+    """
     return packing.pack(docs)
 
 
