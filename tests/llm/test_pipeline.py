@@ -37,3 +37,36 @@ def test_stages_on_planted_rows(spark, tmp_path):
     packed = p.run(spark, str(tmp_path))
     assert {x.doc_id for x in packed.collect()} == set(texts)
     assert [name for name, _ in p.STAGES] and p.ORACLE_SQL is None
+
+
+def frames(spark, folder, rows, labels=()):
+    shape = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], shape).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_one_id_on_two_texts_loses_neither_but_the_copy(spark, tmp_path):
+    r = random.Random(5)
+    one, other = (" ".join(f"{c}{r.randrange(999)}" for _ in range(120)) for c in "ab")
+    for k, rows in enumerate(([(1, one), (5, one), (5, other)], [(5, other), (5, one), (1, one)])):
+        docs = frames(spark, str(tmp_path / str(k)), rows)
+        got = {(x.doc_id, x.text) for x in p.drop_near_copies(spark, docs, "").collect()}
+        assert got == {(1, one), (5, other)}
+
+
+def test_quality_stage_drops_what_labels_say(spark, tmp_path):
+    r = random.Random(6)
+    words = ["the", "of", "river", "stone", "walked", "over", "bridge", "evening"]
+    rows = [(i, " ".join(r.choice(words) + ("" if i % 3 else "$$$") for _ in range(60))) for i in range(150)]
+    docs = frames(spark, str(tmp_path), [*rows, (500, None), (501, "")], [(i, int(i % 3 > 0), 0) for i, _ in rows])
+    kept = {x.doc_id for x in p.drop_poor(spark, docs, str(tmp_path)).collect()}
+    assert kept - {500, 501} == {i for i, _ in rows if i % 3}
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = frames(spark, str(tmp_path), [])
+    for _, stage in p.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0
+        docs = out if out.columns == docs.columns else docs
