@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a written table in the shared folder, its lineage cut and its columns read as they are asked for; and where it is."""
+    folder = f"{shared_dir(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
+
+
+def dropped(spark: SparkSession, folder: str) -> None:
+    """A table that ``stored`` has written goes."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: A key that more than one row in so many has is looked up on its own.
 HEAVY = 1000
 
