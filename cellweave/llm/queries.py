@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweave.llm import bpe, licences, media, packing, quality, topk, wordpiece
+from cellweave.llm import alignment, bpe, lexical, licences, media, mixing, packing, quality, topk, wordpiece
 from cellweave.llm.common import read
 from cellweave.llm.simhash import near_duplicates
 from cellweave.llm.substring import dedup_substrings
@@ -85,6 +85,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("document.doc_id", quality.held_out("document.doc_id").alias("held_out"), "score", "predicted")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.search(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    return alignment.align(docs).withColumnRenamed("id", "doc_id").select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_matrices": op1_token_matrices,
@@ -97,8 +113,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_payloads": op8_media_payloads,
         "op9_exact_top_k": op9_exact_top_k,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_source_mix": op12_source_mix,
+        "op13_tokenizer_alignment": op13_tokenizer_alignment,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licence_scan": licences.oracle(), "op9_exact_top_k": TOP_K_SQL}
+    return {"op5_licence_scan": licences.oracle(), "op9_exact_top_k": TOP_K_SQL, "op11_lexical_search": lexical.ORACLE, "op12_source_mix": mixing.oracle()}
