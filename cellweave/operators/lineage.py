@@ -1,22 +1,21 @@
 """Lineage forests: building, editing, propagating and asking about them.
 
 A forest is a table of objects with ``Cell_ID_tree, generation_num_tree, parent_ID_tree, root_ID_tree, is_history_known``
-and ``sisters``, an array; ``flat_sisters`` makes columns of it. Questions are joins. What changes rows in an order where each
-step sees the last one's result runs per position.
+and ``sisters``, an array; ``flat_sisters`` makes columns of it. Questions are joins. So are changes in an order where each step
+sees the last one's result: a row then points to the one it takes its values from, and pointers are followed by doubling.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweave.functions.coerce import integer, require
 from cellweave.operators.relatives import ROW_ID
+from cellweave.session import checkpointed
 
 TREE = ("Cell_ID_tree", "generation_num_tree", "parent_ID_tree", "root_ID_tree", "is_history_known", "sisters")
 _KINDS = {c: T.LongType() for c in TREE[:4]} | {"is_history_known": T.BooleanType(), "sisters": T.ArrayType(T.LongType())}
@@ -45,63 +44,73 @@ def normalised(df: DataFrame) -> DataFrame:
     })
 
 
-def _by_position(df: DataFrame, keys: Sequence[str], change: Callable[[list[dict]], None]) -> DataFrame:
-    """``df`` with the columns of a forest as ``change`` leaves them; it is given a position's rows, in row order."""
-    shape = T.StructType([*(f for f in df.schema if f.name not in TREE), *(T.StructField(c, k) for c, k in _KINDS.items())])
-    whole = [f.name for f in shape if isinstance(f.dataType, T.IntegralType)]
+def _last_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Of the rows of one cell in one frame the last in row order."""
+    w = Window.partitionBy(*keys, "frame_i", "Cell_ID")
+    return df.withColumn("__last", F.max(ROW_ID).over(w)).where(F.col(ROW_ID) == F.col("__last")).drop("__last")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        records = rows.sort_values(ROW_ID).to_dict("records")
-        for r in records:
-            if r.get("sisters") is not None:
-                r["sisters"] = [int(x) for x in r["sisters"]]
-        change(records)
-        out = pd.DataFrame(records, columns=[f.name for f in shape])
-        return out.astype({c: "Int64" for c in whole})
 
-    return df.groupBy(*keys).applyInPandas(run, shape)
+def _followed(nodes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``(*by, node, generation, root)`` of ``(*by, node, next, generation, root)``, whose pointers never meet again.
+
+    A node without ``next`` is settled; any other has the root of the one it points to, and a generation more. Pointers are
+    doubled: a round takes each as far again, so there are as many rounds as the longest way has binary digits, each one join
+    of what is open, checkpointed.
+    """
+    nodes = checkpointed(nodes.withColumn("hops", F.lit(1).cast("long")))
+    while nodes.where("next is not null").limit(1).count():
+        target = nodes.select(*by, F.col("node").alias("next"), F.col("next").alias("__next"), F.col("hops").alias("__hops"), F.col("generation").alias("__generation"), F.col("root").alias("__root"))
+        settled = F.col("__next").isNull()
+        moved = nodes.where("next is not null").drop("generation", "root").join(target, [*by, "next"]).select(
+            *by, "node", F.col("__next").alias("next"), (F.col("__generation") + F.when(settled, F.col("hops")).otherwise(0)).alias("generation"), F.col("__root").alias("root"),
+            (F.col("hops") + F.col("__hops")).alias("hops"),
+        )
+        nodes = checkpointed(nodes.where("next is null").unionByName(moved))
+    return nodes.select(*by, "node", "generation", "root")
 
 
-def _id(value: object, default: int | None = None) -> int | None:
-    return default if value is None or pd.isna(value) else int(value)
+def _others(family: str) -> Column:
+    """A family without the cell itself; none where there is no family."""
+    return F.coalesce(F.array_except(family, F.array("Cell_ID")), F.array().cast("array<bigint>"))
 
 
-def _share_sisters(rows: list[dict]) -> None:
-    """All rows given have one parent: each lists the others."""
-    ids = sorted({r["Cell_ID"] for r in rows})
-    for r in rows:
-        r["sisters"] = [i for i in ids if i != r["Cell_ID"]]
+def _laid_out(df: DataFrame, other: Sequence[str]) -> DataFrame:
+    return df.select(*(c for c in other if c not in TREE), *(F.col(c).cast(_KINDS[c]).alias(c) for c in TREE))
 
 
 def from_cycles(df: DataFrame, keys: Sequence[str] = ("position",)) -> DataFrame:
     """A forest from cell-cycle columns: whoever is not a mother descends from its relative, if that is above 0.
 
     Generation and root are the parent's, as its row stands when row order comes to the child; the parent's row is that of
-    the same frame (the last), else its first. A parent without any row counts as a root itself.
+    the same frame (the last), else its first. A parent without any row counts as a root itself. So each row points to its parent's if that
+    comes before it, and pointers are followed by doubling. Row order tells a position's rows apart; keys have no nulls.
     """
     require(df, "frame_i", "Cell_ID", *CYCLE, ROW_ID)
-
-    def change(rows: list[dict]) -> None:
-        at, first, links = {}, {}, []
-        for r in rows:
-            at[(r["frame_i"], r["Cell_ID"])] = r
-            first.setdefault(r["Cell_ID"], r)
-            parent = _id(r["relative_ID"], -1)
-            role = "" if r["relationship"] is None else str(r["relationship"]).lower()
-            if parent > 0 and role != "mother":
-                links.append((r, parent))
-            r.update(Cell_ID_tree=r["Cell_ID"], generation_num_tree=_id(r["generation_num"], 1), parent_ID_tree=-1, root_ID_tree=r["Cell_ID"], is_history_known=False, sisters=[])
-        families = defaultdict(dict)
-        for r, parent in links:
-            source = at.get((r["frame_i"], parent)) or first.get(parent)
-            generation = source["generation_num_tree"] + 1 if source else max(2, _id(r["generation_num"], 2))
-            r.update(parent_ID_tree=parent, generation_num_tree=generation, root_ID_tree=source["root_ID_tree"] if source else parent, is_history_known=True)
-            families[(r["frame_i"], parent)][r["Cell_ID"]] = at[(r["frame_i"], r["Cell_ID"])]
-        for members in families.values():
-            _share_sisters(list(members.values()))
-
+    by = list(keys)
     typed = df.withColumns({c: integer(df, c) for c in ("frame_i", "Cell_ID", "relative_ID", "generation_num")})
-    return _by_position(typed, keys, change)
+    typed = typed.withColumn("__parent", F.when((F.col("relative_ID") > 0) & (F.lower(F.coalesce("relationship", F.lit(""))) != "mother"), F.col("relative_ID")))
+    row = F.struct(ROW_ID, F.col("__parent").isNotNull().alias("child"), F.coalesce("generation_num", F.lit(1)).alias("generation"))
+    here = typed.groupBy(*by, "frame_i", F.col("Cell_ID").alias("__parent")).agg(F.max(row).alias("__here"))
+    first = typed.groupBy(*by, F.col("Cell_ID").alias("__parent")).agg(F.min(row).alias("__first"))
+    links = typed.where("__parent is not null").select(*by, "frame_i", ROW_ID, "__parent", "generation_num")
+    links = links.join(here, [*by, "frame_i", "__parent"], "left").join(first, [*by, "__parent"], "left").withColumn("__of", F.coalesce("__here", "__first"))
+    source = F.col("__of")
+    nodes = links.select(
+        *by, F.col(ROW_ID).alias("node"), F.when(source["child"] & (source[ROW_ID] < F.col(ROW_ID)), source[ROW_ID]).alias("next"),
+        F.coalesce(source["generation"] + 1, F.greatest(F.lit(2), F.coalesce("generation_num", F.lit(2)))).cast("long").alias("generation"), F.col("__parent").alias("root"),
+    )
+    found = _followed(nodes, by).select(*by, F.col("node").alias(ROW_ID), "generation", "root")
+    family = typed.where("__parent is not null").groupBy(*by, "frame_i", F.col("__parent").alias("__top")).agg(F.array_sort(F.collect_set("Cell_ID")).alias("__family"))
+    # A cell's sisters stand in the last of its rows in a frame; where those rows name several parents, the largest counts.
+    w = Window.partitionBy(*by, "frame_i", "Cell_ID")
+    marked = typed.withColumns({"__top": F.max("__parent").over(w), "__last": F.max(ROW_ID).over(w)})
+    out = marked.join(found, [*by, ROW_ID], "left").join(family, [*by, "frame_i", "__top"], "left")
+    none = F.array().cast("array<bigint>")
+    out = out.withColumns({
+        "Cell_ID_tree": F.col("Cell_ID"), "generation_num_tree": F.coalesce("generation", "generation_num", F.lit(1)), "parent_ID_tree": F.coalesce("__parent", F.lit(-1)),
+        "root_ID_tree": F.coalesce("root", "Cell_ID"), "is_history_known": F.col("__parent").isNotNull(), "sisters": F.when(F.col(ROW_ID) == F.col("__last"), _others("__family")).otherwise(none),
+    })
+    return _laid_out(out, df.columns)
 
 
 def build(df: DataFrame, keys: Sequence[str] = ("position",)) -> DataFrame:
@@ -113,87 +122,113 @@ def build(df: DataFrame, keys: Sequence[str] = ("position",)) -> DataFrame:
     return from_cycles(df, keys) if set(CYCLE) <= set(df.columns) else roots(df)
 
 
-def _first_frames(rows: list[dict]) -> dict[int, int]:
-    first: dict[int, int] = {}
-    for r in rows:
-        first[r["Cell_ID"]] = min(r["frame_i"], first.get(r["Cell_ID"], r["frame_i"]))
-    return first
-
+def _regrouped(forest: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sisters anew for the families of ``cells`` (``*keys, Cell_ID``), at each cell's first frame."""
+    by = list(keys)
+    parent = F.coalesce("parent_ID_tree", F.lit(-1))
+    own = forest.join(cells, [*by, "Cell_ID"], "left_semi").groupBy(*by, "Cell_ID").agg(F.max(F.struct((-F.col("frame_i")).alias("f"), F.col(ROW_ID).alias("r"), parent.alias("p"))).alias("o"))
+    own = checkpointed(own.select(*by, (-F.col("o.f")).alias("frame_i"), F.col("o.r").alias(ROW_ID), F.col("o.p").alias("parent_ID_tree")))
+    families = own.where("parent_ID_tree > 0").select(*by, "frame_i", "parent_ID_tree").distinct()
+    members = forest.join(families, [*by, "frame_i", "parent_ID_tree"], "left_semi").groupBy(*by, "frame_i", "parent_ID_tree").agg(F.array_sort(F.collect_set("Cell_ID")).alias("__family"))
+    lone = own.where("parent_ID_tree <= 0").select(*by, ROW_ID, F.lit(True).alias("__lone"))
+    out = forest.join(members, [*by, "frame_i", "parent_ID_tree"], "left").join(lone, [*by, ROW_ID], "left")
+    none = F.array().cast("array<bigint>")
+    out = out.withColumn("sisters", F.when(F.col("__lone"), none).when(F.col("__family").isNotNull(), _others("__family")).otherwise(F.col("sisters")))
+    return _laid_out(out, forest.columns)
 
-def _regroup(rows: list[dict], cells: set[int]) -> None:
-    """Sisters anew for the families of some cells, at each cell's first frame."""
-    first = _first_frames(rows)
-    by_frame = defaultdict(list)
-    for r in rows:
-        by_frame[r["frame_i"]].append(r)
-    for cell in sorted(c for c in cells if c in first):
-        frame = by_frame[first[cell]]
-        own = next(r for r in reversed(frame) if r["Cell_ID"] == cell)
-        if own["parent_ID_tree"] <= 0:
-            own["sisters"] = []
-        else:
-            _share_sisters([r for r in frame if r["parent_ID_tree"] == own["parent_ID_tree"]])
 
+def update_frames(forest: DataFrame, edits: DataFrame, keys: Sequence[str] = ("position",)) -> DataFrame:
+    """Cells get other parents in a frame, by ``edits`` (``*keys, frame_i, Cell_ID, parent_ID``; -1: none, history unknown).
 
-def _descend(row: dict, parent: dict) -> None:
-    row.update(parent_ID_tree=parent["Cell_ID_tree"], generation_num_tree=parent["generation_num_tree"] + 1, root_ID_tree=parent["root_ID_tree"], is_history_known=True)
+    A parent that is not in the frame makes the cell a root. A frame's edits count in the order of the cells' ids: a parent
+    with a smaller id gives what its own edit has made of it, any other what it was. The families of the cells are regrouped. An
+    edit of a cell that is not there is an error; of several edits of a cell the largest parent counts.
+    """
+    by, at = list(keys), [*keys, "frame_i"]
+    edits = edits.select(*by, integer(edits, "frame_i").alias("frame_i"), integer(edits, "Cell_ID").alias("Cell_ID"), integer(edits, "parent_ID").alias("parent_ID"))
+    edits = checkpointed(edits.groupBy(*at, "Cell_ID").agg(F.coalesce(F.max("parent_ID"), F.lit(-1)).alias("parent_ID")))
+    frames = forest.join(edits.select(*at).distinct(), at, "left_semi")
+    rows = checkpointed(_last_rows(frames, keys).select(*at, "Cell_ID", ROW_ID, F.coalesce("Cell_ID_tree", "Cell_ID").alias("tree"), F.coalesce("generation_num_tree", F.lit(1)).alias("g"), F.coalesce("root_ID_tree", "Cell_ID_tree", F.lit(-1)).alias("r")))
+    missing = edits.join(rows, [*at, "Cell_ID"], "left_anti").first()
+    if missing:
+        raise ValueError(f"cell {missing['Cell_ID']} is not in frame {missing['frame_i']}")
+    parents = rows.select(*at, F.col("Cell_ID").alias("parent_ID"), F.col("tree").alias("__tree"), F.col("g").alias("__g"), F.col("r").alias("__r"))
+    edited = edits.select(*at, F.col("Cell_ID").alias("parent_ID"), F.lit(True).alias("__edited"))
+    each = edits.join(rows.select(*at, "Cell_ID", ROW_ID), [*at, "Cell_ID"]).join(parents, [*at, "parent_ID"], "left").join(edited, [*at, "parent_ID"], "left")
+    child = F.col("__tree").isNotNull() & (F.col("parent_ID") > 0)
+    each = checkpointed(each.withColumn("child", child))
+    nodes = each.select(
+        *at, F.col("Cell_ID").alias("node"), F.when(F.col("child") & F.col("__edited") & (F.col("parent_ID") < F.col("Cell_ID")), F.col("parent_ID")).alias("next"),
+        F.when(F.col("child"), F.col("__g") + 1).otherwise(1).cast("long").alias("generation"), F.when(F.col("child"), F.col("__r")).otherwise(F.col("Cell_ID")).alias("root"),
+    )
+    values = _followed(nodes, at).withColumnRenamed("node", "Cell_ID").join(each.select(*at, "Cell_ID", ROW_ID, "child", F.col("__tree").alias("__of")), [*at, "Cell_ID"])
+    values = values.select(*by, ROW_ID, F.col("child").alias("__child"), F.col("__of"), "generation", "root")
+    out = forest.join(values, [*by, ROW_ID], "left")
+    hit, kept = F.col("__child").isNotNull(), lambda new, old: F.when(F.col("__child").isNotNull(), new).otherwise(F.col(old))
+    out = out.withColumns({
+        "parent_ID_tree": kept(F.when(F.col("__child"), F.col("__of")).otherwise(-1), "parent_ID_tree"), "generation_num_tree": kept(F.col("generation"), "generation_num_tree"), "root_ID_tree": kept(F.col("root"), "root_ID_tree"),
+        "is_history_known": kept(F.col("__child"), "is_history_known"), "sisters": F.when(hit & ~F.col("__child"), F.array().cast("array<bigint>")).otherwise(F.col("sisters")),
+    })
+    return _regrouped(checkpointed(_laid_out(out, forest.columns)), edits.select(*by, "Cell_ID").distinct(), keys)
 
 
 def update_frame(forest: DataFrame, frame: int, parents: dict[int, int], keys: Sequence[str] = ("position",), position: dict[str, object] | None = None) -> DataFrame:
-    """Cells of one frame get other parents (-1: none, history unknown); an edit of a cell that is not there is an error.
+    """``update_frames`` with the same few edits of one frame in every position, or in one."""
+    places = forest.select(*keys).distinct()
+    for name, value in (position or {}).items():
+        places = places.where(F.col(name) == F.lit(value))
+    pairs = F.array(*(F.struct(F.lit(c).cast("long").alias("Cell_ID"), F.lit(p).cast("long").alias("parent_ID")) for c, p in parents.items()))
+    return update_frames(forest, places.select(*keys, F.lit(frame).cast("long").alias("frame_i"), F.inline(pairs)), keys) if parents else forest
 
-    A parent that is not in the frame makes the cell a root. The families of the cells are regrouped.
-    """
 
-    def change(rows: list[dict]) -> None:
-        if position and any(rows[0][k] != v for k, v in position.items()):
-            return
-        at = {r["Cell_ID"]: r for r in rows if r["frame_i"] == frame}
-        for cell, parent in parents.items():
-            if cell not in at:
-                raise ValueError(f"cell {cell} is not in frame {frame}")
-            at[cell]["parent_ID_tree"] = parent
-        for cell in sorted(parents):
-            r = at[cell]
-            parent = at.get(r["parent_ID_tree"]) if r["parent_ID_tree"] > 0 else None
-            if parent:
-                _descend(r, parent)
-            else:
-                r.update(parent_ID_tree=-1, generation_num_tree=1, root_ID_tree=cell, is_history_known=False, sisters=[])
-        _regroup(rows, set(parents))
-
-    return _by_position(forest, keys, change)
-
-
-def propagate(forest: DataFrame, frame: int, cells: Sequence[int], keys: Sequence[str] = ("position",)) -> DataFrame:
-    """A frame's tree values of some cells on all their later rows, and their children there descend from them anew."""
-
-    def change(rows: list[dict]) -> None:
-        by_cell, by_frame = defaultdict(dict), defaultdict(list)
-        for r in rows:
-            by_cell[r["Cell_ID"]][r["frame_i"]] = r
-            by_frame[r["frame_i"]].append(r)
-        aliases, repaired = {}, set()
-        for cell in cells:
-            own = by_cell[cell]
-            if frame not in own:
-                continue
-            aliases[cell] = {cell, *(r["Cell_ID_tree"] for f, r in own.items() if f >= frame)}
-            for f, r in own.items():
-                if f > frame:
-                    r.update({c: own[frame][c] for c in TREE})
-        for cell in sorted(aliases):
-            for f in sorted(by_frame):
-                parent = by_cell[cell].get(f)
-                if f <= frame or parent is None:
-                    continue
-                for child in by_frame[f]:
-                    if child["parent_ID_tree"] in aliases[cell] | {parent["Cell_ID_tree"]}:
-                        _descend(child, parent)
-                        repaired.add(child["Cell_ID"])
-        _regroup(rows, set(cells) | repaired)
-
-    return _by_position(forest, keys, change)
+def propagate(forest: DataFrame, frame: int, cells: Sequence[int] | DataFrame, keys: Sequence[str] = ("position",)) -> DataFrame:
+    """A frame's tree values of some cells on all their later rows, and their children there descend from them anew.
+
+    ``cells`` are ids, in every position, or a table ``(*keys, Cell_ID)``. Children are the rows whose parent is one of the ids that the cell has in
+    its tree from the frame on. Cells count in the order of their ids, each seeing what smaller ones have made of it: a row that has
+    descended from one may go on to a larger one, so rows move on until none does, and pointers to who was seen are
+    followed by doubling. A cell is no child of its own.
+    """
+    by, at = list(keys), [*keys, "frame_i"]
+    if not isinstance(cells, DataFrame):
+        ids = F.array(*(F.lit(int(c)).cast("long") for c in cells)) if cells else F.array().cast("array<bigint>")
+        cells = forest.select(*by).distinct().select(*by, F.explode(ids).alias("Cell_ID"))
+    cells = cells.select(*by, integer(cells, "Cell_ID").alias("Cell_ID")).distinct()
+    own = checkpointed(_last_rows(forest.where(F.col("frame_i") >= frame).join(cells, [*by, "Cell_ID"], "left_semi"), keys).select(*at, "Cell_ID", ROW_ID, F.struct(*TREE).alias("__tree")))
+    sources = own.where(F.col("frame_i") == frame).select(*by, "Cell_ID", F.col("__tree").alias("__new"))
+    later = own.where(F.col("frame_i") > frame).join(sources, [*by, "Cell_ID"]).select(*at, "Cell_ID", ROW_ID, "__new")
+    moved = forest.join(later.select(*by, ROW_ID, "__new"), [*by, ROW_ID], "left")
+    moved = moved.withColumns({c: F.when(F.col("__new").isNotNull(), F.col("__new")[c]).otherwise(F.col(c)) for c in TREE})
+    moved = checkpointed(_laid_out(moved, forest.columns))
+
+    tree = F.coalesce(F.col("__new")["Cell_ID_tree"], F.col("Cell_ID"))
+    aliases = own.join(sources.select(*by, "Cell_ID"), [*by, "Cell_ID"], "left_semi")
+    aliases = aliases.select(*by, F.col("Cell_ID").alias("over"), F.explode(F.array("Cell_ID", F.coalesce(F.col("__tree")["Cell_ID_tree"], F.col("Cell_ID")))).alias("parent")).distinct()
+    parents = checkpointed(later.select(*at, F.col("Cell_ID").alias("over"), F.col(ROW_ID).alias("__row"), tree.alias("tree"), F.coalesce(F.col("__new")["generation_num_tree"], F.lit(1)).alias("g"), F.coalesce(F.col("__new")["root_ID_tree"], tree).alias("r")))
+    offers = checkpointed(aliases.join(parents.select(*at, "over", "tree"), [*by, "over"]))
+    moving = moved.where(F.col("frame_i") > frame).select(*at, ROW_ID, "Cell_ID", F.col("parent_ID_tree").alias("parent"), F.lit(None).cast("long").alias("after"))
+    steps = None
+    while True:
+        met = moving.join(offers, [*at, "parent"]).where("over <> Cell_ID and (after is null or over > after)")
+        step = checkpointed(met.groupBy(*at, ROW_ID, "Cell_ID").agg(F.min(F.struct("over", "tree")).alias("m")).select(*at, ROW_ID, "Cell_ID", F.col("m.over").alias("after"), F.col("m.tree").alias("parent")))
+        if not step.limit(1).count():
+            break
+        steps = step if steps is None else steps.unionByName(step)
+        moving = step
+    if steps is None:
+        return _regrouped(moved, cells, keys)
+    steps = checkpointed(steps)
+    seen = steps.select(*by, F.col(ROW_ID).alias("__row"), F.col("after").alias("before"))
+    nodes = parents.join(seen, [*by, "__row"], "left").groupBy(*at, "over").agg(F.max(F.when(F.col("before") < F.col("over"), F.col("before"))).alias("next"), F.first("g").alias("generation"), F.first("r").alias("root"))
+    values = _followed(nodes.withColumnRenamed("over", "node"), at)
+    last = steps.groupBy(*at, ROW_ID).agg(F.max(F.struct("after", "parent")).alias("s")).select(*at, ROW_ID, F.col("s.after").alias("node"), F.col("s.parent").alias("__of"))
+    found = last.join(values, [*at, "node"]).select(*by, ROW_ID, "__of", "generation", "root")
+    out = moved.join(found, [*by, ROW_ID], "left")
+    hit = F.col("__of").isNotNull()
+    new = {"parent_ID_tree": F.col("__of"), "generation_num_tree": F.col("generation") + 1, "root_ID_tree": F.col("root"), "is_history_known": F.lit(True)}
+    out = out.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items()})
+    touched = cells.unionByName(steps.select(*by, "Cell_ID")).distinct()
+    return _regrouped(checkpointed(_laid_out(out, forest.columns)), touched, keys)
 
 
 def frame_rows(forest: DataFrame, frame: int) -> DataFrame:

@@ -18,7 +18,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 
 def query(sql: str | None = None, *views: str):
     def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = (f, sql and oracle(sql, *(views or ("mask",))))
+        QUERIES[f.__name__] = (f, sql and oracle(sql, *(views or ("mask",))).replace("WITH ", "WITH RECURSIVE " if "UNION ALL SELECT w." in sql else "WITH ", 1))
         return f
 
     return add
@@ -131,26 +131,75 @@ def _shown(forest):
     return forest.select(*keep, F.array_join(F.col("sisters").cast("array<string>"), ",").alias("sisters"))
 
 
-@query()
+_SISTERS = "coalesce(array_to_string(list_filter({members}, lambda c: c <> {row}.Cell_ID), ','), '')"
+_FAMILY = "(SELECT position, frame_i, parent, list(Cell_ID ORDER BY Cell_ID) AS members FROM {forest} WHERE parent > 0 GROUP BY 1, 2, 3)"
+_CYCLES = f""", n AS (SELECT l.position, l.frame_i, l.Cell_ID, l._row_id, CASE WHEN l.parent_ID_tree > 0 THEN l.parent_ID_tree END AS p, coalesce(s._row_id, f._row_id) AS source, coalesce(s.parent_ID_tree, f.parent_ID_tree) AS source_p
+    FROM lineage l LEFT JOIN lineage s ON s.position = l.position AND s.frame_i = l.frame_i AND s.Cell_ID = l.parent_ID_tree AND l.parent_ID_tree > 0
+    LEFT JOIN (SELECT position, Cell_ID, min(_row_id) AS _row_id, arg_min(parent_ID_tree, _row_id) AS parent_ID_tree FROM lineage GROUP BY 1, 2) f ON f.position = l.position AND f.Cell_ID = l.parent_ID_tree AND l.parent_ID_tree > 0),
+  walk AS (SELECT position, _row_id AS id, _row_id AS here, 0 AS hops FROM n WHERE p IS NOT NULL
+    UNION ALL SELECT w.position, w.id, n.source, w.hops + 1 FROM walk w JOIN n ON n.position = w.position AND n._row_id = w.here WHERE n.source_p > 0 AND n.source < n._row_id),
+  top AS (SELECT position, id, max(hops) AS hops, arg_max(here, hops) AS here FROM walk GROUP BY 1, 2),
+  bare AS (SELECT n.position, n.frame_i, n.Cell_ID, n._row_id, coalesce(n.p, -1) AS parent, CASE WHEN n.p IS NULL THEN 1 ELSE 2 + t.hops END AS generation, coalesce(e.p, n.Cell_ID) AS root
+    FROM n LEFT JOIN top t ON t.position = n.position AND t.id = n._row_id LEFT JOIN n e ON e.position = n.position AND e._row_id = t.here),
+  forest AS (SELECT b.*, {_SISTERS.format(members="m.members", row="b")} AS sisters FROM bare b LEFT JOIN {_FAMILY.format(forest="bare")} m ON m.position = b.position AND m.frame_i = b.frame_i AND m.parent = b.parent)"""
+
+
+def _regrouped_sql(forest, cells, out):
+    """Sisters anew at each cell's first frame."""
+    return f""", {out}_own AS (SELECT f.position, f.frame_i, f.Cell_ID, f.parent FROM {forest} f JOIN (SELECT position, Cell_ID, min(frame_i) AS frame_i FROM {forest} GROUP BY 1, 2) o USING (position, Cell_ID, frame_i) WHERE (f.position, f.Cell_ID) IN (SELECT position, Cell_ID FROM {cells})),
+  {out} AS (SELECT f.* EXCLUDE (sisters), CASE WHEN (f.position, f.frame_i, f.Cell_ID) IN (SELECT position, frame_i, Cell_ID FROM {out}_own WHERE parent <= 0) THEN ''
+      WHEN (f.position, f.frame_i, f.parent) IN (SELECT position, frame_i, parent FROM {out}_own WHERE parent > 0) THEN {_SISTERS.format(members="m.members", row="f")} ELSE f.sisters END AS sisters
+    FROM {forest} f LEFT JOIN {_FAMILY.format(forest=forest)} m ON m.position = f.position AND m.frame_i = f.frame_i AND m.parent = f.parent)"""
+
+
+_UPDATED = f"""{_CYCLES}, edits AS (SELECT position, Cell_ID, _row_id, CASE WHEN Cell_ID % 7 = 0 THEN CAST(floor(Cell_ID / 3.0) AS BIGINT) ELSE -1 END AS q FROM forest WHERE frame_i = 2 AND (Cell_ID % 7 = 0 OR Cell_ID % 11 = 0)),
+  e AS (SELECT e.*, p.Cell_ID IS NOT NULL AS child, coalesce(p.generation + 1, 1) AS generation, coalesce(p.root, e.Cell_ID) AS root, x.Cell_ID IS NOT NULL AND p.Cell_ID IS NOT NULL AND e.q < e.Cell_ID AS follows
+    FROM edits e LEFT JOIN forest p ON p.frame_i = 2 AND p.position = e.position AND p.Cell_ID = e.q AND e.q > 0 LEFT JOIN edits x ON x.position = e.position AND x.Cell_ID = e.q),
+  walk2 AS (SELECT position, Cell_ID AS id, Cell_ID AS here, 0 AS hops FROM e
+    UNION ALL SELECT w.position, w.id, e.q, w.hops + 1 FROM walk2 w JOIN e ON e.position = w.position AND e.Cell_ID = w.here WHERE e.follows),
+  top2 AS (SELECT position, id, max(hops) AS hops, arg_max(here, hops) AS here FROM walk2 GROUP BY 1, 2),
+  bare2 AS (SELECT f.position, f.frame_i, f.Cell_ID, f._row_id, CASE WHEN e.child THEN e.q WHEN e.Cell_ID IS NOT NULL THEN -1 ELSE f.parent END AS parent, coalesce(z.generation + t.hops, f.generation) AS generation, coalesce(z.root, f.root) AS root,
+      CASE WHEN NOT e.child THEN '' ELSE f.sisters END AS sisters
+    FROM forest f LEFT JOIN e ON e.position = f.position AND e._row_id = f._row_id LEFT JOIN top2 t ON t.position = e.position AND t.id = e.Cell_ID LEFT JOIN e z ON z.position = t.position AND z.Cell_ID = t.here)
+  {_regrouped_sql("bare2", "edits", "updated")}"""
+_PROPAGATED = f"""{_UPDATED}, moved AS (SELECT f.position, f.frame_i, f.Cell_ID, f._row_id, coalesce(s.parent, f.parent) AS parent, coalesce(s.generation, f.generation) AS generation, coalesce(s.root, f.root) AS root, coalesce(s.sisters, f.sisters) AS sisters
+    FROM updated f LEFT JOIN (SELECT * FROM updated WHERE frame_i = 2 AND (position, Cell_ID) IN (SELECT position, Cell_ID FROM edits)) s ON f.frame_i > 2 AND s.position = f.position AND s.Cell_ID = f.Cell_ID),
+  met AS (SELECT c.*, p._row_id AS over FROM moved c JOIN moved p ON p.position = c.position AND p.frame_i = c.frame_i AND p.Cell_ID = c.parent WHERE c.frame_i > 2 AND (p.position, p.Cell_ID) IN (SELECT position, Cell_ID FROM edits)),
+  walk3 AS (SELECT position, _row_id AS id, over AS here, 1 AS hops FROM met UNION ALL SELECT w.position, w.id, m.over, w.hops + 1 FROM walk3 w JOIN met m ON m.position = w.position AND m._row_id = w.here),
+  top3 AS (SELECT position, id, max(hops) AS hops, arg_max(here, hops) AS here FROM walk3 GROUP BY 1, 2),
+  bare3 AS (SELECT f.position, f.frame_i, f.Cell_ID, f._row_id, f.parent, coalesce(z.generation + t.hops, f.generation) AS generation, coalesce(z.root, f.root) AS root, f.sisters
+    FROM moved f LEFT JOIN top3 t ON t.position = f.position AND t.id = f._row_id LEFT JOIN moved z ON z.position = t.position AND z._row_id = t.here),
+  touched AS (SELECT position, Cell_ID FROM edits UNION SELECT position, Cell_ID FROM met)
+  {_regrouped_sql("bare3", "touched", "propagated")}"""
+_FOREST = " SELECT position, frame_i, Cell_ID, generation AS generation_num_tree, parent AS parent_ID_tree, root AS root_ID_tree, parent > 0 AS is_history_known, sisters FROM "
+
+
+@query(f"{_CYCLES}{_FOREST}forest", "lineage")
 def lineage_from_cycles(spark, d):
     return _shown(_forest(spark, d))
 
 
-@query("""SELECT position, frame_i, Cell_ID, 1 AS generation_num_tree, -1 AS parent_ID_tree, Cell_ID AS root_ID_tree, FALSE AS is_history_known, '' AS sisters FROM lineage""", "lineage")
-def lineage_roots(spark, d):
-    return _shown(L.roots(table(spark, d, "lineage").drop("parent_ID_tree")))
+def _edits(forest):
+    """Every seventh cell of frame 2 gets another parent, every eleventh none, in all positions."""
+    parent = F.when(F.col("Cell_ID") % 7 == 0, F.floor(F.col("Cell_ID") / 3)).otherwise(-1)
+    return forest.where("frame_i = 2 and (Cell_ID % 7 = 0 or Cell_ID % 11 = 0)").select("position", "frame_i", "Cell_ID", parent.alias("parent_ID"))
 
 
-@query()
+@query(f"{_UPDATED}{_FOREST}updated", "lineage")
 def lineage_update_frame(spark, d):
-    forest = _forest(spark, d).withColumn("position", F.lit(0)).dropDuplicates(["frame_i", "Cell_ID"])
-    return _shown(L.update_frame(forest, 0, {2: 4, 8: -1}))
+    forest = _forest(spark, d)
+    return _shown(L.update_frames(forest, _edits(forest)))
 
 
-@query()
+@query(f"{_PROPAGATED}{_FOREST}propagated", "lineage")
 def lineage_propagate(spark, d):
-    forest = _forest(spark, d).withColumn("position", F.lit(0)).dropDuplicates(["frame_i", "Cell_ID"])
-    return _shown(L.propagate(L.update_frame(forest, 0, {2: 4, 8: -1}), 0, [2, 8]))
+    forest = _forest(spark, d)
+    return _shown(L.propagate(L.update_frames(forest, _edits(forest)), 2, _edits(forest)))
+
+
+@query("""SELECT position, frame_i, Cell_ID, 1 AS generation_num_tree, -1 AS parent_ID_tree, Cell_ID AS root_ID_tree, FALSE AS is_history_known, '' AS sisters FROM lineage""", "lineage")
+def lineage_roots(spark, d):
+    return _shown(L.roots(table(spark, d, "lineage").drop("parent_ID_tree")))
 
 
 @query("""SELECT position, frame_i, Cell_ID, 1 AS a, -1 AS b FROM lineage WHERE frame_i = 3""", "lineage")

@@ -6,7 +6,7 @@ import os
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str, cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -25,7 +25,26 @@ def local_session(app: str, cores: int | str = "*", shuffle_partitions: int = 8,
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder is made if Spark runs on one machine alone (tests); a cluster must set it.
+    """
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cellweave-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, its lineage cut."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch(spark: SparkSession) -> str:
-    """A folder for files between steps: in the session's ``spark.checkpoint.dir``, which all machines share, if it is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{uuid4().hex}" if shared else tempfile.mkdtemp(prefix="cellweave-")
+    """A new folder for files between steps, in the shared one."""
+    return f"{shared_dir(spark)}/{uuid4().hex}"
