@@ -6,7 +6,7 @@ that some piece does hold after another character (a line's carriage return, say
 
 Tasks cut their texts, a chunk of documents at a time, into numbered distinct segments. Segments of all chunks meet by their text, are
 tokenized and aligned once, and the pairs of ids that they link are counted, each as often as its segment occurs. Alignments then
-join back to the chunks that hold the segment, once for each chunk, and a chunk's documents are composed of them.
+go back to the chunks that hold the segment, once to each, and a chunk's documents are composed of them.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ PIECES_32K = public_tokenizers.path("piece_bpe_32k.model")
 CHUNK_BYTES = 16 << 20
 KEY_BYTES = 64
 JOINED_BYTES = 1 << 16
+#: Places of a segment in one row.
+PLACES = 1024
 #: Pairs of ids up to which their counts are broadcast; more meet the segments in a shuffle.
 BROADCAST = 1 << 20
 #: The characters that Unicode counts as white space, and the sign that stands for a space in pieces.
@@ -187,22 +189,42 @@ def _chunks(df: DataFrame, id_col: str, text_col: str, path_a: str, path_b: str,
 
 
 def _segments(chunks: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """Every distinct segment with its occurrences and alignment."""
-    each = chunks.select(F.explode(F.arrays_zip("keys", "texts", "times")).alias("s")).select("s.keys", "s.texts", "s.times")
-    distinct = each.groupBy("keys", "texts").agg(F.sum("times").alias("times"))
+    """Every distinct segment with its occurrences, its alignment, and where it stands: ``places``, chunks and its number in them.
+
+    A segment comes once from each chunk that has it, and all its rows meet in one sorted range of a task, which aligns it once
+    and goes on through what follows. A segment of many chunks fills several rows, ``PLACES`` to a row.
+    """
+    each = chunks.select("chunk", F.posexplode(F.arrays_zip("keys", "texts", "times")).alias("at", "s")).select("s.keys", "s.texts", "s.times", "chunk", "at")
+    dealt = bounded(each).repartition("keys").sortWithinPartitions("keys")
+    names = ["segment", "times", "n_a", "n_b", "n_groups", "groups", "pairs", "places"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _pair(path_a, path_b)
+        own, number = _pair(path_a, path_b), TaskContext.get().partitionId() << 40
+        last_key, last = None, None
         for batch in batches:
-            if batch.num_rows:
-                found = own.align([t if t is not None else k for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())])
-                n_a, n_b, n_groups, groups, pairs = zip(*found)
-                numbers = [pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups)]
-                at = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in pairs])]), pa.int32())
-                linked = pa.ListArray.from_arrays(at, pa.array(np.concatenate(pairs), pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *numbers, pa.array(groups, pa.string()), linked], ["key", "times", "n_a", "n_b", "n_groups", "groups", "pairs"])
-
-    return bounded(distinct).mapInArrow(run, "key string, times long, n_a long, n_b long, n_groups long, groups string, pairs array<long>")
+            if not batch.num_rows:
+                continue
+            keys, texts, times, chunk, at = (batch.column(i) for i in range(5))
+            each = keys.dictionary_encode()
+            starts = np.flatnonzero(np.diff(each.indices.to_numpy(), prepend=-1))
+            first = texts.take(pa.array(starts)).to_pylist()
+            distinct = each.dictionary.to_pylist()
+            known = last is not None and distinct[0] == last_key
+            found = own.align([t if t is not None else k for k, t in zip(distinct[known:], first[known:])])
+            found = [last, *found] if known else found
+            last_key, last = distinct[-1], found[-1]
+            ends = np.append(starts[1:], batch.num_rows)
+            cut = [(k, i, min(i + PLACES, int(z))) for k, (a, z) in enumerate(zip(starts.tolist(), ends.tolist())) for i in range(a, z, PLACES)]
+            bounds = np.array([i for _, i, _ in cut] + [batch.num_rows])
+            sums = np.add.reduceat(times.to_numpy(), bounds[:-1])
+            n_a, n_b, n_groups, groups, pairs = zip(*(found[k] for k, _, _ in cut))
+            linked = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in pairs])]), pa.int32()), pa.array(np.concatenate(pairs), pa.int64()))
+            places = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([chunk, at], ["chunk", "at"]))
+            numbers = [pa.array(x, pa.int64()) for x in (number + np.arange(len(cut)), sums, n_a, n_b, n_groups)]
+            number += len(cut)
+            yield pa.RecordBatch.from_arrays([*numbers, pa.array(groups, pa.string()), linked, places], names)
+
+    return dealt.mapInArrow(run, "segment long, times long, n_a long, n_b long, n_groups long, groups string, pairs array<long>, places array<struct<chunk: long, at: int>>")
 
 
 def _counted(segments: DataFrame) -> DataFrame:
@@ -213,6 +235,34 @@ def _counted(segments: DataFrame) -> DataFrame:
     return pairs.join(most, "b").select("pair", "links", (F.col("links") == F.col("most")).alias("best"), "rows")
 
 
+def _scored(segments: DataFrame, counted: DataFrame, broadcast: int) -> DataFrame:
+    """``segments`` with ``n_best`` and ``count_sum``.
+
+    Up to ``broadcast`` pairs, their counts go to every task as arrays, in which a segment's pairs are looked up; beyond that
+    segments' pairs meet the counts in a shuffle, those that most segments have apart.
+    """
+    if counted.count() > broadcast:
+        linked = looked_up(segments.select("segment", F.explode("pairs").alias("pair")), counted, "pair", "rows")
+        sums = linked.groupBy("segment").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("links").alias("count_sum"))
+        return segments.drop("pairs").join(sums, "segment")
+    table = counted.select("pair", "links", "best").toArrow().sort_by("pair")
+    sent = segments.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("pair", "links", "best")))
+    names = [c for c in segments.columns if c != "pairs"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, links, best = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                own = batch.column(batch.schema.names.index("pairs"))
+                starts = own.offsets.to_numpy()[:-1] - own.offsets[0].as_py()
+                at = np.searchsorted(pair, own.flatten().to_numpy())
+                sums = [pa.array(np.add.reduceat(x[at].astype(np.int64), starts)) for x in (best, links)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.names.index(c)) for c in names), *sums], [*names, "n_best", "count_sum"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in segments.schema if f.name != "pairs")
+    return bounded(segments).mapInArrow(run, f"{kinds}, n_best long, count_sum long")
+
+
 def vocabulary_map(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a: str = BPE_50K, path_b: str = PIECES_32K, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``(a_id, b_id, links, best)``: the pairs of ids that overlap somewhere, how often, and whether it is the second id's most frequent."""
     segments = _segments(_chunks(df, id_col, text_col, path_a, path_b, chunk_bytes), path_a, path_b)
@@ -236,14 +286,8 @@ def align(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a:
     chunks, _ = stored(_chunks(df, id_col, text_col, path_a, path_b, chunk_bytes))
     segments, _ = stored(_segments(chunks, path_a, path_b))
     counted = checkpointed(_counted(segments))
-    # The alignment goes with the first of a segment's pairs, so that long segments are not repeated.
-    whole = F.when(F.col("pos") == 0, F.struct("n_a", "n_b", "n_groups", "groups"))
-    linked = segments.select("key", "n_a", "n_b", "n_groups", "groups", F.posexplode("pairs")).select("key", whole.alias("whole"), F.col("col").alias("pair"))
-    small = counted.count() <= broadcast
-    linked = linked.join(F.broadcast(counted.drop("rows")), "pair") if small else looked_up(linked, counted, "pair", "rows")
-    scored = linked.groupBy("key").agg(F.max("whole").alias("whole"), F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("links").alias("count_sum"))
-    each = chunks.select("chunk", F.posexplode("keys").alias("at", "key"))
-    back = each.join(scored, "key").select("chunk", "at", "whole.*", "n_best", "count_sum")
+    scored = _scored(segments.drop("times"), counted, broadcast)
+    back = scored.select(F.explode("places").alias("p"), *_SUMS, "groups").select("p.chunk", "p.at", *_SUMS, "groups")
 
     def composed(found: pa.Table, docs: pa.Table) -> pa.Table:
         found = found.take(pa.array(np.argsort(found["at"].to_numpy())))

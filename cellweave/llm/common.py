@@ -46,7 +46,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as a written table in the shared folder, its lineage cut and its columns read as they are asked for; and where it is."""
     folder = f"{shared_dir(df.sparkSession)}/table-{uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder), folder
 
 
