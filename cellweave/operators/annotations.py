@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -237,6 +238,23 @@ def cycles_without_g1(df: DataFrame, grouping: Sequence[str] = ("position",)) ->
     return cycles.where("not has").drop("has")
 
 
+def cycles_that_do_not_go_on(df: DataFrame, grouping: Sequence[str] = ("position",)) -> DataFrame:
+    """``(…, Cell_ID, generation_num)`` of cycles that are said to divide (``will_divide`` above 0) and have no next generation."""
+    cycle = [*grouping, "Cell_ID", "generation_num"]
+    base = df.select(*grouping, F.coalesce(integer(df, "Cell_ID"), F.lit(0)).alias("Cell_ID"), F.coalesce(integer(df, "generation_num"), F.lit(0)).alias("generation_num"), number(df, "will_divide").alias("divides"))
+    before = base.select(*grouping, "Cell_ID", (F.col("generation_num") - 1).alias("generation_num")).distinct()
+    return base.where(F.col("divides") > 0).select(*cycle).distinct().join(before, cycle, "left_anti")
+
+
+def integrity_of_cycles(df: DataFrame, grouping: Sequence[str] = ("position",)) -> DataFrame:
+    """``(…, category, Cell_ID, generation_num)``: what does not fit together over all frames; the second only if there is a ``will_divide``."""
+    found = [(cycles_without_g1(df, grouping), "cycles without G1")]
+    if "will_divide" in df.columns:
+        found.append((cycles_that_do_not_go_on(df, grouping), "will_divide without next generation"))
+    parts = [p.select(*grouping, F.lit(name).alias("category"), "Cell_ID", "generation_num") for p, name in found]
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- custom annotations --------------------------------------------------------------------------------------------
 
 

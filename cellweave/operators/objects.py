@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from cellweave.functions.coerce import NAN, col
 from cellweave.functions.formula import divide
-from cellweave.operators import planes
-from cellweave.operators.pixels import FRAME, background, manual_background, perimeters, project
+from cellweave.operators import areas, planes
+from cellweave.operators.pixels import FRAME, perimeters, project, project_labels, slice_sizes, voxel_counts
 
 PI = 3.141592653589793
 #: The quantiles of an object's intensities, by the name of their column.
@@ -23,6 +23,11 @@ ANNOTATION_DEFAULTS = {
 }
 
 
+#: The shapes that pixels' moments alone give, and those that edges are needed for.
+FIGURES = ("area", "major_axis_length", "minor_axis_length", "orientation", "eccentricity")
+SHAPES = (*FIGURES, "perimeter", "circularity", "roundness", "aspect_ratio", "extent", "equivalent_diameter")
+
+
 def _figures(labels: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Everything about an object's pixels that one aggregation gives."""
     y, x = F.col("y").cast("double"), F.col("x").cast("double")
@@ -89,22 +94,47 @@ def intensities(pixels: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
     return out.select(*keys, "label", "mean", "sum", "min", "max", *(F.col("q")[i].alias(n) for i, n in enumerate(QUANTILES)), cv.alias("CV"), F.col("n").alias("area"))
 
 
-def corrected(pixels: DataFrame, keys: Sequence[str] = FRAME, roi: Column | None = None, manual: DataFrame | None = None) -> DataFrame:
-    """Intensities with amounts above background, per object: automatic (median of all pixels of no object), of a region, manual (mean).
+#: What is known of a background, by the ending of its column.
+BACKGROUND = {"median": 0.5, "mean": None, "q75": 0.75, "q25": 0.25, "q95": 0.95, "q05": 0.05}
+
+
+def background_figures(values: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """``<name>_bkgrVal_median`` and so on of all ``value`` of a key."""
+    levels = [v for v in BACKGROUND.values() if v is not None]
+    q = F.expr(f"percentile(value, array({', '.join(map(str, levels))}))").alias("__q")
+    found = values.groupBy(*keys).agg(q, F.avg("value").alias("__mean"))
+    column = lambda c, v: F.col("__mean") if v is None else F.col("__q")[levels.index(v)]
+    return found.select(*keys, *(column(c, v).alias(f"{name}_bkgrVal_{c}") for c, v in BACKGROUND.items()))
+
+
+def _with_background(out: DataFrame, figures: DataFrame | None, keys: Sequence[str], name: str, centre: str = "median") -> DataFrame:
+    names = [f"{name}_bkgrVal_{c}" for c in BACKGROUND]
+    out = out.withColumns({c: F.lit(NAN) for c in names}) if figures is None else out.join(figures, list(keys), "left").withColumns({c: F.coalesce(c, F.lit(NAN)) for c in names})
+    return out.withColumn(f"amount_{name}", (F.col("mean") - F.col(f"{name}_bkgrVal_{centre}")) * F.col("area"))
+
 
-    A background without pixels gives NaN.
+def corrected(pixels: DataFrame, keys: Sequence[str] = FRAME, roi: Column | DataFrame | None = None, manual: DataFrame | None = None, archive: DataFrame | None = None) -> DataFrame:
+    """Intensities with amounts above background, per object: automatic (median of all pixels of no object), of regions, manual (mean).
+
+    ``roi`` is a condition, or a table of each position's regions (see ``areas``), of which the pixels of no object count; where
+    ``archive`` (``*keys, value``) has values of a frame, these count instead. ``manual`` is a second label image, whose object of the same
+    label is the background. What is known of each background comes as ``<background>_bkgrVal_<figure>``; one without pixels gives NaN.
     """
-    out = intensities(pixels, keys)
-    amount = lambda bkgr: (F.col("mean") - bkgr) * F.col("area")
-    for name, region in (("autoBkgr", None), ("dataPrepBkgr", roi)):
-        if name == "autoBkgr" or region is not None:
-            b = background(pixels, keys, region).select(*keys, F.col("bkgr_median").alias("__b"))
-            out = out.join(b, list(keys), "left").withColumn(f"amount_{name}", amount(F.coalesce("__b", F.lit(NAN)))).drop("__b")
+    out = _with_background(intensities(pixels, keys), background_figures(pixels.where("label = 0"), keys, "autoBkgr"), keys, "autoBkgr")
+    if roi is not None or archive is not None:
+        regional = None
+        if roi is not None:
+            free = pixels.where((F.col("label") == 0) & roi) if isinstance(roi, Column) else areas.background_pixels(pixels, roi, [k for k in keys if k in roi.columns])
+            regional = free.select(*keys, "value")
+        if archive is not None:
+            given = archive.select(*keys, "value")
+            regional = given if regional is None else regional.join(given.select(*keys).distinct(), list(keys), "left_anti").unionByName(given)
+        out = _with_background(out, background_figures(regional, keys, "dataPrepBkgr"), keys, "dataPrepBkgr")
     if manual is not None:
-        m = manual_background(pixels, manual, keys)
-        out = out.join(m, [*keys, "label"], "left")
-        level = F.coalesce("manual_bkgr_mean", F.lit(NAN))
-        out = out.withColumns({"amount_manualBkgr": amount(level), "mean_manualBkgr": F.col("mean") - level}).drop("manual_bkgr_mean")
+        axes = [c for c in ("z", "y", "x") if c in manual.columns and c in pixels.columns]
+        under = manual.where("label <> 0").select(*keys, *axes, "label").join(pixels.select(*keys, *axes, "value"), [*keys, *axes])
+        out = _with_background(out, background_figures(under, [*keys, "label"], "manualBkgr"), [*keys, "label"], "manualBkgr", "mean")
+        out = out.withColumn("mean_manualBkgr", F.col("mean") - F.col("manualBkgr_bkgrVal_mean"))
     return out
 
 
@@ -122,12 +152,16 @@ def velocities(regions_: DataFrame, size_y: float = 1.0, size_x: float = 1.0, ke
     return regions_.withColumns({"velocity_pixel": length(dy, dx), "velocity_um": length(dy * size_y, dx * size_x)})
 
 
-def disappearances(labels: DataFrame, n_frames: int, keys: Sequence[str] = ()) -> DataFrame:
-    """Objects by frame, and whether each is gone in the next (never so in the last of ``n_frames``)."""
+def disappearances(labels: DataFrame, n_frames: int | DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Objects by frame, and whether each is gone in the next (never so in the last of ``n_frames``, or of its position's in a table)."""
     rows = labels.where("label <> 0").select(*keys, "frame_i", "label").distinct()
+    if isinstance(n_frames, DataFrame):
+        rows, last = rows.join(n_frames.select(*keys, F.col("n_frames").alias("__n")), list(keys)), F.col("__n")
+    else:
+        last = F.lit(n_frames)
     following = F.lead("frame_i").over(Window.partitionBy(*keys, "label").orderBy("frame_i"))
-    gone = (F.col("frame_i") < n_frames - 1) & F.coalesce(following != F.col("frame_i") + 1, F.lit(True))
-    return rows.withColumn("disappears_before_end", gone.cast("int"))
+    gone = (F.col("frame_i") < last - 1) & F.coalesce(following != F.col("frame_i") + 1, F.lit(True))
+    return rows.withColumn("disappears_before_end", gone.cast("int")).drop("__n")
 
 
 def inspect(pixels: DataFrame, frame: int, label: int, keys: Sequence[str] = FRAME) -> DataFrame:
@@ -146,11 +180,12 @@ def allowed(name: str, channel: str, variant: str = "", save: Sequence[str] | No
     return not is_in(skip) and (save is None or is_in(save))
 
 
-def variants(volume: DataFrame, labels: DataFrame, slices: DataFrame | int, keys: Sequence[str] = (), every_slice: Sequence[int] = ()) -> dict[str, DataFrame]:
-    """A channel with depth as the planes that are measured: maximum, mean, the chosen slice, and single slices that are asked for.
+def variants(volume: DataFrame, labels: DataFrame, slices: DataFrame | int, keys: Sequence[str] = (), every_slice: Sequence[int] = (), labels_3d: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A channel with depth as what is measured of it: maximum, mean, the chosen slice, single slices that are asked for, and all voxels.
 
     ``volume`` is ``frame_i, z, y, x, value``; ``labels`` (``frame_i, y, x, label``) join each plane, 0 where they have
-    none; ``slices`` is one slice, or a table of each frame's (``frame_i, z``).
+    none; ``slices`` is one slice, or a table of each frame's (``frame_i, z``). With ``labels_3d`` (``frame_i, z, y, x, label``) the
+    voxels themselves are the variant ``_3D``.
     """
     at = [*keys, "frame_i"]
     if isinstance(slices, int):
@@ -159,35 +194,73 @@ def variants(volume: DataFrame, labels: DataFrame, slices: DataFrame | int, keys
         chosen = volume.join(slices.select(*at, "z"), [*at, "z"])
     planes_of = {"_maxProj": project(volume, "max", keys=at), "_meanProj": project(volume, "mean", keys=at), "_zSlice": chosen.select(*at, "y", "x", "value")}
     planes_of |= {f"_zSlice{z}": project(volume, "single", z, keys=at) for z in every_slice}
-    where = labels.select(*at, "y", "x", "label")
-    return {v: p.join(where, [*at, "y", "x"], "left").withColumn("label", F.coalesce("label", F.lit(0))) for v, p in planes_of.items()}
+    labelled = lambda p, own, axes: p.join(own.select(*at, *axes, "label"), [*at, *axes], "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    out = {v: labelled(p, labels, ["y", "x"]) for v, p in planes_of.items()}
+    return out if labels_3d is None else out | {DEEP: labelled(volume.select(*at, "z", "y", "x", "value"), labels_3d, ["z", "y", "x"])}
+
+
+#: How the columns of a channel end that is measured by voxels, and the sizes and shapes that can be left out.
+DEEP = "_3D"
+SIZES = ("cell_area_pxl", "cell_area_um2", "cell_vol_vox", "cell_vol_fl", "cell_vol_vox_3D", "cell_vol_fl_3D", "velocity_pixel", "velocity_um")
+
+
+def _wanted(names: Sequence[str], chosen: Sequence[str] | None) -> list[str]:
+    keep = None if chosen is None else {c.strip().lower() for c in chosen}
+    return [n for n in names if keep is None or n.lower() in keep]
 
 
-def measure(channels: dict[str, DataFrame | dict[str, DataFrame]], n_frames: int, time_increment: float = 1.0, size_y: float = 1.0, size_x: float = 1.0, keys: Sequence[str] = (), stop_frame: int | None = None, save: Sequence[str] | None = None, skip: Sequence[str] = (), with_hulls: bool = False) -> DataFrame:
+def measure(
+    channels: dict[str, DataFrame | dict[str, DataFrame]], n_frames: int | DataFrame, time_increment: float = 1.0, size_y: float = 1.0, size_x: float = 1.0, keys: Sequence[str] = (), stop_frame: int | None = None,
+    save: Sequence[str] | None = None, skip: Sequence[str] = (), with_hulls: bool = False, size_z: float = 1.0, rois: DataFrame | None = None, archives: dict[str, DataFrame] | None = None,
+    manual: DataFrame | None = None, manual_3d: DataFrame | None = None, slice_count: int = 0, sizes: Sequence[str] | None = None, regionprops: Sequence[str] | None = None,
+) -> DataFrame:
     """One row per object and frame: place, shape, volume, every channel's intensities, motion and annotation defaults.
 
     ``channels`` hold dense pixels (``frame_i, y, x, value, label``) of one label image; a channel with depth is given as
-    its ``variants``, whose names end its columns. ``with_hulls`` adds the figures of the objects' convex hulls and holes.
-    Of the channels' metrics only those that are wanted are in the plan, so the others are never computed.
+    its ``variants``, whose names end its columns. If one of them is ``_3D``, its voxels also give ``cell_vol_vox_3D`` and
+    ``cell_vol_fl_3D``, which its concentrations are by, and with ``slice_count`` the objects' sizes on each slice.
+    Backgrounds are automatic, and of ``rois`` (``*keys, roi_id, top, left, bottom, right``), of a channel's ``archives`` (``*keys,
+    frame_i, value``, not for voxels) or of a second label image ``manual`` (``manual_3d`` for voxels). ``with_hulls`` adds the figures of convex hulls and holes.
+    ``n_frames`` may be a table of each position's. Only what is wanted is in the plan: channels' metrics by ``save`` and
+    ``skip``, sizes and motion by ``sizes``, shapes by ``regionprops`` (names of columns).
     """
     if not channels:
         raise ValueError("no channel is given")
     at = [*keys, "frame_i"]
-    before = lambda p: p if stop_frame is None else p.where(F.col("frame_i") < stop_frame)
+    before = lambda p: p if stop_frame is None or p is None else p.where(F.col("frame_i") < stop_frame)
     kept = {(c, v): before(p) for c, given in channels.items() for v, p in (given.items() if isinstance(given, dict) else [("", given)])}
-    labels = next(iter(kept.values())).select(*at, "y", "x", "label")
-    limit = min(n_frames, stop_frame or n_frames)
-    base = velocities(shapes(labels, at), size_y, size_x, keys)
-    parts = [rotational_volumes(labels, size_y, size_x, at), disappearances(labels, limit, keys)]
-    out = reduce(lambda a, b: a.join(b, [*at, "label"]), parts, base)
+    flat = [p for (_, v), p in kept.items() if v != DEEP]
+    deep = next((p for (_, v), p in kept.items() if v == DEEP), None)
+    labels = flat[0].select(*at, "y", "x", "label") if flat else project_labels(deep, keys=at)
+    limit = n_frames if isinstance(n_frames, DataFrame) or stop_frame is None else min(n_frames, stop_frame)
+    own = _wanted(SIZES, sizes)
+    shape_names = [c for c in shapes(labels, at).columns if c in SHAPES]
+    asked = _wanted(shape_names, regionprops)
+    out = (shapes(labels, at) if set(asked) - set(FIGURES) else _figures(labels, at)).drop(*(set(shape_names) - set(asked) - {"area"}))
+    out = velocities(out, size_y, size_x, keys) if {"velocity_pixel", "velocity_um"} & set(own) else out
+    out = out.drop(*({"velocity_pixel", "velocity_um"} - set(own)))
+    out = out.join(disappearances(labels, limit, keys), [*at, "label"])
+    by_volume = any(allowed(f"concentration_{b}_from_vol_{u}", c, v, save, skip) for c, v in kept if v != DEEP for b in ("autoBkgr", "dataPrepBkgr") for u in ("vox", "fl"))
+    if by_volume or {"cell_vol_vox", "cell_vol_fl"} & set(own):
+        out = out.join(rotational_volumes(labels, size_y, size_x, at), [*at, "label"])
+    if deep is not None:
+        counted = voxel_counts(deep, at).select(*at, "label", F.col("n_voxels").cast("double").alias("cell_vol_vox_3D"))
+        out = out.join(counted.withColumn("cell_vol_fl_3D", F.col("cell_vol_vox_3D") * (size_z * size_y * size_x)), [*at, "label"], "left")
+        if slice_count:
+            out = out.join(slice_sizes(deep, slice_count, size_y * size_x, at), [*at, "label"], "left")
     if with_hulls:
         out = out.join(planes.hulls(labels, at), [*at, "label"])
     for (c, variant), p in kept.items():
-        m = corrected(p, at).drop("area")
+        second, archive = before(manual_3d if variant == DEEP else manual), None if variant == DEEP else before((archives or {}).get(c))
+        m = corrected(p, at, rois, second, archive).drop("area")
+        backgrounds = [b for b in ("autoBkgr", "dataPrepBkgr") if f"amount_{b}" in m.columns]
         metrics = [n for n in m.columns if n not in (*at, "label") and allowed(n, c, variant, save, skip)]
-        out = out.join(m.select(*at, "label", *(col(n).alias(f"{c}_{n}{variant}") for n in metrics)), [*at, "label"])
-        amount = f"{c}_amount_autoBkgr{variant}"
-        if amount in out.columns:
-            out = out.withColumns({f"{c}_concentration_autoBkgr_from_vol_{v}{variant}": divide(F.col(f"`{amount}`"), F.col(f"cell_vol_{v}")) for v in ("vox", "fl")})
-    more = {"Cell_ID": F.col("label"), "time_seconds": F.col("frame_i") * F.lit(float(time_increment)), "cell_area_pxl": F.col("area"), "cell_area_um2": F.col("area") * F.lit(size_y * size_x)}
-    return out.withColumns(more | {k: F.lit(v) for k, v in ANNOTATION_DEFAULTS.items()}).drop("label")
+        by = {f"concentration_{b}_from_vol_{u}": (f"amount_{b}", f"cell_vol_{u}{DEEP if variant == DEEP else ''}") for b in backgrounds for u in ("vox", "fl")}
+        by = {n: x for n, x in by.items() if allowed(n, c, variant, save, skip)}
+        amounts = {a: f"__{c}_{a}{variant}" for a, _ in by.values()}
+        out = out.join(m.select(*at, "label", *(col(n).alias(f"{c}_{n}{variant}") for n in metrics), *(col(a).alias(n) for a, n in amounts.items())), [*at, "label"], "left" if variant == DEEP else "inner")
+        out = out.withColumns({f"{c}_{n}{variant}": divide(col(amounts[a]), F.col(v)) for n, (a, v) in by.items()}).drop(*amounts.values())
+    more = {"Cell_ID": F.col("label"), "time_seconds": F.col("frame_i") * F.lit(float(time_increment)), "time_minutes": F.col("frame_i") * F.lit(time_increment / 60), "time_hours": F.col("frame_i") * F.lit(time_increment / 3600)}
+    more |= {n: v for n, v in {"cell_area_pxl": F.col("area"), "cell_area_um2": F.col("area") * F.lit(size_y * size_x)}.items() if n in own}
+    unasked = {"cell_vol_vox", "cell_vol_fl", "cell_vol_vox_3D", "cell_vol_fl_3D"} - set(own)
+    return out.withColumns(more | {k: F.lit(v) for k, v in ANNOTATION_DEFAULTS.items()}).drop("label", *unasked)

@@ -43,7 +43,30 @@ LINEAGE = """
   FROM {customer} CROSS JOIN (SELECT CAST(0 AS BIGINT) AS f UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) frames
   WHERE (c_custkey + f * 7) % 6 <> 0"""
 
-VIEWS = {"objects": OBJECTS, "mask": MASK, "volume": VOLUME, "lineage": LINEAGE}
+#: Label images with intensities, as many positions as orders ask for: 7 frames of 48 by 48, objects in 16 fields.
+SCENES = """
+  SELECT CONCAT('Position_', CAST(CAST(FLOOR(l_orderkey / 2048.0) AS BIGINT) + 1 AS STRING)) AS position, CAST(l_linenumber - 1 AS BIGINT) AS frame_i,
+    CAST(l_partkey % 48 AS BIGINT) AS y, CAST((l_partkey * 7 + l_suppkey) % 48 AS BIGINT) AS x,
+    CASE WHEN MIN(l_orderkey) % 4 = 0 THEN 0 ELSE 1 + CAST(FLOOR((l_partkey % 48) / 12.0) * 4 + FLOOR(((l_partkey * 7 + l_suppkey) % 48) / 12.0) AS BIGINT) END AS label,
+    CAST(SUM(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS value
+  FROM {lineitem} GROUP BY 1, 2, 3, 4, l_partkey % 48, (l_partkey * 7 + l_suppkey) % 48"""
+
+#: Volumes of as many positions: 2 frames of 7 by 24 by 24, objects in 4 fields.
+STACKS = """
+  SELECT CONCAT('Position_', CAST(CAST(FLOOR(l_orderkey / 2048.0) AS BIGINT) + 1 AS STRING)) AS position, CAST(l_suppkey % 2 AS BIGINT) AS frame_i, CAST(l_linenumber - 1 AS BIGINT) AS z,
+    CAST(l_partkey % 24 AS BIGINT) AS y, CAST((l_partkey * 5 + l_suppkey) % 24 AS BIGINT) AS x,
+    CASE WHEN MIN(l_orderkey) % 3 = 0 THEN 0 ELSE 1 + CAST(FLOOR((l_partkey % 24) / 12.0) * 2 + FLOOR(((l_partkey * 5 + l_suppkey) % 24) / 12.0) AS BIGINT) END AS label,
+    CAST(SUM(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS value
+  FROM {lineitem} GROUP BY 1, 2, 3, 4, 5, l_partkey % 24, (l_partkey * 5 + l_suppkey) % 24"""
+
+#: Three regions of most of these positions, one of every third; some reach over the edges.
+ROIS = """
+  SELECT CONCAT('Position_', CAST(p + 1 AS STRING)) AS position, r AS roi_id, (p * 5 + r * 13) % 30 - 2 AS top, (p * 3 + r * 17) % 30 - 3 AS `left`,
+    (p * 5 + r * 13) % 30 + 6 + r * 9 AS bottom, (p * 3 + r * 17) % 30 + 9 + r * 5 AS `right`
+  FROM (SELECT DISTINCT CAST(FLOOR(l_orderkey / 2048.0) AS BIGINT) AS p FROM {lineitem}) places
+  CROSS JOIN (SELECT CAST(0 AS BIGINT) AS r UNION ALL SELECT 1 UNION ALL SELECT 2) numbers WHERE r = 0 OR p % 3 <> 0"""
+
+VIEWS = {"objects": OBJECTS, "mask": MASK, "volume": VOLUME, "lineage": LINEAGE, "scenes": SCENES, "stacks": STACKS, "rois": ROIS}
 
 
 def table(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
@@ -56,5 +79,5 @@ def oracle(body: str, *views: str) -> str:
     """A DuckDB query over domain tables."""
     if not views:
         return body
-    parts = ", ".join(f"{v} AS ({VIEWS[v].format(lineitem='lineitem', customer='customer')})" for v in views)
+    parts = ", ".join(f"{v} AS ({VIEWS[v].format(lineitem='lineitem', customer='customer').replace('`', chr(34))})" for v in views)
     return f"WITH {parts}{body if body.lstrip().startswith(',') else ' ' + body}"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.operators import areas
 from cellweave.operators import combine as C
 from cellweave.operators import pixels as X
 from cellweave.operators import render as D
@@ -16,7 +17,9 @@ from cellweave.plans.adapters import oracle, table
 from cellweave.session import scratch
 from cellweave.sources import arrays as R
 from cellweave.sources import sidecars as I
+from cellweave.sources import sinks as K
 from cellweave.sources import tables as T
+from cellweave.sources.named import save_lines
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -40,31 +43,78 @@ def csv_round_trip(spark, d):
     return T.read_csv(spark, folder).drop("_row_id")
 
 
-@query("SELECT frame_i, y, x, label FROM mask WHERE label <> 0")
+def _named(rows: DataFrame, leaf: str) -> DataFrame:
+    return rows.withColumn("name", F.concat("position", F.lit(f"/Images/{leaf}")))
+
+
+def _position(df: DataFrame) -> DataFrame:
+    return df.withColumn("position", F.regexp_extract("path", "/(Position_[0-9]+)/Images/", 1))
+
+
+@query("SELECT position, frame_i, y, x, label FROM scenes WHERE label <> 0", "scenes")
 def label_file_round_trip(spark, d):
-    m = table(spark, d, "mask").where("label <> 0").withColumn("position", F.lit(0))
     folder = scratch(spark)
-    files = R.encode_labels(m, (7, 24, 24), ["position"], "npz").withColumn("name", F.lit("labels.npz"))
-    R.save_files(files, "name", folder)
-    return R.labels_of(R.read_planes(spark, f"{folder}/labels.npz", size_t=7)).select("frame_i", "y", "x", "label")
+    R.save_files(_named(R.encode_labels(table(spark, d, "scenes").where("label <> 0"), (7, 48, 48), ["position"], "npz"), "exp_segm.npz"), "name", folder)
+    return _position(R.labels_of(R.read_planes(spark, f"{folder}/*/Images/exp_segm.npz", size_t=7))).select("position", "frame_i", "y", "x", "label")
 
 
-@query("SELECT frame_i, y, x, label FROM volume WHERE label <> 0", "volume")
+@query("SELECT position, frame_i, z, y, x, label FROM stacks WHERE label <> 0", "stacks")
 def volume_file_round_trip(spark, d):
-    v = table(spark, d, "volume").where("label <> 0").withColumn("position", F.lit(0))
     folder = scratch(spark)
-    files = R.encode_labels(v, (2, 7, 12, 12), ["position"], "tif").withColumn("name", F.lit("labels.tif"))
-    R.save_files(files, "name", folder)
-    return R.labels_of(R.read_planes(spark, f"{folder}/labels.tif", size_t=2, size_z=7)).select("frame_i", "y", "x", "label")
+    R.save_files(_named(R.encode_labels(table(spark, d, "stacks").where("label <> 0"), (2, 7, 24, 24), ["position"], "tif"), "exp_segm.tif"), "name", folder)
+    planes = R.read_planes(spark, f"{folder}/*/Images/exp_segm.tif", size_t=2, size_z=7, range_bytes=1 << 14)
+    return _position(R.labels_of(planes)).select("position", "frame_i", "z", "y", "x", "label")
 
 
-@query("""SELECT 'arr_0' AS name, '7,24,24' AS shape, 'uint32' AS dtype""")
+@query("SELECT DISTINCT position, 'arr_0' AS name, '7,48,48' AS shape, 'uint32' AS dtype FROM scenes WHERE label <> 0", "scenes")
 def array_probe(spark, d):
-    m = table(spark, d, "mask").where("label <> 0").withColumn("position", F.lit(0))
     folder = scratch(spark)
-    R.save_files(R.encode_labels(m, (7, 24, 24), ["position"], "npy").withColumn("name", F.lit("labels.npy")), "name", folder)
-    found = R.probe(spark, f"{folder}/labels.npy")
-    return found.select("name", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), "dtype")
+    R.save_files(_named(R.encode_labels(table(spark, d, "scenes").where("label <> 0"), (7, 48, 48), ["position"], "npy"), "exp_segm.npy"), "name", folder)
+    found = _position(R.probe(spark, f"{folder}/*/Images/exp_segm.npy"))
+    return found.select("position", "name", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), "dtype")
+
+
+@query(""", e AS (SELECT position, frame_i, CASE WHEN count(*) = 2304 THEN min(value) ELSE 0 END AS low, max(value) AS high FROM scenes GROUP BY 1, 2),
+  v AS (SELECT position, frame_i, y, x, CASE WHEN high <= 1 THEN value * 255 WHEN high > 255 THEN (value - low) / (high - low) * 255 ELSE value END AS v FROM scenes JOIN e USING (position, frame_i))
+  SELECT position, frame_i, y, x, CAST(least(greatest(floor(v + 0.5), 0), 255) AS BIGINT) AS value, 'uint8' AS dtype FROM v WHERE floor(v + 0.5) > 0""", "scenes")
+def typed_image_round_trip(spark, d):
+    folder = scratch(spark)
+    R.save_files(_named(R.encode_images(table(spark, d, "scenes"), (7, 48, 48), ["position"], dtype="uint8"), "exp_gfp.tif"), "name", folder)
+    planes = R.read_planes(spark, f"{folder}/*/Images/exp_gfp.tif", size_t=7, range_bytes=1 << 12)
+    pixels = R.pixels_of(planes).where("value <> 0").withColumn("dtype", F.lit(None).cast("string"))
+    kinds = planes.select("path", "frame_i", F.col("dtype").alias("__kind"))
+    out = pixels.join(kinds, ["path", "frame_i"]).withColumn("dtype", F.col("__kind"))
+    return _position(out).select("position", "frame_i", "y", "x", F.col("value").cast("long").alias("value"), "dtype")
+
+
+@query("""SELECT s.position, 'roi' || r.roi_id || '_data' AS name, frame_i, y - greatest(r.top, 0) AS y, x - greatest(r."left", 0) AS x, value
+  FROM scenes s JOIN rois r ON r.position = s.position AND y >= r.top AND y < r.bottom AND x >= r."left" AND x < r."right" """, "scenes", "rois")
+def archive_file_round_trip(spark, d):
+    folder = scratch(spark)
+    archives = areas.archives(table(spark, d, "scenes").select("position", "frame_i", "y", "x", "value"), table(spark, d, "rois"))
+    R.save_files(_named(R.encode_archives(archives, ["position"]), "exp_gfp_bkgrRoiData.npz"), "name", folder)
+    pixels = R.pixels_of(R.read_planes(spark, f"{folder}/*/Images/exp_gfp_bkgrRoiData.npz")).where("value <> 0")
+    return _position(pixels).select("position", "name", "frame_i", "y", "x", F.col("value").cast("double").alias("value"))
+
+
+@query("SELECT DISTINCT position, frame_i, y, x, CAST(label AS BIGINT) AS label FROM scenes WHERE label <> 0", "scenes")
+def converted_files(spark, d):
+    folder = scratch(spark)
+    R.save_files(_named(R.encode_labels(table(spark, d, "scenes").where("label <> 0"), (7, 48, 48), ["position"], "npz"), "exp_segm.npz"), "name", folder)
+    turned = R.convert(R.read_planes(spark, f"{folder}/*/Images/exp_segm.npz", size_t=7), "npy", cast_labels=True)
+    R.save_files(_named(_position(turned), "exp_segm.npy"), "name", folder)
+    return _position(R.labels_of(R.read_planes(spark, f"{folder}/*/Images/exp_segm.npy", size_t=7))).select("position", "frame_i", "y", "x", "label")
+
+
+@query("""SELECT position, CAST(count(DISTINCT frame_i) AS VARCHAR) AS frames, CAST(max(label) AS VARCHAR) || ',"x"' AS note FROM scenes GROUP BY 1""", "scenes")
+def named_sidecars(spark, d):
+    folder = scratch(spark)
+    known = table(spark, d, "scenes").groupBy("position").agg(F.count_distinct("frame_i").cast("string").alias("SizeT"), F.concat(F.max("label").cast("string"), F.lit(',"x"')).alias("note"))
+    rows = known.select(F.concat("position", F.lit("/Images/exp_metadata.csv")).alias("path"), F.explode(F.create_map(F.lit("SizeT"), "SizeT", F.lit("note"), "note")).alias("key", "value"))
+    save_lines(K.metadata_rows(rows), folder)
+    back = spark.read.csv(f"{folder}/*/Images/exp_metadata.csv", header=True, escape='"').withColumn("path", F.col("_metadata.file_path"))
+    one = lambda k: F.max(F.when(F.col("Description") == k, F.col("values")))
+    return _position(back).groupBy("position").agg(one("SizeT").alias("frames"), one("note").alias("note"))
 
 
 @query("""SELECT CAST(r_regionkey AS BIGINT) AS roi_id, CAST(r_regionkey AS BIGINT) AS top, CAST(2 AS BIGINT) AS "left", CAST(r_regionkey + 5 AS BIGINT) AS bottom, CAST(9 AS BIGINT) AS "right", r_regionkey % 2 = 1 AS cropped FROM region""")

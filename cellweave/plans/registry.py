@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellweave.plans import files, forests, pixels, tables
+from cellweave.plans import files, forests, pixels, regions, tables
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
-    return {**tables.QUERIES, **pixels.QUERIES, **forests.QUERIES, **files.QUERIES}
+    return {**tables.QUERIES, **pixels.QUERIES, **forests.QUERIES, **files.QUERIES, **regions.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

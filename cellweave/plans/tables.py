@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellweave.operators import annotations as A
 from cellweave.operators import combine as C
+from cellweave.operators.order import numbered
 from cellweave.operators import phases as P
 from cellweave.operators import relatives as R
 from cellweave.plans.adapters import oracle, table
@@ -180,9 +181,11 @@ def integrity_frame(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
-@query("""SELECT position, Cell_ID, generation_num FROM objects WHERE generation_num > 0 GROUP BY 1, 2, 3 HAVING NOT bool_or(cell_cycle_stage = 'G1')""")
+@query("""SELECT position, 'cycles without G1' AS category, Cell_ID, generation_num FROM objects WHERE generation_num > 0 GROUP BY 1, 3, 4 HAVING NOT bool_or(cell_cycle_stage = 'G1')
+  UNION ALL SELECT DISTINCT o.position, 'will_divide without next generation', o.Cell_ID, o.generation_num FROM objects o
+    WHERE will_divide > 0 AND NOT EXISTS (SELECT 1 FROM objects n WHERE n.position = o.position AND n.Cell_ID = o.Cell_ID AND n.generation_num = o.generation_num + 1)""")
 def integrity_global(spark: SparkSession, d: str) -> DataFrame:
-    return A.cycles_without_g1(objects(spark, d))
+    return A.integrity_of_cycles(objects(spark, d))
 
 
 @query("""SELECT position, frame_i, Cell_ID, CASE WHEN position = 1 AND frame_i = 3 THEN 'S' ELSE cell_cycle_stage END AS cell_cycle_stage,
@@ -261,7 +264,5 @@ def concat_positions(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT DISTINCT p_name AS name, CAST(row_number() OVER (ORDER BY regexp_extract(p_name, '^[^0-9]*'), coalesce(try_cast(regexp_extract(p_name, '[0-9]+') AS BIGINT), -1), p_name) AS BIGINT) AS place
   FROM (SELECT DISTINCT 'Position_' || p_size AS p_name FROM part)""", ())
 def natural_order(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     names = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("Position_"), F.col("p_size").cast("string")).alias("name")).distinct()
-    return names.withColumn("place", F.row_number().over(Window.orderBy(C.natural_key("name"), "name")).cast("long"))
+    return numbered(names.withColumn("key", C.natural_key("name")), ["key", "name"], "place").drop("key")

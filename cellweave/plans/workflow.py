@@ -106,11 +106,51 @@ def parse(text: str) -> Workflow:
     )
 
 
-def run_measurements(workflow: Workflow, channels: dict, n_frames: int, **sizes):
+def _up_to_stops(workflow: Workflow, pixels, stops):
+    """Pixels before their position's stop frame; a position that is not among the workflow's paths is an error."""
+    from pyspark.sql import functions as F
+
+    if stops is None:
+        stop = workflow.stop_frames[0]
+        return pixels if stop < 0 else pixels.where(F.col("frame_i") < stop)
+    unknown = F.raise_error(F.concat(F.lit("no path of the workflow: "), F.col("position").cast("string")))
+    known = pixels.join(stops, "position", "left").withColumn("__stop", F.when(F.col("__stop").isNull(), unknown).otherwise(F.col("__stop")))
+    return known.where("__stop < 0 or frame_i < __stop").drop("__stop")
+
+
+def _stops(workflow: Workflow, pixels):
+    """``(position, __stop)`` of every path, where pixels tell positions apart."""
+    if "position" not in pixels.columns:
+        return None
+    return pixels.sparkSession.createDataFrame(list(dict(zip(workflow.paths, workflow.stop_frames)).items()), "position string, __stop long")
+
+
+def run_segmentation(workflow: Workflow, pixels, segmenter, roi=None, projection: str | None = None, z: int | None = None):
+    """The label image ``(…, frame_i, y, x, label)`` of a segmentation workflow: each position's pixels up to its stop frame, flattened,
+    by the workflow's preprocessing, any ``segmenter`` (a function of a plane), its limits of shape, and tracked if it says so.
+    """
+    from pyspark.sql import functions as F
+
+    from cellweave.operators import segment, tracking
+
+    if workflow.kind != TYPES[0]:
+        raise WorkflowError("the workflow does not segment")
+    many = "position" in pixels.columns
+    keys = ["position", "frame_i"] if many else ["frame_i"]
+    used = _up_to_stops(workflow, pixels, _stops(workflow, pixels))
+    found = segment.run_position(used, segmenter, workflow.steps, projection, z, roi, workflow.min_area, workflow.min_solidity, workflow.max_elongation, keys=keys)
+    if not workflow.track:
+        return found.select(*keys, "y", "x", "label")
+    own = found if many else found.withColumn("position", F.lit(workflow.paths[0]))
+    return tracking.track(own, ["position"], workflow.threshold, workflow.denominator).select(*keys, "y", "x", "label")
+
+
+def run_measurements(workflow: Workflow, channels: dict, n_frames: int, **options):
     """The object table of a workflow's channels (dense pixels with labels), tracked first if it says so.
 
     Pixels of several positions carry a ``position``, the path it is from: each position is tracked and measured for
-    itself, up to the stop frame of its path. Pixels without one are of the workflow's first path.
+    itself, up to the stop frame of its path, which is its last frame; one that is not among the paths is an error. Pixels without
+    one are of the workflow's first path. ``options`` go to ``objects.measure``.
     """
     from pyspark.sql import functions as F
 
@@ -120,10 +160,10 @@ def run_measurements(workflow: Workflow, channels: dict, n_frames: int, **sizes)
     if lacking:
         raise WorkflowError(f"no such channel: {lacking[0]}")
     used = {c: channels[c] for c in workflow.channels or channels}
-    many = "position" in next(iter(used.values())).columns
-    stops = F.create_map(*(F.lit(x) for pair in zip(workflow.paths, workflow.stop_frames) for x in pair)) if many else None
-    stop = stops[F.col("position")] if many else F.lit(workflow.stop_frames[0])
-    used = {c: p.where((F.coalesce(stop, F.lit(-1)) < 0) | (F.col("frame_i") < stop)) for c, p in used.items()}
+    first = next(iter(used.values()))
+    many = "position" in first.columns
+    stops = _stops(workflow, first)
+    used = {c: _up_to_stops(workflow, p, stops) for c, p in used.items()}
     keys = ["position"] if many else []
     if workflow.track:
         first = next(iter(used.values()))
@@ -131,5 +171,9 @@ def run_measurements(workflow: Workflow, channels: dict, n_frames: int, **sizes)
         tracked = tracking.track(own, ["position"], workflow.threshold, workflow.denominator).withColumnRenamed("label", "__tracked")
         tracked = tracked if many else tracked.drop("position")
         used = {c: p.join(tracked, [*keys, "frame_i", "y", "x"], "left").withColumn("label", F.coalesce("__tracked", F.lit(0))).drop("__tracked") for c, p in used.items()}
-    last = workflow.stop_frames[0] if not many and workflow.stop_frames[0] >= 0 else None
-    return objects.measure(used, n_frames, keys=keys, save=workflow.save, skip=workflow.skip, stop_frame=last, **sizes)
+    if many:
+        ends = F.when(F.col("__stop") < 0, F.lit(n_frames)).otherwise(F.least(F.col("__stop"), F.lit(n_frames)))
+        frames = stops.select("position", ends.alias("n_frames"))
+    else:
+        frames = n_frames if workflow.stop_frames[0] < 0 else min(n_frames, workflow.stop_frames[0])
+    return objects.measure(used, frames, keys=keys, save=workflow.save, skip=workflow.skip, **options)

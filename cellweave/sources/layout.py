@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweave.operators.combine import natural_key
+from cellweave.operators.order import numbered
 
 #: Endings of channel files, the preferred first.
 CHANNEL_ENDINGS = ("_aligned.h5", ".h5", "_aligned.npz", "_aligned.npy", ".tif", ".tiff", ".npy")
@@ -78,18 +81,41 @@ def import_sources(spark: SparkSession, root: str) -> DataFrame:
     return raw.select("path", F.coalesce(kind, F.when(ending.isin(*VENDORS), "vendor")).alias("kind")).where("kind is not null and not path like '%/.%'")
 
 
-def import_plan(sources: DataFrame, layout: str = "file per position", separator: str = "_") -> DataFrame:
-    """``(path, position, channel)``: files numbered in natural order, or told apart by the last part of their name.
+#: How an experiment's files are laid out: see ``import_plan``.
+LAYOUTS = ("file per position", "file per channel", "file per frame", "custom")
+
+
+def import_plan(sources: DataFrame, layout: str = "file per position", separator: str = "_", pattern: str = "") -> DataFrame:
+    """``(path, position, channel, frame_i)``: which position, channel and frame each file is.
 
-    "file per position": each file is one; "file per channel": names before the last separator are positions, what follows channels.
+    "file per position": each file is one, in natural order of names. "file per channel": names before the last separator are
+    positions, what follows channels. "file per frame": names as before, without a number at their end, which orders the frames of a position's
+    channel. "custom": ``pattern`` is a regular expression with the groups ``position`` and, if there are several, ``channel`` and ``frame``;
+    files that it does not match go. Positions are numbered by ranges of names, so no task sees them all; frames are null where a file has all.
     """
-    named = sources.withColumn("stem", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)).withColumn("key", natural_key("stem"))
-    if layout == "file per position":
-        n = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("key"))
-        return named.select("path", F.concat(F.lit("Position_"), n.cast("string")).alias("position"), F.lit("channel_0").alias("channel"))
-    if layout != "file per channel":
+    if layout not in LAYOUTS:
         raise ValueError(f"no such layout: {layout}")
-    group = F.regexp_extract("stem", f"^(.*){separator}[^{separator}]*$", 1)
-    n = F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy("group_key"))
-    rows = named.withColumn("group", group).withColumn("group_key", natural_key("group"))
-    return rows.select("path", F.concat(F.lit("Position_"), n.cast("string")).alias("position"), F.regexp_extract("stem", f"([^{separator}]*)$", 1).alias("channel"))
+    stem = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1)
+    named, frame = sources.select("path", stem.alias("stem")), F.lit(None).cast("string")
+    last = lambda c: (F.regexp_extract(c, f"^(.*){separator}[^{separator}]*$", 1), F.regexp_extract(c, f"([^{separator}]*)$", 1))
+    if layout == "file per position":
+        group, channel = F.concat("stem", F.lit("\0"), "path"), F.lit("channel_0")
+    elif layout == "custom":
+        names = {n: i for n, i in re.compile(pattern).groupindex.items()}
+        if "position" not in names:
+            raise ValueError("the pattern has no group called position")
+        java = pattern.replace("(?P<", "(?<")
+        named = named.where(F.col("stem").rlike(java))
+        found = {n: F.regexp_extract("stem", java, i) for n, i in names.items()}
+        group, channel, frame = found["position"], found.get("channel", F.lit("channel_0")), found.get("frame", frame)
+    else:
+        body = F.col("stem")
+        if layout == "file per frame":
+            frame, body = F.regexp_extract("stem", r"(\d+)$", 1), F.regexp_replace("stem", rf"{separator}?\d+$", "")
+        group, channel = last(body)
+    rows = named.select("path", group.alias("group"), channel.alias("channel"), frame.alias("frame"))
+    places = numbered(rows.select("group").distinct().withColumn("key", natural_key("group")), ["key", "group"], "number").select("group", "number")
+    rows = rows.join(places, "group")
+    in_channel = Window.partitionBy("group", "channel").orderBy(natural_key("frame"), natural_key("path"), "path")
+    frame_i = F.when(F.col("frame").isNotNull() & (F.col("frame") != ""), F.row_number().over(in_channel) - 1).cast("long")
+    return rows.select("path", F.concat(F.lit("Position_"), F.col("number").cast("string")).alias("position"), "channel", frame_i.alias("frame_i"))

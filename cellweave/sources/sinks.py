@@ -63,13 +63,35 @@ def background_roi_json(rois: DataFrame) -> DataFrame:
     return rois.groupBy("path").agg(F.to_json(listed).alias("line")).select("path", F.lit(0).alias("n"), "line")
 
 
-def mapper_json(mapping: DataFrame) -> DataFrame:
-    """``(path, n, line)``: id changes ``(path, frame_i, old, new)`` as JSON per path, ``{frame: {old: new}}``; a null ``new`` is a deleted id."""
-    of_frame = mapping.groupBy("path", "frame_i").agg(F.sort_array(F.collect_list(F.struct("old", "new"))).alias("ids"))
-    by_id = F.map_from_entries(F.transform("ids", lambda x: F.struct(x["old"].cast("string"), x["new"])))
-    listed = of_frame.select("path", "frame_i", F.to_json(by_id, {"ignoreNullFields": "false"}).alias("ids"))
-    each = F.transform(F.array_sort(F.collect_list(F.struct("frame_i", "ids"))), lambda x: F.concat(F.lit('"'), x["frame_i"].cast("string"), F.lit('":'), x["ids"]))
-    return listed.groupBy("path").agg(F.concat(F.lit("{"), F.array_join(each, ","), F.lit("}")).alias("line")).select("path", F.lit(0).alias("n"), "line")
+def _by_frame(rows: DataFrame, value: Column) -> DataFrame:
+    """``(path, n, line)``: a JSON object per path of what each frame has, frames as text in the order of text."""
+    each = rows.select("path", F.struct(F.col("frame_i").cast("string").alias("frame"), value.alias("of")).alias("e"))
+    listed = F.transform(F.array_sort(F.collect_list("e")), lambda x: F.concat(F.lit('"'), x["frame"], F.lit('":'), x["of"]))
+    return each.groupBy("path").agg(F.concat(F.lit("{"), F.array_join(listed, ","), F.lit("}")).alias("line")).select("path", F.lit(0).alias("n"), "line")
+
+
+def replaced_ids_json(first: DataFrame, second: DataFrame) -> DataFrame:
+    """``(path, n, line)``: id changes ``(path, frame_i, old, new)`` of the two passes of a tracking table, as JSON per path.
+
+    A frame has ``first_pass`` (ids that made way) and ``second_pass`` (ids that became tracks), each only if it has changes.
+    """
+    pairs = lambda rows, name: rows.groupBy("path", "frame_i").agg(F.array_sort(F.collect_set(F.struct(F.col("old").cast("string").alias("old"), F.col("new").cast("long").alias("new")))).alias(name))
+    both = pairs(first, "a").join(pairs(second, "b"), ["path", "frame_i"], "full")
+    part = lambda c, name: F.when(F.col(c).isNotNull(), F.concat(F.lit(f'"{name}":'), F.to_json(F.map_from_entries(c))))
+    own = F.concat(F.lit("{"), F.concat_ws(",", part("a", "first_pass"), part("b", "second_pass")), F.lit("}"))
+    return _by_frame(both, own)
+
+
+def deleted_ids_json(deleted: DataFrame) -> DataFrame:
+    """``(path, n, line)``: the ids ``(path, frame_i, old)`` that went in each frame, as JSON per path, ``{frame: [ids]}``."""
+    rows = deleted.groupBy("path", "frame_i").agg(F.array_sort(F.collect_set(F.col("old").cast("long"))).alias("ids"))
+    return _by_frame(rows, F.to_json("ids"))
+
+
+def mapper_names(segm: str) -> tuple[str, str]:
+    """Names of the files of deleted and of replaced ids beside a tracked label image."""
+    stem = segm.rsplit(".", 1)[0]
+    return f"{stem}_deletedIDs_mapper.json", f"{stem}_replacedIDs_mapper.json"
 
 
 def definitions_json(definitions: dict[str, dict]) -> str:

@@ -37,9 +37,13 @@ def test_metadata_regions_and_mappers(spark, tmp_path):
     sinks.write_lines(sinks.background_roi_json(rois), str(tmp_path / "r"))
     back = sidecars.read_background_rois(spark, glob.glob(f"{tmp_path}/r/path=P/*.txt")).orderBy("n").drop("path").collect()
     assert [tuple(r) for r in back] == [(0, 0, 0, 4, 6), (1, 2, 3, 9, 8)]
-    mapping = spark.createDataFrame([("P", 10, 3, 4), ("P", 2, 1, None), ("P", 2, 5, 6)], "path string, frame_i long, old long, new long")
-    text = lines_of(sinks.mapper_json(mapping))["P"][0]
-    assert json.loads(text) == {"2": {"1": None, "5": 6}, "10": {"3": 4}} and text.index('"2":') < text.index('"10":')
+    ids = "path string, frame_i long, old long, new long"
+    first, second = spark.createDataFrame([("P", 10, 3, 40), ("Q", 1, 2, 9)], ids), spark.createDataFrame([("P", 2, 5, 6), ("P", 10, 7, 3), ("P", 10, 1, 2)], ids)
+    got = {p: json.loads(x[0]) for p, x in lines_of(sinks.replaced_ids_json(first, second)).items()}
+    assert got == {"P": {"2": {"second_pass": {"5": 6}}, "10": {"first_pass": {"3": 40}, "second_pass": {"7": 3, "1": 2}}}, "Q": {"1": {"first_pass": {"2": 9}}}}
+    gone = spark.createDataFrame([("P", 2, 8), ("P", 2, 4), ("P", 0, 1)], "path string, frame_i long, old long")
+    assert json.loads(lines_of(sinks.deleted_ids_json(gone))["P"][0]) == {"0": [1], "2": [4, 8]}
+    assert sinks.mapper_names("exp_segm.npz") == ("exp_segm_deletedIDs_mapper.json", "exp_segm_replacedIDs_mapper.json")
 
 
 def test_definitions_and_equations():
