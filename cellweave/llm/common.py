@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from uuid import uuid4
 
@@ -14,6 +13,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellweave.session import checkpointed, shared_dir
+
 #: Largest number of memo entries an executor's Python worker keeps before it starts afresh.
 MEMO_ENTRIES = 250_000
 
@@ -23,26 +24,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
-
-    Where that is unset, a temporary folder is made if Spark runs on one machine alone (tests); a cluster must set it.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cellweave-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` as a written table in the shared folder, its lineage cut and its columns read as they are asked for; and where it is."""
     folder = f"{shared_dir(df.sparkSession)}/table-{uuid4().hex}"
@@ -156,3 +137,6 @@ def slices(batches: Iterable[pa.RecordBatch], most: int = 2 << 20) -> Iterator[p
         rows = max(1, min(batch.num_rows, most * batch.num_rows // max(1, batch.nbytes)))
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+
+
+__all__ = ["bounded", "checkpointed", "dropped", "looked_up", "pack", "pack_sorted", "power_of_two", "read", "shared_dir", "slices", "sole", "split_words", "stored", "text_bytes", "unpack", "unpack_sorted", "word_hashes"]

@@ -3,16 +3,16 @@
 Fingerprints only propose. Each proposed pair of texts is decided by its whole shingle sets, and groups are formed of the
 pairs that pass. A first round decides the links to the fingerprint with most links at each anchor and to each fingerprint's
 nearest; texts that it joins need no further comparison with each other. A second round finds the fingerprints that have
-other links, and a third decides every such link, none left out. Before whole sets are joined, a pair must pass bounds that no
-similar pair fails: the sizes, and the parities of the sets' members in 512 bins, of which no more can differ than members do.
-The third round holds every link against these bounds where its fingerprints meet, so only links that pass leave their task.
+other links, and a third decides every such link, none left out.
+
+No pair leaves the task where it is found: of a group's links only the texts go on, once for each group, their sets are brought to
+it, all pairs of its two sides are decided there, and a forest of the similar ones is what comes out. Before that, a pair must pass
+bounds that no similar pair fails: the sizes, and the parities of the sets' members in 512 bins, of which no more can differ than members do.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.llm.common import bounded, checkpointed, looked_up, slices, sole
-from cellweave.llm.components import components
-from cellweave.llm.simhash import fingerprint, meetings, normal
+from cellweave.llm.components import components, local_forest
+from cellweave.llm.simhash import BLOCKS, fingerprint, meetings, normal
 
 #: Words to a shingle of the decision, and the shared part of a similar pair's shingles as a fraction.
 SHINGLE = 5
 SHARED, OF = 4, 5
 PARITIES = 8
+#: Shingles of home texts that a task holds at once, of others that pass a block of them, and edges before they are thinned.
+HELD, PASSING = 1 << 21, 1 << 24
+MOST_EDGES = 1 << 16
 #: Texts of linked fingerprints up to which their keys are broadcast; more meet the documents in a shuffle.
 BROADCAST = 1 << 20
 
@@ -48,62 +51,114 @@ def parities(members: np.ndarray) -> np.ndarray:
 
 
 def _signed(df: DataFrame, id_col: str, text_col: str, row_col: str) -> DataFrame:
-    """``(id, row, fp, node)`` of every row; ``node`` tells texts apart that differ in more than case and white space."""
+    """``(id, row, fp, text_hash)`` of every row; the hash tells texts apart that differ in more than case and white space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sole("fingerprints", dict)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             fp = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
-            node = np.fromiter((xxhash.xxh3_64_intdigest(b" ".join(normal(t))) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.view(np.int64)) for x in (fp, node))], ["id", "row", "fp", "node"])
+            hashes = [xxhash.xxh3_128_digest(b" ".join(normal(t))) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64)), pa.array(hashes, pa.binary())], ["id", "row", "fp", "text_hash"])
 
     rows = bounded(df).select(F.col(id_col).cast("long").alias("id"), F.col(row_col).alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, row long, fp long, node long")
+    return rows.mapInArrow(run, f"id long, row {rows.schema['row'].dataType.simpleString()}, fp long, text_hash binary")
 
 
 def _sets(df: DataFrame, entries: DataFrame, text_col: str, row_col: str) -> DataFrame:
-    """``(node, n, p0 ... p7, members)``: size, parities and packed shingle set of the texts of ``entries``."""
-    wanted = entries.select("row", "node")
+    """``(node, fp, n, p0 ... p7, members)``: size, parities and packed shingle set of the texts of ``entries``."""
+    wanted = entries.select("row", "node", "fp")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
-    names = ["node", "n", *(f"p{k}" for k in range(PARITIES)), "members"]
+    names = ["node", "fp", "n", *(f"p{k}" for k in range(PARITIES)), "members"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [shingles(t) for t in batch.column(1).to_pylist()]
+            sets = [shingles(t) for t in batch.column(2).to_pylist()]
             marks = np.array([parities(x) for x in sets], np.int64).reshape(-1, PARITIES)
             columns = [pa.array([len(x) for x in sets], pa.int64()), *(pa.array(np.ascontiguousarray(m)) for m in marks.T), pa.array([x.tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 
-    texts = bounded(df).select(F.col(row_col).alias("row"), F.col(text_col).alias("text")).join(wanted, "row").select("node", "text")
+    texts = bounded(df).select(F.col(row_col).alias("row"), F.col(text_col).alias("text")).join(wanted, "row").select("node", "fp", "text")
     shape = ", ".join(f"{c} {'binary' if c == 'members' else 'long'}" for c in names)
     return texts.mapInArrow(run, shape).dropDuplicates(["node"])
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, bounded_already: bool = False) -> DataFrame:
-    """The ``(u, v)`` of ``pairs`` whose texts are similar, decided by whole shingle sets."""
-    pairs = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    if not bounded_already:
-        marks = sets.drop("members")
-        for side in ("u", "v"):
-            pairs = pairs.join(marks.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in marks.columns[1:])), side)
-        # A similar pair differs in (OF - SHARED) / (OF + SHARED) of both sizes together at most.
-        room = (F.col("u_n") + F.col("v_n")) * (OF - SHARED)
-        odd = reduce(add, (F.bit_count(F.col(f"u_p{k}").bitwiseXOR(F.col(f"v_p{k}"))) for k in range(PARITIES)))
-        pairs = pairs.where((F.abs(F.col("u_n") - F.col("v_n")) * (OF + SHARED) <= room) & (odd * (OF + SHARED) <= room)).select("u", "v")
-    for side in ("u", "v"):
-        pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("members").alias(f"{side}_members")), side)
+def _decided(met: DataFrame, sets: DataFrame, labels: DataFrame | None = None, distance: int = 64) -> DataFrame:
+    """``(u, v)``: similar pairs that connect what all similar pairs between the sides of each group connect.
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both * OF >= (len(a) + len(b) - both) * SHARED)
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+    ``met`` holds ``(group, node, side)``, each once, side 0 or 1. A pair counts if its ``labels`` (``node, label``), if there are any, are unlike
+    and its fingerprints differ in ``distance`` bits at most. A task holds shingles of some home texts of a group and lets the
+    others pass; a group with more on either side is dealt in blocks, each text's set being sent once to each of its blocks.
+    """
+    sized = met.join(sets.select("node", "n"), "node")
+    sized = checkpointed(sized.withColumn("label", F.col("node")) if labels is None else sized.join(labels, "node"))
+    sums = sized.groupBy("group").agg(*(F.ceil(F.sum(F.when(F.col("side") == s, F.col("n") + 1).otherwise(0)) / most).cast("int").alias(c) for s, c, most in ((0, "a", HELD), (1, "b", PASSING))))
+    own = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = sized.drop("n").join(sums.where("a > 0 and b > 0"), "group")
+    home = dealt.where("side = 0").select("group", "node", "label", "side", own("a").alias("p"), every("b").alias("q"))
+    other = dealt.where("side = 1").select("group", "node", "label", "side", own("b").alias("q"), every("a").alias("p"))
+    rows = bounded(home.unionByName(other).join(sets.select("node", "members", "fp"), "node"))
+    rows = rows.select("group", "p", "q", "side", "node", "fp", "label", "members").repartition("group", "p", "q").sortWithinPartitions("group", "p", "q", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, homes, index, edges = None, [], None, []
+
+        def forest() -> Iterator[pa.RecordBatch]:
+            if edges:
+                u, v = local_forest(np.array([e[0] for e in edges]), np.array([e[1] for e in edges]))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    return bounded(pairs).select("u", "v", "u_members", "v_members").mapInArrow(decide, "u long, v long")
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            for r, (key, side, node, fp, label) in enumerate(zip(keys, *(batch.column(k).to_pylist() for k in range(3, 7)))):
+                if key != at:
+                    yield from forest()
+                    at, homes, index, edges = key, [], None, []
+                members = np.frombuffer(batch.column(7)[r].as_buffer(), np.uint64)
+                if side == 0:
+                    homes.append((node, fp, label, members.copy()))
+                    continue
+                if index is None:
+                    index = _Held(homes)
+                edges += [(int(h), node) for h in index.similar(node, fp, label, members, distance)]
+                if len(edges) > MOST_EDGES:
+                    edges = list(zip(*(x.tolist() for x in local_forest(*(np.array(e) for e in zip(*edges))))))
+        yield from forest()
+
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+class _Held:
+    """Texts that a task holds, and which of them a further text is similar to."""
+
+    def __init__(self, homes: list[tuple[int, int, int, np.ndarray]]):
+        self.node, fp, self.label = (np.array([h[k] for h in homes], np.int64) for k in range(3))
+        self.fp, self.n = fp.view(np.uint64), np.array([len(h[3]) for h in homes], np.int64)
+        every, owner = np.concatenate([h[3] for h in homes]), np.repeat(np.arange(len(homes)), self.n)
+        order = np.argsort(every, kind="stable")
+        self.every, self.owner = every[order], owner[order]
+
+    def similar(self, node: int, fp: int, label: int, members: np.ndarray, distance: int) -> np.ndarray:
+        low, high = np.searchsorted(self.every, members, "left"), np.searchsorted(self.every, members, "right")
+        sizes = high - low
+        ends = np.cumsum(sizes)
+        places = np.repeat(low - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        both = np.bincount(self.owner[places], minlength=len(self.n))
+        close = np.bitwise_count(self.fp ^ np.int64(fp).view(np.uint64)) <= distance
+        return self.node[(both * OF >= (self.n + len(members) - both) * SHARED) & close & (self.label != label) & (self.node != node)]
+
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` as ``(group, node, side)``: each counts with its end that is in more pairs, the other being with it."""
+    pairs = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    ends = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("d"))
+    known = pairs
+    for side in ("u", "v"):
+        known = known.join(ends.select(F.col("node").alias(side), F.col("d").alias(f"d_{side}")), side)
+    first = F.col("d_u") >= F.col("d_v")
+    hubs = known.select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("group"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("node"))
+    return hubs.select("group", "node", F.lit(1).alias("side")).unionByName(hubs.select("group", F.col("group").alias("node"), F.lit(0).alias("side"))).distinct()
 
 
 def _first_links(fps: DataFrame, distance: int) -> DataFrame:
@@ -148,34 +203,47 @@ def _open_fingerprints(labelled: DataFrame, distance: int) -> DataFrame:
     return meetings(labelled, distance, found, "fp long").distinct()
 
 
-def _open_links(marked: DataFrame, distance: int) -> DataFrame:
-    """``(u, v)``: the nodes of every link between rows of unlike labels that passes the bounds of size and parities."""
-    size = 1 << 17
+def _open_groups(marked: DataFrame, distance: int) -> DataFrame:
+    """``(group, node, side)``: by anchor the texts that have a link between unlike labels there which passes the bounds.
 
-    def found(_: np.ndarray, i: np.ndarray, j: np.ndarray, of: Callable) -> Iterator[tuple[np.ndarray, ...]]:
-        use = _open(of, i, j)
-        i, j = i[use], j[use]
-        for k in range(0, len(i), size):
-            a, b = i[k : k + size], j[k : k + size]
+    A link counts at one anchor alone: in the first block where its fingerprints are near enough, with the smaller one at home.
+    """
+    width, threshold = BLOCKS[min(d for d in BLOCKS if d >= distance)]
+    mask = np.uint64((1 << width) - 1)
+
+    def found(anchor: np.ndarray, i: np.ndarray, j: np.ndarray, of: Callable) -> Iterator[tuple[np.ndarray, ...]]:
+        use = of("label", i) != of("label", j)
+        anchor, i, j = anchor[use], i[use], j[use]
+        for k in range(0, len(i), 1 << 17):
+            at, a, b = anchor[k : k + (1 << 17)], i[k : k + (1 << 17)], j[k : k + (1 << 17)]
+            fp_a, fp_b, u, v = of("fp", a), of("fp", b), of("node", a), of("node", b)
+            differ = fp_a ^ fp_b
+            first = np.full(len(at), -1)
+            for block in reversed(range(64 // width)):
+                first[np.bitwise_count((differ >> np.uint64(width * block)) & mask) <= threshold] = block
+            keep = (first == at >> 32) & ((fp_a < fp_b) | ((fp_a == fp_b) & (u < v)))
             n, m = of("n", a), of("n", b)
             room = (n + m) * (OF - SHARED)
             odd = sum(np.bitwise_count((of(f"p{p}", a) ^ of(f"p{p}", b)).view(np.uint64)).astype(np.int64) for p in range(PARITIES))
-            near = (np.abs(n - m) * (OF + SHARED) <= room) & (odd * (OF + SHARED) <= room)
-            if near.any():
-                yield of("node", a[near]), of("node", b[near])
+            keep &= (np.abs(n - m) * (OF + SHARED) <= room) & (odd * (OF + SHARED) <= room)
+            for side, node in ((0, u), (1, v)):
+                own = np.unique(np.stack([at[keep], node[keep]], axis=1), axis=0)
+                if len(own):
+                    yield own[:, 0].copy(), own[:, 1].copy(), np.full(len(own), side)
 
-    return meetings(marked, distance, found, "u long, v long")
+    return meetings(marked, distance, found, "group long, node long, side long").distinct()
 
 
 def near_copies(df: DataFrame, distance: int, id_col: str = "doc_id", text_col: str = "text", row_col: str = "row") -> DataFrame:
-    """``(id, row, component)`` of every row; ``row_col`` is a long that tells the rows apart.
+    """``(id, row, component)`` of every row; ``row_col``, of any type that can be compared, tells the rows apart.
 
     A component holds the texts reachable over pairs whose fingerprints differ in ``distance`` bits at most and which share
     at least 0.8 of their distinct five-word shingles. Texts that differ in case (A-Z) and white space alone are one; texts
-    without words, null ones too, are one. Texts and shingles are told apart by 64-bit hashes. An empty table gives none.
+    without words, null ones too, are one. Texts are told apart by 128-bit hashes, shingles by 64 bits. An empty table gives none.
     """
     rows = checkpointed(_signed(df, id_col, text_col, row_col))
-    nodes = checkpointed(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("row").alias("row"), F.count("*").alias("n")))
+    nodes = rows.groupBy("text_hash").agg(F.min("fp").alias("fp"), F.min("row").alias("row"), F.count("*").alias("n"))
+    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
     first = checkpointed(_first_links(nodes.select("fp").distinct(), distance))
     shared = nodes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     busy = first.select(F.col("u").alias("fp")).union(first.select(F.col("v").alias("fp"))).union(shared).distinct()
@@ -184,13 +252,14 @@ def near_copies(df: DataFrame, distance: int, id_col: str = "doc_id", text_col:
     least = entries.groupBy("fp").agg(F.min("node").alias("least"))
     pairs = entries.join(least, "fp").select(F.col("node").alias("u"), F.col("least").alias("v"))
     ends = [least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node")) for c in ("u", "v")]
-    pairs = pairs.unionByName(first.join(ends[0], "u").join(ends[1], "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v")))
-    sure = checkpointed(_similar(pairs, sets))
+    pairs = checkpointed(pairs.unionByName(first.join(ends[0], "u").join(ends[1], "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))))
+    sure = checkpointed(_decided(_stars(pairs), sets))
     roots = components(sure).select(F.col("u").alias("node"), F.col("v").alias("root"))
     labelled = checkpointed(entries.join(roots, "node", "left").select("fp", "node", F.coalesce("root", "node").alias("label")))
     still = _open_fingerprints(labelled.select("fp", "label").distinct(), distance)
-    marked = checkpointed(labelled.join(still, "fp", "left_semi").join(sets.drop("members"), "node"))
-    more = checkpointed(_similar(_open_links(marked, distance), sets, bounded_already=True))
+    marked = checkpointed(labelled.join(still, "fp", "left_semi").join(sets.drop("members", "fp"), "node"))
+    groups = checkpointed(_open_groups(marked, distance))
+    more = checkpointed(_decided(groups, sets, labelled.select("node", "label"), distance))
     roots = components(sure.unionByName(more)).select(F.col("u").alias("node"), F.col("v").alias("root"))
-    known = checkpointed(nodes.join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("component")))
-    return looked_up(rows, known, "node", "n").select("id", "row", "component")
+    known = checkpointed(nodes.join(roots, "node", "left").select("text_hash", "n", F.coalesce("root", "node").alias("component")))
+    return looked_up(rows, known, "text_hash", "n").select("id", "row", "component")

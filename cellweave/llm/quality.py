@@ -190,12 +190,13 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, Network | None]:
     """(context vectors, network). Vectors are gathered from all documents; the network is fitted on at most ``sample``.
 
-    Labels other than 0 and 1, of null ids, of held-out rows or of documents that are not there are not learnt from; of
+    Labels may be numbers, booleans or text. Those other than 0 and 1, of null ids, of held-out rows or of documents that are not there are not learnt from; of
     repeated labels of an id the lower counts, of its unlike texts the one whose pooled vector has the lowest bytes. Where the
     labels learnt from are not of both kinds there is no network.
     """
     vectors = context_vectors(docs, text_col)
-    usable = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
+    value = F.col(label_col).cast("string").try_cast("double") if dict(labels.dtypes)[label_col] != "boolean" else F.col(label_col).cast("double")
+    usable = labels.select(F.col(id_col).cast("long").alias("id"), value.alias("y")).where(F.col("y").isin(0.0, 1.0) & F.col("id").isNotNull()).withColumn("y", F.col("y").cast("int"))
     usable = usable.where(~held_out("id")).groupBy("id").agg(F.min("y").alias("y"))
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chosen = usable.join(text.select("id").distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample)

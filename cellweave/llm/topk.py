@@ -76,7 +76,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", ve
 
     Components become floor(``scale`` * x). Vectors that are null or hold a null or non-finite component take no part,
     nor do rows with a null id; vectors meet only those of their own length. Rows alike in id and vector are one row, and a
-    vector never meets rows of its own id. Ties go to the smaller id; fewer than ``k`` candidates give all. Scores beyond 64
+    vector never meets rows of its own id. Unlike vectors of one id are candidates each, and as queries share one ranking, of all their scores. Ties go to the smaller id; fewer than ``k`` candidates give all. Scores beyond 64
     bits count as the largest or smallest. An empty table gives none.
     """
     array = vectors.schema[vector_col].dataType.simpleString()

@@ -24,6 +24,8 @@ from cellweave.llm.common import MEMO_ENTRIES, bounded, slices
 
 PIECES_32K = public_tokenizers.path("piece_bpe_32k.model")
 _WORD_START = "▁"
+#: Letters of a word up to which it is remembered, which bounds the memo in bytes.
+LONG_WORD = 64
 
 
 def vocabulary(path: str) -> tuple[list[str], list[str]]:
@@ -69,9 +71,11 @@ class PieceCounter(dict):
                 todo.append(node)
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        value = self[word] = self.count(word)
+        value = self.count(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
+            self[word] = value
         return value
 
     def count(self, word: str) -> int:

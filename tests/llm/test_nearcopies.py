@@ -106,3 +106,54 @@ def test_rows_that_share_an_id_are_judged_by_their_own_texts(spark):
         assert sum(x.doc_id is None for x in got) == 1
         seen.add(tuple(sorted(x.lang for x in got if x.doc_id == 5)))
     assert len(seen) == 1
+
+
+def test_texts_of_one_template_send_rows_in_proportion(spark, monkeypatch):
+    """Pairs just under the similarity: as many as the square of the texts, but what leaves the tasks is not."""
+    from cellweave.llm import nearcopies as n
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    base = [r.choice(words) for _ in range(600)]
+    rows = []
+    for i in range(240):
+        w = list(base)
+        for k in r.sample(range(600), 9):
+            w[k] = r.choice(words)
+        rows.append((i, " ".join(w), i))
+    sent = []
+    decided = n._decided
+
+    def counted(met, *rest):
+        out = decided(met, *rest)
+        sent[-1] += met.count() + out.count()
+        return out
+
+    monkeypatch.setattr(n, "_decided", counted)
+    for k in (120, 240):
+        sent.append(0)
+        got = {}
+        for x in n.near_copies(spark.createDataFrame(rows[:k], "doc_id long, text string, row long"), p.NEAR_BITS).collect():
+            got.setdefault(x.component, []).append(x.id)
+        assert sorted(map(sorted, got.values())) == components([(i, t) for i, t, _ in rows[:k]], p.NEAR_BITS)
+    assert sent[1] <= 3 * sent[0] and sent[1] < 240 * 239 // 8
+
+
+def test_recall_at_the_similarity_over_all_pairs(spark):
+    """Of pairs of long and short texts that share 0.8 or more, how many 11 bits propose."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    rows, near, found = [], 0, 0
+    for size in [40, 60, 90, 150, 300, 600] * 25:
+        a = [r.choice(words) for _ in range(size)]
+        b = list(a)
+        for _ in range(max(1, size // 55)):
+            b[r.randrange(size)] = r.choice(words)
+        rows += [" ".join(a), " ".join(b)]
+    got = {x.id: x.component for x in near_copies(spark.createDataFrame([(i, t, i) for i, t in enumerate(rows)], "doc_id long, text string, row long"), p.NEAR_BITS).collect()}
+    for i in range(0, len(rows), 2):
+        a, b = grams(rows[i]), grams(rows[i + 1])
+        if 5 * len(a & b) >= 4 * len(a | b):
+            near += 1
+            found += got[i] == got[i + 1]
+    assert near >= 80 and found >= 0.9 * near

@@ -70,3 +70,17 @@ def test_empty_tables(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.count() == 0
         docs = out if out.columns == docs.columns else docs
+
+
+def test_columns_may_be_called_as_the_stages_call_theirs(spark, tmp_path):
+    r = random.Random(9)
+    text = [" ".join(f"v{r.randrange(500)}" for _ in range(90)) for _ in range(3)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, __row long, row string, id long, fp long, `component` string, score double, document string, `a.b` int"
+    rows = [(i, t, "en", "s", len(t), 7 + i, f"r{i}", -i, 5, "c", 0.5, "d", 3) for i, t in enumerate([*text, text[0]])]
+    spark.createDataFrame(rows, shape).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in p.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [*"doc_id text lang source n_chars __row row id fp component score document".split(), "a.b"]
+    assert sorted(map(tuple, docs.collect())) == rows[:3]

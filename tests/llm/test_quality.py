@@ -105,3 +105,18 @@ def test_without_labels_or_rows(spark):
     assert [x.score for x in quality.score(df, *quality.fit(df, none)).collect()] == [quality.PRIOR]
     empty = df.limit(0)
     assert quality.score(empty, *quality.fit(empty, none)).count() == 0
+
+
+def test_labels_of_any_type(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "good words here" if i % 2 else "$$$ junk $$$") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(90, 2), (91, None)], "doc_id long, quality int")
+    scores = []
+    for kind in ("int", "double", "string", "decimal(4,1)"):
+        scores.append({r.document.doc_id: r.score for r in quality.score(docs, *quality.fit(docs, labels.withColumn("quality", F.col("quality").cast(kind)))).collect()})
+    binary = labels.where("quality in (0, 1)").withColumn("quality", F.col("quality") == 1)
+    scores.append({r.document.doc_id: r.score for r in quality.score(docs, *quality.fit(docs, binary)).collect()})
+    assert all(s == scores[0] for s in scores) and len({round(v, 3) for v in scores[0].values()}) > 1
+    words = spark.createDataFrame([(1, "good"), (2, None)], "doc_id long, quality string")
+    assert quality.fit(docs, words)[1] is None

@@ -37,3 +37,9 @@ def test_few_candidates_large_values_and_no_rows(spark):
     rows = [(0, [1.0, -2.0]), (1, [0.5, 0.5]), (2, [3e5, -3e6])]
     assert search(spark, rows, 10) == brute(rows, 10)
     assert search(spark, [], 10) == []
+
+
+def test_one_id_with_two_vectors(spark):
+    got = search(spark, [(0, [1.0]), (0, [2.0]), (1, [3.0]), (2, [4.0])], 3)
+    k = 1024 * 1024
+    assert got == [(0, 1, 2, 8 * k), (0, 2, 1, 6 * k), (0, 3, 2, 4 * k)]

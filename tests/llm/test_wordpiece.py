@@ -35,3 +35,9 @@ def test_public_vocabulary_and_rows(spark):
     assert got == sorted([(1, len(words), sum(counts) + unknown, unknown)] * 2 + [(None, 0, 0, 0), (2, 0, 0, 0)], key=str)
     assert counter(PIECES_32K)["the"] == 1
     assert count_tokens(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_words_are_counted_and_not_remembered():
+    own = counter(PIECES_32K)
+    word = "ab" * 500_000
+    assert own[word] == own.count(word) > 0 and word not in own.keys()
