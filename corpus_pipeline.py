@@ -33,13 +33,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each group of near copies: of those with the smallest id, that whose text and columns hash lowest.
 
     Fingerprints propose pairs, which count if they share 0.8 of their five-word shingles. Every row is judged by its own
-    text, so rows that share an id but not a text can all stay. Rows without an id stay, one for each text. An empty table
-    gives none.
+    text, so rows that share an id but not a text can all stay; rows are told apart by 128-bit hashes of all their columns, whatever
+    these are called. Rows without an id stay, one for each text. An empty table gives none.
     """
-    marked = docs.withColumn("__row", F.xxhash64("doc_id", "text", *(F.col(f"`{c}`") for c in docs.columns)))
-    copies = nearcopies.near_copies(marked, NEAR_BITS, row_col="__row")
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    own = [F.xxhash64(F.lit(seed), "doc_id", "text", *(F.col(f"`{c}`") for c in docs.columns)) for seed in (1, 2)]
+    marked = docs.withColumn(name, F.unhex(F.concat(*(F.lpad(F.hex(h), 16, "0") for h in own))))
+    copies = nearcopies.near_copies(marked, NEAR_BITS, row_col=name)
     kept = copies.where("id is not null").groupBy("component").agg(F.min(F.struct("id", "row")).alias("first"))
-    found = marked.join(kept.select(F.col("first.row").alias("__row")), "__row", "left_semi").dropDuplicates(["__row"]).select(docs.columns)
+    found = marked.join(kept.select(F.col("first.row").alias(name)), name, "left_semi").dropDuplicates([name]).select(*(F.col(f"`{c}`") for c in docs.columns))
     return found.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 
