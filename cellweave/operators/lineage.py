@@ -36,12 +36,12 @@ def normalised(df: DataFrame) -> DataFrame:
     own = [c for c in df.columns if c == "sister_ID_tree" or c.startswith("sister_ID_tree_")]
     values = F.col("sisters") if "sisters" in df.columns else F.array(*(integer(df, c) for c in own)).cast("array<bigint>")
     kept = F.array_sort(F.array_distinct(F.filter(values, lambda x: x > 0)))
-    return df.drop(*own).withColumns({
+    return df.withColumns({
         "Cell_ID_tree": F.coalesce(integer(df, "Cell_ID_tree"), cell), "parent_ID_tree": parent,
         "generation_num_tree": F.when(lone, 1).otherwise(F.coalesce(integer(df, "generation_num_tree"), F.lit(2))).cast("long"),
         "root_ID_tree": F.when(lone, cell).otherwise(F.coalesce(integer(df, "root_ID_tree"), parent)),
         "is_history_known": ~lone, "sisters": F.when(lone, F.array().cast("array<bigint>")).otherwise(kept),
-    })
+    }).drop(*own)
 
 
 def _last_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:

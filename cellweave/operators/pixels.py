@@ -225,24 +225,6 @@ def shift(pixels: DataFrame, shifts: DataFrame, height: int, width: int, keys: S
     return moved.where((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width))
 
 
-def best_shifts(pixels: DataFrame, max_shift: int, keys: Sequence[str] = ()) -> DataFrame:
-    """``(…, frame_i, dy, dx)``: the shift of each frame that agrees best with the first, by mean product of what overlaps.
-
-    Values are taken about their frame's mean. Every shift is a join key, not a pair of frames; ties go to the smaller one.
-    """
-    mean = F.avg("value").over(Window.partitionBy(*keys, "frame_i"))
-    norm = pixels.select(*keys, "frame_i", "y", "x", (F.col("value") - mean).alias("v"))
-    first = F.min("frame_i").over(Window.partitionBy(*keys)) if keys else F.min("frame_i").over(Window.partitionBy(F.lit(1)))
-    norm = norm.withColumn("__first", first)
-    reference = norm.where("frame_i = __first").select(*keys, "y", "x", F.col("v").alias("r"))
-    steps = F.sequence(F.lit(-max_shift).cast("long"), F.lit(max_shift).cast("long"))
-    moved = norm.where("frame_i <> __first").select(*keys, "frame_i", "y", "x", "v", F.explode(steps).alias("dy")).withColumn("dx", F.explode(steps))
-    moved = moved.withColumns({"y": F.col("y") + F.col("dy"), "x": F.col("x") + F.col("dx")})
-    scores = moved.join(reference, [*keys, "y", "x"]).groupBy(*keys, "frame_i", "dy", "dx").agg(F.avg(F.col("v") * F.col("r")).alias("score"))
-    smaller = F.struct("score", -(F.abs("dy") + F.abs("dx")), -F.col("dy"), -F.col("dx"))
-    return scores.groupBy(*keys, "frame_i").agg(F.max_by(F.struct("dy", "dx"), smaller).alias("s")).select(*keys, "frame_i", "s.dy", "s.dx")
-
-
 def crop(pixels: DataFrame, frames: tuple[int, int] | None = None, depth: tuple[int, int] | None = None, box: tuple[int, int, int, int] | None = None) -> DataFrame:
     """Ranges of frames and slices and a rectangle (top, left, bottom, right), all without their end, moved to the origin."""
     out = pixels

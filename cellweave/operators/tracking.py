@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweave.session import checkpointed
+
 from cellweave.functions.coerce import col
 
 
@@ -120,6 +122,27 @@ def track(labels: DataFrame, keys: Sequence[str] = ("position",), threshold: flo
     return labels.where("label <> 0").select(*keys, "frame_i", "y", "x", "label").groupBy(*keys).applyInPandas(fold, shape)
 
 
+def repeat(labels: DataFrame, start_frame: int, keys: Sequence[str] = ("position",), threshold: float = 0.4, denominator: str = "area_prev", unique_new: bool = True) -> DataFrame:
+    """``(…, frame_i, y, x, label)``: frames from ``start_frame`` on tracked anew, from the labels of the one before, which stays as it is.
+
+    Frames before that take no part in the fold. From frame 0 on, frame 0 itself is what the others follow.
+    """
+    anchor = max(0, start_frame - 1)
+    rows = labels.where("label <> 0").select(*keys, "frame_i", "y", "x", "label")
+    return rows.where(F.col("frame_i") < anchor).unionByName(track(rows.where(F.col("frame_i") >= anchor), keys, threshold, denominator, unique_new, anchor))
+
+
+def repeat_and_measure(channels: dict[str, DataFrame], start_frame: int, n_frames: int | DataFrame, keys: Sequence[str] = ("position",), threshold: float = 0.4, denominator: str = "area_prev", unique_new: bool = True, **options) -> DataFrame:
+    """The object table of channels (dense pixels with labels) after ``repeat``; ``options`` go to ``objects.measure``."""
+    from cellweave.operators import objects
+
+    at = [*keys, "frame_i", "y", "x"]
+    first = next(iter(channels.values()))
+    new = checkpointed(repeat(first, start_frame, keys, threshold, denominator, unique_new)).withColumnRenamed("label", "__new")
+    renamed = {c: p.join(new, at, "left").withColumn("label", F.coalesce("__new", F.lit(0))).drop("__new") for c, p in channels.items()}
+    return objects.measure(renamed, n_frames, keys=list(keys), **options)
+
+
 def disappeared(tracked: DataFrame, keys: Sequence[str] = ("position",)) -> DataFrame:
     """``(…, frame_i, label)``: the last frame of a run of frames after which a tracked object is not in the next one."""
     rows = tracked.where("label <> 0").select(*keys, "frame_i", "label").distinct()
@@ -174,9 +197,8 @@ def apply_mappers(df: DataFrame, first: DataFrame, second: DataFrame | None = No
     if second is not None:
         both = both.unionByName(second.withColumn("__rank", F.lit(2)))
     one = both.groupBy("frame_i", "label").agg(F.min_by("new_label", "__rank").alias("__new"))
-    for c in (c for c in ID_COLUMNS if c in df.columns):
-        found = one.select("frame_i", F.col("label").alias("__id"), "__new")
-        joined = out.withColumn("__id", F.when(col(c) >= 0, col(c).cast("long"))).join(found, ["frame_i", "__id"], "left")
-        new: Column = F.coalesce(F.col("__new"), col(c))
-        out = joined.withColumn(c, new).drop("__id", "__new")
-    return out.select(*map(col, df.columns))
+    # A frame's changes as one map, so that all columns of ids change in one join.
+    maps = one.groupBy("frame_i").agg(F.map_from_entries(F.collect_list(F.struct("label", "__new"))).alias("__map"))
+    joined = out.join(maps, "frame_i", "left")
+    new = lambda c: F.coalesce(F.when(col(c) >= 0, F.try_element_at("__map", col(c).cast("long"))), col(c))
+    return joined.select(*(new(c).alias(c) if c in ID_COLUMNS else col(c) for c in df.columns))

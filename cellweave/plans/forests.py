@@ -58,13 +58,19 @@ def ioa_assignment_union(spark, d):
 
 @query()
 def track_sequence(spark, d):
-    return K.track(mask(spark, d).withColumn("position", F.lit(0)), threshold=0.1)
+    return K.track(table(spark, d, "scenes"), threshold=0.1)
 
 
-@query("""SELECT 0 AS position, o.frame_i, o.label FROM (SELECT DISTINCT frame_i, label FROM mask WHERE label <> 0) o
-  ANTI JOIN (SELECT DISTINCT frame_i, label FROM mask WHERE label <> 0) n ON n.frame_i = o.frame_i + 1 AND n.label = o.label WHERE o.frame_i < (SELECT max(frame_i) FROM mask WHERE label <> 0)""")
+@query()
+def repeat_tracking(spark, d):
+    out = K.repeat_and_measure({"gfp": table(spark, d, "scenes")}, 3, 7, threshold=0.1, sizes=["cell_area_pxl"], regionprops=[], save=["mean"])
+    return out.select("position", "frame_i", "Cell_ID", "cell_area_pxl", "gfp_mean")
+
+
+@query(""", o AS (SELECT DISTINCT position, frame_i, label FROM scenes WHERE label <> 0 AND (frame_i + label) % 5 <> 0), e AS (SELECT position, max(frame_i) AS last FROM o GROUP BY 1)
+  SELECT o.* FROM o JOIN e USING (position) WHERE frame_i < last AND NOT EXISTS (SELECT 1 FROM o n WHERE n.position = o.position AND n.frame_i = o.frame_i + 1 AND n.label = o.label)""", "scenes")
 def track_disappearances(spark, d):
-    return K.disappeared(mask(spark, d).where("label <> 0").withColumn("position", F.lit(0)))
+    return K.disappeared(table(spark, d, "scenes").where("label <> 0 and (frame_i + label) % 5 <> 0"))
 
 
 _TRACKS = """, t AS (SELECT frame_i, label, min(y * 24 + x) AS track_id FROM mask WHERE label <> 0 AND y % 3 = 0 AND label <> 5 GROUP BY 1, 2), f AS (SELECT DISTINCT frame_i FROM t)"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellweave.operators import align as L
 from cellweave.operators import objects as O
 from cellweave.operators import pixels as X
 from cellweave.plans.adapters import oracle, table
@@ -256,12 +257,15 @@ def shift_frames(spark, d):
     return X.shift(m, shifts, 24, 24)
 
 
-@query(""", n AS (SELECT frame_i, y, x, value - avg(value) OVER (PARTITION BY frame_i) AS v FROM mask), s AS (SELECT n.frame_i, dy, dx, y + dy AS y, x + dx AS x, v FROM n, (SELECT unnest(range(-2, 3)) AS dy) a, (SELECT unnest(range(-2, 3)) AS dx) b WHERE frame_i > 0),
-  c AS (SELECT s.frame_i, dy, dx, round(avg(s.v * r.v), 3) AS score FROM s JOIN n r ON r.frame_i = 0 AND r.y = s.y AND r.x = s.x GROUP BY 1, 2, 3)
-  SELECT frame_i, max(score) AS score FROM c GROUP BY 1""")
+_SHIFTED = """, n AS (SELECT {keys}frame_i, y, x, value - avg(value) OVER (PARTITION BY {keys}frame_i) AS v FROM ({view})), f AS (SELECT {keys}min(frame_i) AS first FROM n GROUP BY ALL),
+  c AS (SELECT {s_keys}s.frame_i, r.y - s.y AS dy, r.x - s.x AS dx, avg(s.v * r.v) AS score FROM n s JOIN f ON {f_on} s.frame_i <> f.first
+    JOIN n r ON {r_on} r.frame_i = f.first AND abs(r.y - s.y) <= {most} AND abs(r.x - s.x) <= {most} GROUP BY ALL)"""
+
+
+@query(_SHIFTED.format(keys="", s_keys="", f_on="", r_on="", view="SELECT * FROM mask", most=16) + " SELECT frame_i, round(max(score), 3) AS score FROM c GROUP BY 1")
 def alignment_scores(spark, d):
     m = mask(spark, d)
-    best = X.best_shifts(m, 2)
+    best = L.best_shifts(m, 16)
     w = Window.partitionBy("frame_i")
     n = m.withColumn("v", F.col("value") - F.avg("value").over(w))
     at = n.join(best, "frame_i").select("frame_i", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "v")
@@ -269,6 +273,12 @@ def alignment_scores(spark, d):
     return at.join(ref, ["y", "x"]).groupBy("frame_i").agg(F.round(F.avg(F.col("v") * F.col("r")), 3).alias("score"))
 
 
+@query(_SHIFTED.format(keys="place, ", s_keys="s.place, ", f_on="f.place = s.place AND", r_on="r.place = s.place AND", view="SELECT *, CAST(substr(position, 10) AS BIGINT) AS place FROM scenes", most=6)
+       + " SELECT 'Position_' || place AS position, frame_i, arg_max(dy, (score, -(abs(dy) + abs(dx)), -dy, -dx)) AS dy, arg_max(dx, (score, -(abs(dy) + abs(dx)), -dy, -dx)) AS dx FROM c GROUP BY place, frame_i", "scenes")
+def alignment_shifts(spark, d):
+    return L.best_shifts(table(spark, d, "scenes"), 6, ["position"])
+
+
 @query("SELECT frame_i - 1 AS frame_i, y - 4 AS y, x - 2 AS x, label FROM mask WHERE frame_i >= 1 AND frame_i < 5 AND y >= 4 AND y < 20 AND x >= 2 AND x < 9")
 def crop_ranges(spark, d):
     return X.crop(mask(spark, d), frames=(1, 5), box=(4, 2, 20, 9)).select("frame_i", "y", "x", "label")
