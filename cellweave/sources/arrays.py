@@ -165,11 +165,13 @@ def _opened(path: str) -> BinaryIO:
     return system.open_input_file(place)
 
 
-def _paths(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path")
+def _paths(spark: SparkSession, path: str | list[str] | DataFrame) -> DataFrame:
+    return path.select("path").distinct() if isinstance(path, DataFrame) else spark.read.format("binaryFile").load(path).select("path")
 
 
-def _in_parts(path: str | list[str]) -> bool:
+def _in_parts(path: str | list[str] | DataFrame) -> bool:
+    if isinstance(path, DataFrame):
+        return True
     each = [path] if isinstance(path, str) else path
     return all(opened_by_tasks(p) and p.rstrip("*").rsplit(".", 1)[-1].lower() in ("npy", "npz", "tif", "tiff") for p in each)
 
@@ -177,7 +179,7 @@ def _in_parts(path: str | list[str]) -> bool:
 RANGES = "path string, name string, dtype string, shape array<long>, first long, planes array<array<struct<at: long, size: long>>>"
 
 
-def plane_ranges(spark: SparkSession, path: str | list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
+def plane_ranges(spark: SparkSession, path: str | list[str] | DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``(path, name, dtype, shape, first, planes)``: where the planes of each array lie, from ``first`` on, in ranges of some megabytes.
 
     Only headers are read. An array that cannot be read in parts is one range without ``planes``.
@@ -237,10 +239,11 @@ def _read_whole(spark: SparkSession, path: str | list[str], size_t: int | None,
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, PLANES)
 
 
-def read_planes(spark: SparkSession, path: str | list[str], size_t: int | None = None, size_z: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read_planes(spark: SparkSession, path: str | list[str] | DataFrame, size_t: int | None = None, size_z: int | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``(path, name, frame_i, z, height, width, data, dtype)``: a row per plane, values as 32-bit floats.
 
     Npy, npz and TIFF files are read in ranges of planes if their paths end so and tasks can open them; others whole, a file to a task.
+    Paths may also be a table (``path``) of such files.
     """
     if _in_parts(path):
         return _read_ranges(plane_ranges(spark, path, range_bytes), size_t, size_z)

@@ -100,3 +100,35 @@ def test_lines_in_order(spark, tmp_path):
 @pytest.mark.parametrize(("path", "by_tasks"), [("/a/b", True), ("file:///a", True), ("s3a://b/c", True), ("viewfs://s/a", False), ("hdfs://n/a", False)])
 def test_what_tasks_can_open(path, by_tasks):
     assert named.opened_by_tasks(path) == by_tasks
+
+
+def test_an_import_carried_out(spark, tmp_path):
+    from cellweave.sources import imports, layout, sidecars
+
+    rng = np.random.default_rng(5)
+    stacks = {(p, c): rng.integers(0, 4000, (4, 5, 6)).astype(np.uint16) for p in ("exp2", "exp10") for c in ("gfp", "bf")}
+    (tmp_path / "raw").mkdir()
+    for (p, c), a in stacks.items():
+        (tmp_path / f"raw/{p}_{c}.tif").write_bytes(R.tiff_bytes(a))
+    plan = layout.import_plan(layout.import_sources(spark, str(tmp_path / "raw")), "file per channel")
+    out = str(tmp_path / "out")
+    done = imports.carry_out(spark, plan, out, "demo_", frames=(1, 3), metadata={"TimeIncrement": 15.0})
+    assert sorted(r.name for r in done.collect()) == [f"Position_{i}/Images/demo_{c}.tif" for i in (1, 2) for c in ("bf", "gfp")]
+    for i, p in ((1, "exp2"), (2, "exp10")):
+        for c in ("gfp", "bf"):
+            back = R.tiff_pages((tmp_path / f"out/Position_{i}/Images/demo_{c}.tif").read_bytes())
+            assert back.dtype == np.uint16 and (back == stacks[p, c][1:3]).all()
+    known = sidecars.metadata_summary(sidecars.read_metadata(spark, f"{out}/*/Images/demo_metadata.csv")).collect()
+    assert [(r.basename, r.SizeT, r.SizeZ, r.TimeIncrement) for r in known] == [("demo_", 2, 1, 15.0)] * 2
+    found = layout.positions(layout.listing(spark, out)).collect()
+    assert [(r.position, r.channels, r.metadata is not None) for r in found] == [("Position_1", ["bf", "gfp"], True), ("Position_2", ["bf", "gfp"], True)]
+
+
+def test_frames_in_files_of_their_own(spark, tmp_path):
+    from cellweave.sources import imports, layout
+
+    for t in (9, 10, 2):
+        (tmp_path / f"a_gfp_{t}.tif").write_bytes(R.tiff_bytes(np.full((1, 3, 4), t, np.uint8)))
+    plan = layout.import_plan(layout.import_sources(spark, str(tmp_path)), "file per frame")
+    (row,) = imports.channel_files(spark, plan).collect()
+    assert row.name == "Position_1/Images/s01_gfp.tif" and R.tiff_pages(bytes(row.content))[:, 0, 0].tolist() == [2, 9, 10]
