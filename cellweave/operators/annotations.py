@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweave.functions.coerce import col, integer, is_missing, kind, lossy, number, require, truthy
@@ -55,6 +55,13 @@ def _annotated(df: DataFrame, grouping: Sequence[str]) -> DataFrame:
     return marked.withColumn("__annotated", F.coalesce(F.col(ROW_ID) <= F.col("__last"), F.lit(False))).drop("__last")
 
 
+def _typed(df: DataFrame) -> DataFrame:
+    """``__cell, __frame, __gen``: ids as integers. A table that has them keeps them, so that what is dealt by them stays so."""
+    if "__cell" in df.columns:
+        return df
+    return df.withColumns({"__cell": integer(df, "Cell_ID"), "__frame": integer(df, "frame_i"), "__gen": integer(df, "generation_num") if "generation_num" in df.columns else F.lit(None).cast("long")})
+
+
 def add_missing_columns(df: DataFrame, grouping: Sequence[str] = ("position",)) -> DataFrame:
     """Annotation columns that a table lacks, with their defaults up to its last annotated row."""
     out = df.withColumns({c: F.lit(0) for c in ("is_cell_excluded", "is_cell_dead") if c not in df.columns})
@@ -74,8 +81,7 @@ def add_will_divide(df: DataFrame, grouping: Sequence[str] = ("position",)) -> D
         return df
     require(df, "frame_i", "Cell_ID", "generation_num", "relative_ID", "relationship", ROW_ID)
     g = list(grouping)
-    ids = {"__cell": integer(df, "Cell_ID"), "__frame": integer(df, "frame_i"), "__gen": integer(df, "generation_num"), "__rel": integer(df, "relative_ID")}
-    base = _annotated(df, g).withColumns(ids).withColumns({"__in": F.col("__annotated") & F.col("__cell").isNotNull(), "__bud": lossy(df, "relationship") == "bud"})
+    base = _typed(_annotated(df, g)).withColumn("__rel", integer(df, "relative_ID")).withColumns({"__in": F.col("__annotated") & F.col("__cell").isNotNull(), "__bud": lossy(df, "relationship") == "bud"})
     of_cell = Window.partitionBy(*map(col, g), F.col("__cell"))
     counted = F.col("__in") & (F.col("__gen") > 0)
     first = F.min_by(F.struct("__rel", "__frame", ROW_ID), F.when(F.col("__in") & F.col("__bud"), F.col(ROW_ID))).over(of_cell)
@@ -85,9 +91,10 @@ def add_will_divide(df: DataFrame, grouping: Sequence[str] = ("position",)) -> D
     seen = base.where("__in and __frame is not null").groupBy(*g, "__cell", "__frame").agg(F.max_by("__gen", ROW_ID).alias("__gen"), F.lit(True).alias("__found"))
     fails = F.raise_error(F.concat(F.lit("mother "), F.col("__cell").cast("string"), F.lit(" is missing at frame "), F.col("__frame").cast("string")))
     cycles = buds.join(seen, [*g, "__cell", "__frame"], "left").withColumn("__gen", F.when(F.col("__found"), F.col("__gen")).otherwise(fails.cast("long")))
-    cycles = cycles.where("__gen is not null").select(*g, "__cell", "__gen").distinct().withColumn("__as_mother", F.lit(True))
-    out = marked.join(cycles, [*g, "__cell", "__gen"], "left")
-    divides = (own & F.col("__bud")) | (F.col("__in") & F.col("__as_mother"))
+    # All of a mother's cycles in one row, so that the table stays dealt by cell.
+    cycles = cycles.where("__gen is not null").groupBy(*g, "__cell").agg(F.collect_set("__gen").alias("__cycles"))
+    out = marked.join(cycles, [*g, "__cell"], "left")
+    divides = (own & F.col("__bud")) | (F.col("__in") & F.coalesce(F.array_contains("__cycles", F.col("__gen")), F.lit(False)))
     value = F.when(F.col("__annotated"), F.coalesce(divides, F.lit(False)).cast("int"))
     return out.withColumn("will_divide", value).select(*map(col, df.columns), "will_divide")
 
@@ -97,8 +104,7 @@ def fix_will_divide(df: DataFrame, grouping: Sequence[str] = ("position",)) -> D
     if "cell_cycle_stage" not in df.columns:
         return df
     require(df, "frame_i", "Cell_ID", "generation_num", "will_divide")
-    ids = {"__cell": integer(df, "Cell_ID"), "__gen": integer(df, "generation_num"), "__on": ~is_missing(df, "cell_cycle_stage")}
-    base = df.withColumns(ids)
+    base = _typed(df).withColumn("__on", ~is_missing(df, "cell_cycle_stage"))
     n = number(df, "will_divide")
     known = F.col("__on") & F.col("__cell").isNotNull() & F.col("__gen").isNotNull()
     of_cell = Window.partitionBy(*map(col, grouping), F.col("__cell"))
@@ -117,7 +123,9 @@ def corrected_blocks(df: DataFrame, grouping: Sequence[str] = ("position",)) ->
     if "corrected_assignment" not in df.columns:
         return df
     require(df, "frame_i", "Cell_ID", ROW_ID)
-    cell, frame, value = integer(df, "Cell_ID"), integer(df, "frame_i"), number(df, "corrected_assignment")
+    given = df.columns
+    df = _typed(df)
+    cell, frame, value = F.col("__cell"), F.col("__frame"), number(df, "corrected_assignment")
     of_cell = Window.partitionBy(*map(col, grouping), cell).orderBy(F.coalesce(frame, F.lit((1 << 63) - 1)), ROW_ID)
     changed = F.coalesce(F.lag(lossy(df, "corrected_assignment")).over(of_cell) != lossy(df, "corrected_assignment"), F.lit(False))
     runs = df.withColumn("__changed", changed.cast("int")).withColumn("__run", F.sum("__changed").over(of_cell.rowsBetween(Window.unboundedPreceding, 0)))
@@ -127,13 +135,13 @@ def corrected_blocks(df: DataFrame, grouping: Sequence[str] = ("position",)) ->
         old = number(df, "corrected_on_frame_i")
         there = df.groupBy(*map(col, grouping)).agg(F.max(F.coalesce((old > -1) & ~F.isnan(old), F.lit(False))).alias("__there"))
         runs = _with_groups(runs.withColumn("__new", new), grouping, there)
-        return runs.withColumn("corrected_on_frame_i", F.when(F.col("__there"), integer(df, "corrected_on_frame_i")).otherwise(F.col("__new"))).drop("__changed", "__run", "__new", "__there", "corrected_assignment")
-    return runs.withColumn("corrected_on_frame_i", new).drop("__changed", "__run", "corrected_assignment")
+        return runs.withColumn("corrected_on_frame_i", F.when(F.col("__there"), integer(df, "corrected_on_frame_i")).otherwise(F.col("__new"))).drop("__changed", "__run", "__new", "__there", "corrected_assignment", *({"__cell", "__frame", "__gen"} - set(given)))
+    return runs.withColumn("corrected_on_frame_i", new).drop("__changed", "__run", "corrected_assignment", *({"__cell", "__frame", "__gen"} - set(given)))
 
 
-def first_of_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The first row of each key, by row order."""
-    order = Window.partitionBy(*(lossy(df, k) for k in keys)).orderBy(ROW_ID)
+def first_of_keys(df: DataFrame, keys: Sequence[str], dealt: Sequence[Column] = ()) -> DataFrame:
+    """The first row of each key, by row order; ``dealt`` are columns that follow from the keys, by which the rows are dealt already."""
+    order = Window.partitionBy(*dealt, *(lossy(df, k) for k in keys)).orderBy(ROW_ID)
     return df.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
@@ -141,22 +149,29 @@ def ensure_compatible(df: DataFrame, grouping: Sequence[str] = ("position",)) ->
     """A table of any version as one of today: index columns go, first rows of repeated objects stay, annotations are completed.
 
     Missing cells of other columns become 0 if all annotation columns were there. The order of frames and cells counts as
-    row order from here on; frames are below 2**22 and cells below 2**40.
+    row order from here on; a frame of 2**22 or a cell of 2**40 or more is an error.
     """
     require(df, "frame_i", "Cell_ID", ROW_ID)
     out = df.drop("index", "level_0")
     if set(ANNOTATIONS) <= set(out.columns):
         fill = {c: F.when(is_missing(out, c), F.lit(0).cast(kind(out, c))).otherwise(col(c)) for c in out.columns if c not in (*ANNOTATIONS, ROW_ID, *grouping)}
         out = out.withColumns(fill)
-    out = first_of_keys(out, [*grouping, "frame_i", "Cell_ID"])
-    out = out.withColumn(ROW_ID, F.coalesce(integer(out, "frame_i"), F.lit(0)) * F.lit(1 << 40) + F.coalesce(integer(out, "Cell_ID"), F.lit(0)))
+    # Dealt by cell once: every window below is of a cell, or of less.
+    out = _typed(out).repartition(*map(col, grouping), "__cell")
+    out = first_of_keys(out, [*grouping, "frame_i", "Cell_ID"], [*map(col, grouping), F.col("__cell")])
+    large = F.raise_error(F.concat(F.lit("no room for cell "), F.col("__cell").cast("string"), F.lit(" in the row order"))).cast("long")
+    cell = F.when((F.col("__cell") >= 1 << 40) | (F.col("__frame") >= 1 << 22), large).otherwise(F.coalesce("__cell", F.lit(0)))
+    out = out.withColumn(ROW_ID, F.coalesce("__frame", F.lit(0)) * F.lit(1 << 40) + cell)
     if "cell_cycle_stage" in out.columns:
         out = _annotated(out, grouping)
-    for step in (add_missing_columns, add_will_divide, fix_will_divide):
+    out = add_missing_columns(out, grouping)
+    if "generation_num" in out.columns and "generation_num" not in df.columns:
+        out = out.withColumn("__gen", integer(out, "generation_num"))
+    for step in (add_will_divide, fix_will_divide):
         out = step(out, grouping)
     if "corrected_assignment" in out.columns and "corrected_on_frame_i" not in df.columns:
         out = out.drop("corrected_on_frame_i")  # only defaults, which the blocks replace
-    return corrected_blocks(out, grouping).drop("__annotated")
+    return corrected_blocks(out, grouping).drop("__annotated", "__cell", "__frame", "__gen")
 
 
 # --- edits ---------------------------------------------------------------------------------------------------------

@@ -27,15 +27,15 @@ def relatives_data(df: DataFrame, channels: Sequence[str] = (), grouping: Sequen
     shared = list(dict.fromkeys(["frame_i", *(c for c in CONTEXT if c in df.columns), *grouping]))
     carried = [c for c in df.columns if c != ROW_ID and not c.endswith("_rel") and c not in shared]
     own, relative = alike(df, "Cell_ID", "relative_ID")
-    keys = [key(df, c).alias(f"__k{i}") for i, c in enumerate(shared)]
-    names = [f"__k{i}" for i in range(len(shared))] + ["__id"]
-    right = df.select(*keys, own.alias("__id"), ROW_ID, F.struct(*map(col, carried)).alias("__relative"))
-    first = Window.partitionBy(*names).orderBy(ROW_ID)
+    # One key of all parts: nulls in it meet nulls, and the first rows and the join are dealt by it alike.
+    keyed = lambda of: F.struct(*(key(df, c).alias(f"k{i}") for i, c in enumerate(shared)), of.alias("id")).alias("__key")
+    names = {c: f"__r{i}" for i, c in enumerate(carried)}
+    first = Window.partitionBy("__key").orderBy(ROW_ID)
+    right = df.select(keyed(own), ROW_ID, *(col(c).alias(n) for c, n in names.items()))
     right = right.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", ROW_ID)
-    left = df.select("*", *keys, relative.alias("__id"))
-    both = left.alias("l").join(right.alias("r"), [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names], "left")
+    both = df.select("*", keyed(relative)).join(right, "__key", "left")
     kept = [c for c in df.columns if not (c.endswith("_rel") and c[:-4] in carried)]
-    out = both.select(*(F.col(f"l.`{c}`").alias(c) for c in kept), *(F.col(f"__relative.`{c}`").alias(f"{c}_rel") for c in carried))
+    out = both.select(*map(col, kept), *(F.col(n).alias(f"{c}_rel") for c, n in names.items()))
     in_s = lossy(out, "cell_cycle_stage") == "S"
     pairs = [(f"{c}_{a}", f"{c}_combined_{b}_mother_bud") for c in channels for a, b in (("corrected_amount", "amount"), ("raw_sum", "raw_sum"))]
     sums = {b: a for a, b in pairs if a in out.columns and f"{a}_rel" in out.columns} | {"combined_mother_bud_volume": "cell_vol_fl"}

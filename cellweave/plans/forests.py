@@ -18,7 +18,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 
 def query(sql: str | None = None, *views: str):
     def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = (f, sql and oracle(sql, *(views or ("mask",))).replace("WITH ", "WITH RECURSIVE " if "UNION ALL SELECT w." in sql else "WITH ", 1))
+        QUERIES[f.__name__] = (f, sql and oracle(sql, *(views or ("mask",))).replace("WITH ", "WITH RECURSIVE " if "walk" in sql else "WITH ", 1))
         return f
 
     return add
@@ -258,19 +258,36 @@ def zslice_join(spark, d):
     return Z.with_slices(table(spark, d, "volume"), info, "f0").select("frame_i", "y", "x", "label", "value")
 
 
-@query()
+_OBJECTS = """, p AS (SELECT CAST(substr(position, 10) AS BIGINT) AS place, frame_i, label, y, x FROM scenes WHERE label <> 0), b AS (SELECT place, frame_i, label, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM p GROUP BY ALL)"""
+#: The pixels of an object's box that are not its own, and those of them from which the box's edge is reached.
+_FREE = f"""{_OBJECTS}, g AS (SELECT place, frame_i, label, y0, y1, x0, x1, y, unnest(range(x0, x1 + 1)) AS x FROM (SELECT *, unnest(range(y0, y1 + 1)) AS y FROM b)),
+  f AS (SELECT g.* FROM g ANTI JOIN p ON p.place = g.place AND p.frame_i = g.frame_i AND p.label = g.label AND p.y = g.y AND p.x = g.x),
+  walk AS (SELECT place, frame_i, label, y, x FROM f WHERE y IN (y0, y1) OR x IN (x0, x1)
+    UNION SELECT f.place, f.frame_i, f.label, f.y, f.x FROM walk w JOIN f ON f.place = w.place AND f.frame_i = w.frame_i AND f.label = w.label AND abs(f.y - w.y) + abs(f.x - w.x) = 1),
+  filled AS (SELECT place, frame_i, label, y, x FROM p UNION SELECT place, frame_i, label, y, x FROM g WHERE (place, frame_i, label, y, x) NOT IN (SELECT place, frame_i, label, y, x FROM walk))"""
+
+
+@query(f"{_FREE} SELECT 'Position_' || place AS position, frame_i, y, x, label FROM filled", "scenes")
 def fill_holes(spark, d):
-    return N.fill_holes(mask(spark, d))
+    return N.fill_holes(table(spark, d, "scenes"), ["position", "frame_i"])
+
+
+@query(f"""{_FREE}, e AS (SELECT place, frame_i, label, y, min(x) AS a, max(x) + 1 AS z FROM p GROUP BY ALL), c AS (SELECT place, frame_i, label, y + unnest([0, 1]) AS y, a, z FROM e),
+  k AS (SELECT place, frame_i, label, y, unnest([a, z]) AS x FROM c), d AS (SELECT k.place, k.frame_i, k.label, max((k.y - o.y) ** 2 + (k.x - o.x) ** 2) AS far FROM k JOIN k o USING (place, frame_i, label) GROUP BY ALL)
+  SELECT 'Position_' || place AS position, frame_i, label, round(sqrt(far), 6) AS feret_diameter_max, n AS filled_area FROM d JOIN (SELECT place, frame_i, label, count(*) AS n FROM filled GROUP BY ALL) USING (place, frame_i, label)""", "scenes")
+def hull_extents(spark, d):
+    out = N.hulls(table(spark, d, "scenes"), ["position", "frame_i"])
+    return out.select("position", "frame_i", "label", F.round("feret_diameter_max", 6).alias("feret_diameter_max"), "filled_area")
 
 
 @query()
 def hull_metrics(spark, d):
-    return N.hulls(mask(spark, d))
+    return N.hulls(table(spark, d, "scenes"), ["position", "frame_i"])
 
 
 @query()
 def shape_postprocess(spark, d):
-    return N.keep_shapes(mask(spark, d), 20, 0.01, 3.0).select("frame_i", "y", "x", "label")
+    return N.keep_shapes(table(spark, d, "scenes"), 20, 0.01, 3.0, ["position", "frame_i"]).select("position", "frame_i", "y", "x", "label")
 
 
 @query()
