@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cellweave.functions.coerce import col, integer, is_missing, kind, lossy, number, require, truthy
 from cellweave.operators.relatives import ROW_ID
@@ -270,6 +271,20 @@ def integrity_of_cycles(df: DataFrame, grouping: Sequence[str] = ("position",))
     return reduce(DataFrame.unionByName, parts)
 
 
+def cycle_fields(df: DataFrame, asked: DataFrame, grouping: Sequence[str] = ("position",)) -> DataFrame:
+    """``(…, frame_i, Cell_ID, cell_cycle_stage, generation_num, relative_ID, relationship, is_history_known)`` of the objects asked for.
+
+    ``asked`` holds ``(*grouping, frame_i, Cell_ID)``; of several rows of an object the first counts, an object without one has none. Ids that are no
+    numbers are -1; of texts only "true" and "1" are known history.
+    """
+    at = [*grouping, "frame_i", "Cell_ID"]
+    known = F.lower(lossy(df, "is_history_known")).isin("true", "1") if isinstance(kind(df, "is_history_known"), T.StringType) else truthy(df, "is_history_known")
+    fields = {"cell_cycle_stage": lossy(df, "cell_cycle_stage"), "generation_num": F.coalesce(integer(df, "generation_num"), F.lit(-1)), "relative_ID": F.coalesce(integer(df, "relative_ID"), F.lit(-1)), "relationship": lossy(df, "relationship"), "is_history_known": known}
+    rows = df.select(*map(col, grouping), integer(df, "frame_i").alias("frame_i"), integer(df, "Cell_ID").alias("Cell_ID"), ROW_ID, *(v.alias(k) for k, v in fields.items()))
+    found = rows.join(asked.select(*grouping, F.col("frame_i").cast("long"), F.col("Cell_ID").cast("long")).distinct(), at)
+    return found.withColumn("__n", F.row_number().over(Window.partitionBy(*at).orderBy(ROW_ID))).where("__n = 1").select(*at, *fields)
+
+
 # --- custom annotations --------------------------------------------------------------------------------------------
 
 

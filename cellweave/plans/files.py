@@ -106,6 +106,14 @@ def converted_files(spark, d):
     return _position(R.labels_of(R.read_planes(spark, f"{folder}/*/Images/exp_segm.npy", size_t=7))).select("position", "frame_i", "y", "x", "label")
 
 
+@query("SELECT DISTINCT position, y, x FROM scenes WHERE (y * x) % 7 < 3 AND y >= 5 AND x >= 9", "scenes")
+def freehand_file_round_trip(spark, d):
+    folder = scratch(spark)
+    region = table(spark, d, "scenes").where("(y * x) % 7 < 3 and y >= 5 and x >= 9").select("position", "y", "x").distinct()
+    R.save_files(_named(R.encode_freehand(region, ["position"]), "exp_dataPrepFreeRoi.npz"), "name", folder)
+    return _position(R.freehand_pixels(R.read_planes(spark, f"{folder}/*/Images/exp_dataPrepFreeRoi.npz"))).select("position", "y", "x")
+
+
 @query("""SELECT position, CAST(count(DISTINCT frame_i) AS VARCHAR) AS frames, CAST(max(label) AS VARCHAR) || ',"x"' AS note FROM scenes GROUP BY 1""", "scenes")
 def named_sidecars(spark, d):
     folder = scratch(spark)

@@ -45,6 +45,21 @@ def object_coords(spark, d):
     return X.coordinates(mask(spark, d))
 
 
+@query("SELECT position, label AS Cell_ID, y, x FROM scenes WHERE label <> 0 AND frame_i = 2", "scenes")
+def object_coords_plane(spark, d):
+    return X.coordinates(table(spark, d, "scenes").where("frame_i = 2"), ["position"])
+
+
+@query("SELECT position, label AS Cell_ID, z, y, x FROM stacks WHERE label <> 0 AND frame_i = 1", "stacks")
+def object_coords_stack(spark, d):
+    return X.coordinates(table(spark, d, "stacks").where("frame_i = 1"), ["position"], ["z", "y", "x"])
+
+
+@query("SELECT position, frame_i, label AS Cell_ID, z, y, x FROM stacks WHERE label <> 0", "stacks")
+def object_coords_stacks(spark, d):
+    return X.coordinates(table(spark, d, "stacks"), ["position", "frame_i"], ["z", "y", "x"])
+
+
 @query("SELECT frame_i, label, count(*) AS n_voxels FROM volume WHERE label <> 0 GROUP BY 1, 2", "volume")
 def voxel_counts(spark, d):
     return X.voxel_counts(volume(spark, d))

@@ -188,6 +188,12 @@ def integrity_global(spark: SparkSession, d: str) -> DataFrame:
     return A.integrity_of_cycles(objects(spark, d))
 
 
+@query("""SELECT position, frame_i, Cell_ID, cell_cycle_stage, generation_num, relative_ID, relationship, will_divide <> 0 AS is_history_known FROM objects WHERE Cell_ID % 11 = 3""")
+def cycle_fields(spark: SparkSession, d: str) -> DataFrame:
+    o = objects(spark, d).withColumn("is_history_known", F.col("will_divide"))
+    return A.cycle_fields(o, o.where("Cell_ID % 11 = 3"))
+
+
 @query("""SELECT position, frame_i, Cell_ID, CASE WHEN position = 1 AND frame_i = 3 THEN 'S' ELSE cell_cycle_stage END AS cell_cycle_stage,
     CASE WHEN position = 1 AND frame_i = 3 THEN 9 ELSE generation_num END AS generation_num FROM objects""")
 def point_edits(spark: SparkSession, d: str) -> DataFrame:

@@ -326,6 +326,29 @@ def encode_archives(archives: DataFrame, keys: list[str]) -> DataFrame:
     return source.groupBy(*keys).applyInPandas(run, _content(source, keys))
 
 
+def freehand_pixels(planes: DataFrame) -> DataFrame:
+    """``(path, y, x)`` of every pixel of free-hand regions: of each file's first array, whose name is its box, ``x0_y0_x1_y1``, in the image."""
+    parts = F.split("name", "_").cast("array<long>")
+    bad = F.raise_error(F.concat(F.lit("not the box of a region: "), "name")).cast("array<long>")
+    box = F.when(F.col("name").rlike(r"^\d+_\d+_\d+_\d+$"), parts).otherwise(bad)
+    first = planes.groupBy("path").agg(F.min_by(F.struct("name", "width", "data"), "name").alias("r")).select("path", "r.*").withColumn("box", box)
+    each = first.select("path", "box", "width", F.posexplode("data").alias("i", "v")).where("v <> 0")
+    return each.select("path", (F.col("box")[1] + F.floor(F.col("i") / F.col("width"))).alias("y"), (F.col("box")[0] + F.col("i") % F.col("width")).alias("x"))
+
+
+def encode_freehand(rois: DataFrame, keys: list[str]) -> DataFrame:
+    """``(…, content)``: the region (y, x) of each key as an npz file of one array of flags, called by its box ``x0_y0_x1_y1``, last row and column included."""
+    source = rois.select(*keys, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        y, x = rows["y"].to_numpy(), rows["x"].to_numpy()
+        mask = np.zeros((y.max() - y.min() + 1, x.max() - x.min() + 1), bool)
+        mask[y - y.min(), x - x.min()] = True
+        return pd.DataFrame({k: [rows[k].iloc[0]] for k in keys} | {"content": [file_bytes({f"{x.min()}_{y.min()}_{x.max()}_{y.max()}": mask}, "npz")]})
+
+    return source.groupBy(*keys).applyInPandas(run, _content(source, keys))
+
+
 def _content(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", content binary"
 
@@ -366,4 +389,4 @@ def convert(planes: DataFrame, fmt: str, cast_labels: bool = False) -> DataFrame
     return planes.groupBy("path").applyInPandas(run, "path string, content binary")
 
 
-__all__ = ["convert", "decode", "encode_archives", "encode_images", "encode_labels", "entries", "labels_of", "pixels_of", "plane_ranges", "probe", "read_planes", "save_files", "to_type"]
+__all__ = ["convert", "decode", "encode_archives", "encode_freehand", "encode_images", "encode_labels", "entries", "freehand_pixels", "labels_of", "pixels_of", "plane_ranges", "probe", "read_planes", "save_files", "to_type"]

@@ -88,6 +88,15 @@ def deleted_ids_json(deleted: DataFrame) -> DataFrame:
     return _by_frame(rows, F.to_json("ids"))
 
 
+def lineage_info_json(changes: DataFrame) -> DataFrame:
+    """``(path, n, line)``: what is new and gone in a frame (``lineage.frame_changes``, with ``path``) as JSON per path: cells with a parent, orphans, lost cells."""
+    of = lambda kind, value: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, value)))
+    pair = F.struct(F.col("Cell_ID").cast("long").alias("cell_id"), F.col("parent_ID").cast("long").alias("parent_id"))
+    cell = F.col("Cell_ID").cast("long")
+    own = F.struct(of("with parent", pair).alias("cells_with_parent"), of("orphan", cell).alias("orphan_cells"), of("lost", cell).alias("lost_cells"))
+    return changes.groupBy("path").agg(F.to_json(own).alias("line")).select("path", F.lit(0).alias("n"), "line")
+
+
 def mapper_names(segm: str) -> tuple[str, str]:
     """Names of the files of deleted and of replaced ids beside a tracked label image."""
     stem = segm.rsplit(".", 1)[0]

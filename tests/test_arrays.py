@@ -132,3 +132,16 @@ def test_frames_in_files_of_their_own(spark, tmp_path):
     plan = layout.import_plan(layout.import_sources(spark, str(tmp_path)), "file per frame")
     (row,) = imports.channel_files(spark, plan).collect()
     assert row.name == "Position_1/Images/s01_gfp.tif" and R.tiff_pages(bytes(row.content))[:, 0, 0].tolist() == [2, 9, 10]
+
+
+def test_free_hand_regions(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    np.savez(tmp_path / "a/x.npz", **{"3_10_5_11": np.array([[1, 0, 1], [0, 1, 0]], bool)})
+    got = R.freehand_pixels(R.read_planes(spark, str(tmp_path / "a/x.npz"))).select("y", "x").collect()
+    assert sorted(map(tuple, got)) == [(10, 3), (10, 5), (11, 4)]
+    (row,) = R.encode_freehand(spark.createDataFrame([("p", 10, 3), ("p", 10, 5), ("p", 11, 4)], "position string, y long, x long"), ["position"]).collect()
+    with np.load(io.BytesIO(bytes(row.content))) as z:
+        assert z.files == ["3_10_5_11"] and z["3_10_5_11"].tolist() == [[True, False, True], [False, True, False]]
+    np.savez(tmp_path / "b.npz", wrong=np.ones((2, 2), bool))
+    with pytest.raises(Exception, match="not the box of a region"):
+        R.freehand_pixels(R.read_planes(spark, str(tmp_path / "b.npz"))).collect()

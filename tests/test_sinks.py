@@ -93,3 +93,16 @@ def test_workflow_measures_each_position_up_to_its_stop_frame(spark):
         flow = workflow.parse(text.format(tracked))
         got = workflow.run_measurements(flow, {"gfp": both}, 2).select("position", "frame_i", "Cell_ID", "area").collect()
         assert sorted(map(tuple, got)) == [("a", 0, 1, 11.0), ("a", 1, 1, 12.0), ("b", 0, 1, 11.0)]
+
+
+def test_lineage_info_and_cycle_fields(spark):
+    from cellweave.operators import annotations
+
+    changes = spark.createDataFrame([("P", 1, "with parent", 9, 2), ("P", 1, "with parent", 4, 2), ("P", 1, "lost", 7, -1), ("P", 1, "orphan", 5, -1), ("Q", 1, "lost", 3, -1)], "path string, frame_i long, kind string, Cell_ID long, parent_ID long")
+    got = {p: json.loads(x[0]) for p, x in lines_of(sinks.lineage_info_json(changes)).items()}
+    assert got["P"] == {"cells_with_parent": [{"cell_id": 4, "parent_id": 2}, {"cell_id": 9, "parent_id": 2}], "orphan_cells": [5], "lost_cells": [7]}
+    assert got["Q"] == {"cells_with_parent": [], "orphan_cells": [], "lost_cells": [3]}
+    rows = [("a", 0, 1, "S", 2, 5, "bud", "TRUE", 0), ("a", 0, 1, "G1", 9, 9, "x", "1", 1), ("a", 1, 1, None, None, None, None, "yes", 2), ("b", 0, 1, "S", 1, 1, "bud", "1", 3)]
+    df = spark.createDataFrame(rows, "position string, frame_i long, Cell_ID long, cell_cycle_stage string, generation_num long, relative_ID long, relationship string, is_history_known string, _row_id long")
+    asked = spark.createDataFrame([("a", 0, 1), ("a", 1, 1), ("a", 2, 1)], "position string, frame_i long, Cell_ID long")
+    assert sorted(map(tuple, annotations.cycle_fields(df, asked).collect())) == [("a", 0, 1, "S", 2, 5, "bud", True), ("a", 1, 1, "", -1, -1, "", False)]
