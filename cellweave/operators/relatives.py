@@ -27,13 +27,14 @@ def relatives_data(df: DataFrame, channels: Sequence[str] = (), grouping: Sequen
     shared = list(dict.fromkeys(["frame_i", *(c for c in CONTEXT if c in df.columns), *grouping]))
     carried = [c for c in df.columns if c != ROW_ID and not c.endswith("_rel") and c not in shared]
     own, relative = alike(df, "Cell_ID", "relative_ID")
-    # One key of all parts: nulls in it meet nulls, and the first rows and the join are dealt by it alike.
-    keyed = lambda of: F.struct(*(key(df, c).alias(f"k{i}") for i, c in enumerate(shared)), of.alias("id")).alias("__key")
+    # One key of all parts: nulls in it meet nulls, and the first rows and the join are dealt by it alike. Its hash goes first, as sorting compares that fast.
+    parts = [key(df, c).alias(f"k{i}") for i, c in enumerate(shared)]
+    keyed = lambda of: (F.xxhash64(*parts, of).alias("__hash"), F.struct(*parts, of.alias("id")).alias("__key"))
     names = {c: f"__r{i}" for i, c in enumerate(carried)}
-    first = Window.partitionBy("__key").orderBy(ROW_ID)
-    right = df.select(keyed(own), ROW_ID, *(col(c).alias(n) for c, n in names.items()))
+    first = Window.partitionBy("__hash", "__key").orderBy(ROW_ID)
+    right = df.select(*keyed(own), ROW_ID, *(col(c).alias(n) for c, n in names.items()))
     right = right.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", ROW_ID)
-    both = df.select("*", keyed(relative)).join(right, "__key", "left")
+    both = df.select("*", *keyed(relative)).join(right, ["__hash", "__key"], "left")
     kept = [c for c in df.columns if not (c.endswith("_rel") and c[:-4] in carried)]
     out = both.select(*map(col, kept), *(F.col(n).alias(f"{c}_rel") for c, n in names.items()))
     in_s = lossy(out, "cell_cycle_stage") == "S"
