@@ -174,8 +174,8 @@ def fill_holes(labels: DataFrame, keys: Sequence[str] = FRAME) -> DataFrame:
     return source.groupBy(*keys).applyInPandas(run, source.schema)
 
 
-def component_count(mask: np.ndarray) -> int:
-    """Parts that hang together by edges: union of horizontal runs."""
+def parts_of(mask: np.ndarray) -> np.ndarray:
+    """A number from 1 for each part that hangs together by edges, 0 elsewhere: union of horizontal runs."""
     starts = mask & ~np.pad(mask, ((0, 0), (1, 0)))[:, :-1]
     run = np.where(mask, np.cumsum(starts).reshape(mask.shape), 0)
     parent = list(range(int(starts.sum()) + 1))
@@ -190,7 +190,12 @@ def component_count(mask: np.ndarray) -> int:
     both = (above > 0) & (below > 0)
     for a, b in {tuple(p) for p in np.stack([above[both], below[both]], axis=1).tolist()}:
         parent[find(a)] = find(b)
-    return sum(find(a) == a for a in range(1, len(parent)))
+    return np.unique([find(a) for a in range(len(parent))], return_inverse=True)[1][run]
+
+
+def component_count(mask: np.ndarray) -> int:
+    """Parts that hang together by edges."""
+    return int(parts_of(mask).max(initial=0))
 
 
 def hull(points: np.ndarray) -> np.ndarray:

@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from cellweave.operators import areas as A
 from cellweave.operators import objects as O
+from cellweave.operators import tiles as T
 from cellweave.plans.adapters import oracle, table
+from cellweave.plans.forests import _FREE
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
 def query(sql: str | None = None, *views: str):
     def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = (f, sql and oracle(sql, *views))
+        QUERIES[f.__name__] = (f, sql and oracle(sql, *views).replace("WITH ", "WITH RECURSIVE " if "walk" in sql else "WITH ", 1))
         return f
 
     return add
@@ -119,3 +121,16 @@ def position_disappearances(spark, d):
     ends = pixels.select("position").distinct().withColumn("n_frames", 3 + F.expr("cast(substr(position, 10) as bigint)") % 4)
     cut = pixels.join(ends, "position").where("frame_i < n_frames").drop("n_frames")
     return O.disappearances(cut, ends, ["position"])
+
+
+@query(""", p AS (SELECT CAST(substr(position, 10) AS BIGINT) AS place, frame_i, y, x, y * 48 + x AS spot FROM scenes WHERE value > 30),
+  walk AS (SELECT place, frame_i, spot, spot AS reached, y, x FROM p UNION SELECT w.place, w.frame_i, w.spot, n.spot, n.y, n.x FROM walk w JOIN p n ON n.place = w.place AND n.frame_i = w.frame_i AND abs(n.y - w.y) + abs(n.x - w.x) = 1),
+  f AS (SELECT place, frame_i, spot, min(reached) AS first FROM walk GROUP BY ALL)
+  SELECT 'Position_' || place AS position, frame_i, spot // 48 AS y, spot % 48 AS x, dense_rank() OVER (PARTITION BY place, frame_i ORDER BY first) AS label FROM f""", "scenes")
+def tiled_segments(spark, d):
+    return T.segment_above(table(spark, d, "scenes"), 30.0, ["position", "frame_i"], tile=16)
+
+
+@query(_FREE + " SELECT 'Position_' || place AS position, frame_i, y, x, label FROM filled", "scenes")
+def tiled_hole_filling(spark, d):
+    return T.fill_holes(table(spark, d, "scenes"), ["position", "frame_i"], tile=16)
