@@ -34,9 +34,10 @@ SEED = 42
 DISTANCE = 3
 #: The blocks' width and the threshold in each of them, for each largest distance.
 BLOCKS = {3: (32, 1), 7: (16, 1), 11: (16, 2)}
-#: Fingerprints of an anchor that one task compares with as many others, and pairs compared at once.
+#: Fingerprints of an anchor that one task compares with as many others, pairs compared at once, and replicas sent at once.
 BLOCK = 4096
 PAIRS = 1 << 21
+SENT = 1 << 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -142,10 +143,11 @@ def meetings(
     typed = ", ".join(f"{c} long" for c in own)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = max(1, SENT // (_code(width, threshold)[1].shape[1] * (64 // width)))
         for batch in batches:
             columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
-            for k in range(0, batch.num_rows, 1 << 13):
-                part = [x[k : k + (1 << 13)] for x in columns]
+            for k in range(0, batch.num_rows, most):
+                part = [x[k : k + most] for x in columns]
                 row, anchor, home = anchors(part[0].view(np.uint64), width, threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), *(pa.array(x[row]) for x in part), pa.array(home)], ["anchor", *own, "home"])
 

@@ -2,10 +2,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
 
 from cellweave.llm.components import components
-from cellweave.llm.simhash import anchors, fingerprint, links, near_duplicates
+from cellweave.llm.simhash import anchors, fingerprint, links, meetings, near_duplicates
 
 
 def plain(text, k=3):
@@ -125,3 +127,28 @@ def test_rows_that_share_an_id_and_heavy_fingerprints(spark):
     got = {(x.id, x.fp): x.component_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {c for (i, f), c in got.items() if f == 0} == {100} and len(got) == 1205
     assert sorted(c for (i, _), c in got.items() if i == 5) == [2, 5] and [c for (i, _), c in got.items() if i in (3, 4)] == [3, 3]
+
+
+def test_replicas_leave_in_small_batches_whatever_comes_in():
+    """What tells texts apart goes along with each of 176 replicas: sent by thousands of fingerprints it takes hundreds of MB of a task."""
+
+    class Rows:
+        columns = ["fp", *"abcdefghij"]
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            raise StopIteration
+
+    rows, rng = Rows(), np.random.default_rng(2)
+    with pytest.raises(StopIteration):
+        meetings(rows, 11, None, "")
+    fp = rng.integers(0, 1 << 63, 5000, dtype=np.int64)
+    sent = list(rows.run(iter([pa.RecordBatch.from_arrays([pa.array(fp + k) for k in range(11)], Rows.columns)])))
+    assert max(b.nbytes for b in sent) < 8 << 20
+    row, anchor, home = anchors(fp.view(np.uint64), 16, 2)
+    got = np.concatenate([np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]) for b in sent], axis=1)
+    want = np.stack([anchor.view(np.int64), *(fp[row] + k for k in range(11)), home.astype(np.int64)])
+    assert (got[:, np.lexsort(got[:2])] == want[:, np.lexsort(want[:2])]).all()
