@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +42,42 @@ PRIOR = 0.5
 _rng = np.random.default_rng(20240)
 INDEX_AT = np.argsort(_rng.random((BUCKETS, DIMENSIONS)), axis=1)[:, :NONZERO]
 INDEX_SIGN = _rng.choice([-1.0, 1.0], (BUCKETS, NONZERO))
-_TOKEN = regex.compile(r"\p{L}+|\P{L}+")
-#: First step of the merge: groups of parts for each block. Tokens that are pooled at once.
+#: First step of the merge: groups of parts for each block. Tokens of a text that are pooled at once.
 MERGES = 16
-POOLED = 1 << 15
+POOLED = 1 << 11
+
+
+@lru_cache
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    points = np.r_[0:0xD800, 0xE000:0x110000]
+    found = np.zeros(0x110000, bool)
+    for m in regex.finditer(r"\p{L}+", points.astype("<u4").tobytes().decode("utf-32-le")):
+        found[points[m.start() : m.end()]] = True
+    return found
+
+
+def _flat(words: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The bytes of words, of which none is null, in turn, and where each of them begins, with the end last."""
+    if not len(words):
+        return b"", np.zeros(1, np.int32)
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    return data.slice(at[0], at[-1] - at[0]).to_pybytes(), at - at[0]
+
+
+def _cut(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of distinct words in turn, as bytes, and how many each word has; all words are cut at once."""
+    raw, starts = _flat(words)
+    data = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero(data & 0xC0 != 0x80)
+    letter = _letters()[np.frombuffer(raw.decode().encode("utf-32-le"), "<u4")]
+    begins = np.zeros(len(data), bool)
+    begins[at[1:]] = letter[1:] != letter[:-1]
+    begins[starts[:-1]] = True
+    begins = np.flatnonzero(begins)
+    offsets = pa.py_buffer(np.r_[begins, len(data)].astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(begins), [None, offsets, pa.py_buffer(raw)]), np.diff(np.searchsorted(begins, starts))
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,9 +85,11 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sole("tokens", dict)
     words, n_words = split_words(texts, unicode=True)
     each = words.dictionary_encode()
-    found = [_TOKEN.findall(w) for w in each.dictionary.to_pylist()]
-    buckets = np.array([zlib.crc32(t.encode()) % BUCKETS for f in found for t in f], np.int64)
-    sizes = np.array([len(f) for f in found], np.int64)
+    found, sizes = _cut(each.dictionary)
+    known = found.dictionary_encode()
+    raw, at = _flat(known.dictionary)
+    at = at.tolist()
+    buckets = np.fromiter((zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])), np.int64, len(at) - 1)[known.indices.to_numpy()] % BUCKETS
     starts, codes = np.cumsum(sizes) - sizes, each.indices.to_numpy()
     size = sizes[codes]
     ends = np.concatenate([[0], np.cumsum(size)])
@@ -75,12 +110,12 @@ def context_vectors(df: DataFrame, text_col: str = "text") -> np.ndarray:
         for batch in slices(batches):
             flat, counts = tokens(batch.column(0))
             text = np.repeat(np.arange(len(counts)), counts)
-            for reach in range(1, REACH + 1):
-                left, right = flat[:-reach], flat[reach:]
-                both = text[:-reach] == text[reach:]
-                for word, other in ((left[both], right[both]), (right[both], left[both])):
-                    for j in range(NONZERO):
-                        total += np.bincount(word * DIMENSIONS + INDEX_AT[other, j], INDEX_SIGN[other, j], BUCKETS * DIMENSIONS)
+            both = [text[:-reach] == text[reach:] for reach in range(1, REACH + 1)]
+            left = np.concatenate([flat[:-reach][b] for reach, b in enumerate(both, 1)])
+            right = np.concatenate([flat[reach:][b] for reach, b in enumerate(both, 1)])
+            word, other = np.concatenate([left, right]) * DIMENSIONS, np.concatenate([right, left])
+            for j in range(NONZERO):
+                total += np.bincount(word + INDEX_AT[other, j], INDEX_SIGN[other, j], BUCKETS * DIMENSIONS)
         parts = total.astype(np.int64).reshape(-1, size)
         used = np.flatnonzero(parts.any(axis=1))
         if len(used):
@@ -107,23 +142,20 @@ def context_vectors(df: DataFrame, text_col: str = "text") -> np.ndarray:
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """(documents, INPUTS): per dimension the mean of the tokens' context vectors, and the mean products of tokens one and two apart.
 
-    Zeros where there are no such tokens.
+    Zeros where there are no such tokens. A text's row is the same to the last bit whatever texts come with it.
     """
     flat, counts = tokens(texts)
-    text = np.repeat(np.arange(len(counts)), counts)
     sums = np.zeros((REACH + 1, len(counts), DIMENSIONS))
-    for k in range(0, len(flat), POOLED):
-        part, owner = vectors[flat[k : k + POOLED + REACH]], text[k : k + POOLED + REACH]
-        n = min(POOLED, len(flat) - k)
-        starts = np.flatnonzero(np.diff(owner[:n], prepend=-1))
-        sums[0, owner[starts]] += np.add.reduceat(part[:n], starts, axis=0)
-        for reach in range(1, REACH + 1):
-            m = min(n, len(part) - reach)
-            if m > 0:
-                product = part[:m] * part[reach : m + reach]
-                product[owner[:m] != owner[reach : m + reach]] = 0
-                begin = starts[starts < m]
-                sums[reach, owner[begin]] += np.add.reduceat(product, begin, axis=0)
+    ends = np.cumsum(counts)
+    for own, begin, end in zip(range(len(counts)), (ends - counts).tolist(), ends.tolist()):
+        for k in range(begin, end, POOLED):
+            part = vectors.take(flat[k : min(k + POOLED + REACH, end)], axis=0, mode="clip")
+            n = min(POOLED, end - k)
+            sums[0, own] += np.einsum("ij->j", part[:n])
+            for reach in range(1, REACH + 1):
+                m = min(n, len(part) - reach)
+                if m > 0:
+                    sums[reach, own] += np.einsum("ij,ij->j", part[:m], part[reach : m + reach])
     means = [x / np.maximum(counts - reach, 1)[:, None] for reach, x in enumerate(sums)]
     return np.hstack(means).astype(np.float32)
 
