@@ -38,6 +38,8 @@ BLOCKS = {3: (32, 1), 7: (16, 1), 11: (16, 2)}
 BLOCK = 4096
 PAIRS = 1 << 21
 SENT = 1 << 16
+#: Anchors with more than a block of fingerprints up to which they are broadcast; more meet the replicas in a shuffle.
+BROADCAST = 1 << 20
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -130,6 +132,13 @@ def _near(keys: np.ndarray, side: np.ndarray, fp: np.ndarray, distance: int) ->
             yield i[near], j[near]
 
 
+def _busy(members: DataFrame) -> DataFrame:
+    """``(anchor, blocks)`` of the anchors with more than a block of members; broadcast while they are few."""
+    counts = members.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    busy = checkpointed(counts.select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    return F.broadcast(busy) if busy.count() <= BROADCAST else busy.hint("merge")
+
+
 def meetings(
     fps: DataFrame, distance: int, found: Callable[[np.ndarray, np.ndarray, np.ndarray, Callable[[str, np.ndarray], np.ndarray]], Iterator[tuple[np.ndarray, ...]]], shape: str
 ) -> DataFrame:
@@ -152,13 +161,14 @@ def meetings(
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), *(pa.array(x[row]) for x in part), pa.array(home)], ["anchor", *own, "home"])
 
     members = fps.select(*own).mapInArrow(replicate, f"anchor long, {typed}, home boolean")
-    counts = members.groupBy("anchor").agg(F.count("*").alias("n"), F.max("home").alias("homes")).where("n > 1 and homes")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.join(counts.select("anchor", blocks.alias("blocks")), "anchor").withColumn("own", F.pmod(F.xxhash64(*own), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    home = dealt.where("home").select("anchor", F.col("own").alias("a"), every.alias("b"), F.lit(0).alias("side"), *own)
-    other = dealt.select("anchor", every.alias("a"), F.col("own").alias("b"), F.lit(1).alias("side"), *own)
-    rows = home.unionByName(other).repartition("anchor", "a", "b").sortWithinPartitions("anchor", "a", "b", "side")
+    blocks, at_home = F.coalesce("blocks", F.lit(1)), F.col("home").cast("int")
+    # Spark takes replicas to be as few as fingerprints; the left side of an outer join is one that it never broadcasts.
+    dealt = members.join(_busy(members), "anchor", "left").withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64(*own), blocks).cast("int")})
+    # Each row goes to every part of the home side and, from home, to every part of the other side.
+    dealt = dealt.withColumn("each", F.explode(F.sequence(F.lit(0), F.col("blocks") * (1 + at_home) - 1)))
+    other = F.col("each") < F.col("blocks")
+    a, b = F.when(other, F.col("each")).otherwise(F.col("own")), F.when(other, F.col("own")).otherwise(F.col("each") - F.col("blocks"))
+    rows = dealt.select("anchor", a.alias("a"), b.alias("b"), other.cast("int").alias("side"), *own).repartition("anchor", "a", "b").sortWithinPartitions("anchor", "a", "b", "side")
     names = [x.split()[0] for x in shape.split(", ")]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

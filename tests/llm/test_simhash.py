@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from cellweave.llm.components import components
 from cellweave.llm.simhash import anchors, fingerprint, links, meetings, near_duplicates
@@ -152,3 +153,35 @@ def test_replicas_leave_in_small_batches_whatever_comes_in():
     got = np.concatenate([np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]) for b in sent], axis=1)
     want = np.stack([anchor.view(np.int64), *(fp[row] + k for k in range(11)), home.astype(np.int64)])
     assert (got[:, np.lexsort(got[:2])] == want[:, np.lexsort(want[:2])]).all()
+
+
+def test_replicas_are_not_broadcast_however_few_spark_takes_them_to_be(spark):
+    """3000 fingerprints are 48 kB to Spark, and no more when each has become 34 rows."""
+    found = links(spark.range(3000).select(F.xxhash64("id").alias("fp")))
+    assert found.count() == 0
+    lines = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [re.search("[A-Za-z]|$", x).start() for x in lines]
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            under = next((i for i in range(k + 1, len(lines)) if depth[i] <= depth[k]), len(lines))
+            assert not any("MapInArrow" in x for x in lines[k:under]), "\n".join(lines)
+    assert any("MapInArrow" in x for x in lines)
+
+
+@pytest.mark.parametrize("block, most", [(4, 1 << 20), (4, 0), (1, 1 << 20)])
+def test_anchors_in_parts(spark, monkeypatch, block, most):
+    """Busy anchors, broadcast or not, in many parts: pairs are those of anchors in one part."""
+    from cellweave.llm import simhash as s
+
+    r = random.Random(9)
+    base = [r.getrandbits(64) for _ in range(4)]
+    fps = sorted({b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for b in base for _ in range(12)})
+    monkeypatch.setattr(s, "BLOCK", block)
+    monkeypatch.setattr(s, "BROADCAST", most)
+    rows = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+
+    def pairs(anchor, i, j, of):
+        yield of("fp", i), of("fp", j)
+
+    got = {(x.u % (1 << 64), x.v % (1 << 64)) for x in meetings(rows, 3, pairs, "u long, v long").collect()}
+    assert got == {(a, b) for a in fps for b in fps if (a ^ b).bit_count() <= 3}
