@@ -35,9 +35,11 @@ DISTANCE = 3
 #: The blocks' width and the threshold in each of them, for each largest distance.
 BLOCKS = {3: (32, 1), 7: (16, 1), 11: (16, 2)}
 #: Fingerprints of an anchor that one task compares with as many others, pairs compared at once, and replicas sent at once.
-BLOCK = 4096
+BLOCK = 8192
 PAIRS = 1 << 21
 SENT = 1 << 16
+#: Pairs from which a group is compared on its own, and cells of its square that are compared at once.
+SQUARE, CELLS = 1 << 14, 1 << 18
 #: Anchors with more than a block of fingerprints up to which they are broadcast; more meet the replicas in a shuffle.
 BROADCAST = 1 << 20
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -120,6 +122,10 @@ def _near(keys: np.ndarray, side: np.ndarray, fp: np.ndarray, distance: int) ->
     sizes = np.diff(np.r_[starts, len(keys)])
     homes = np.add.reduceat(side == 0, starts) if len(starts) else np.empty(0, np.int64)
     others = sizes - homes
+    large = homes * others >= SQUARE
+    for at, n, m in zip(starts[large], homes[large], others[large]):
+        yield from _near_in_one(fp, int(at), int(n), int(m), distance)
+    starts, homes, others = starts[~large], homes[~large], others[~large]
     total = np.cumsum(homes * others)
     for k in range(0, int(total[-1]) if len(total) else 0, PAIRS):
         pair = np.arange(k, min(k + PAIRS, int(total[-1])))
@@ -132,10 +138,26 @@ def _near(keys: np.ndarray, side: np.ndarray, fp: np.ndarray, distance: int) ->
             yield i[near], j[near]
 
 
+def _near_in_one(fp: np.ndarray, at: int, n: int, m: int, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of one large group, ``n`` homes from ``at`` on and ``m`` others after them: whole rows of its square at once."""
+    home, other, step = fp[at : at + n, None], fp[at + n : at + n + m], max(1, CELLS // m)
+    held, size = [], 0
+    for k in range(0, n, step):
+        close = np.flatnonzero(np.bitwise_count(home[k : k + step] ^ other) <= distance)
+        held.append((at + k + close // m, at + n + close % m))
+        size += len(close)
+        if size and (size > CELLS or k + step >= n):
+            yield tuple(np.concatenate(x) for x in zip(*held))
+            held, size = [], 0
+
+
 def _busy(members: DataFrame) -> DataFrame:
-    """``(anchor, blocks)`` of the anchors with more than a block of members; broadcast while they are few."""
-    counts = members.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    busy = checkpointed(counts.select("anchor", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    """``(anchor, homes, others)``: in how many parts either side of an anchor with more than a block of members is; broadcast while they are few.
+
+    Of the members one in 17, 9 or 44 is at home, so that others are sent more than once at anchors with a whole block of homes alone.
+    """
+    counts = members.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("h")).where((F.col("n") > BLOCK) & (F.col("h") > 0))
+    busy = checkpointed(counts.select("anchor", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(name) for c, name in (("h", "homes"), ("n", "others")))))
     return F.broadcast(busy) if busy.count() <= BROADCAST else busy.hint("merge")
 
 
@@ -161,13 +183,13 @@ def meetings(
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), *(pa.array(x[row]) for x in part), pa.array(home)], ["anchor", *own, "home"])
 
     members = fps.select(*own).mapInArrow(replicate, f"anchor long, {typed}, home boolean")
-    blocks, at_home = F.coalesce("blocks", F.lit(1)), F.col("home").cast("int")
     # Spark takes replicas to be as few as fingerprints; the left side of an outer join is one that it never broadcasts.
-    dealt = members.join(_busy(members), "anchor", "left").withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64(*own), blocks).cast("int")})
+    dealt = members.join(_busy(members), "anchor", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("homes", "others")})
+    part = lambda c: F.pmod(F.xxhash64(*own), F.col(c)).cast("int")
     # Each row goes to every part of the home side and, from home, to every part of the other side.
-    dealt = dealt.withColumn("each", F.explode(F.sequence(F.lit(0), F.col("blocks") * (1 + at_home) - 1)))
-    other = F.col("each") < F.col("blocks")
-    a, b = F.when(other, F.col("each")).otherwise(F.col("own")), F.when(other, F.col("own")).otherwise(F.col("each") - F.col("blocks"))
+    dealt = dealt.withColumn("each", F.explode(F.sequence(F.lit(0), F.col("homes") + F.when(F.col("home"), F.col("others")).otherwise(0) - 1)))
+    other = F.col("each") < F.col("homes")
+    a, b = F.when(other, F.col("each")).otherwise(part("homes")), F.when(other, part("others")).otherwise(F.col("each") - F.col("homes"))
     rows = dealt.select("anchor", a.alias("a"), b.alias("b"), other.cast("int").alias("side"), *own).repartition("anchor", "a", "b").sortWithinPartitions("anchor", "a", "b", "side")
     names = [x.split()[0] for x in shape.split(", ")]
 

@@ -185,3 +185,33 @@ def test_anchors_in_parts(spark, monkeypatch, block, most):
 
     got = {(x.u % (1 << 64), x.v % (1 << 64)) for x in meetings(rows, 3, pairs, "u long, v long").collect()}
     assert got == {(a, b) for a in fps for b in fps if (a ^ b).bit_count() <= 3}
+
+
+@pytest.mark.parametrize("cells", [1, 7, 1 << 18])
+def test_large_groups_are_compared_as_small_ones_are(monkeypatch, cells):
+    from cellweave.llm import simhash as s
+
+    rng = np.random.default_rng(3)
+    sizes = [(3, 5), (1, 40), (0, 6), (30, 20), (4, 0), (2, 2)]
+    keys = np.repeat(np.arange(6), [a + b for a, b in sizes])[:, None]
+    side = np.concatenate([np.r_[np.zeros(a), np.ones(b)] for a, b in sizes])
+    fp = rng.integers(0, 1 << 12, len(side)).astype(np.uint64)
+    want = {(i, j) for i in range(len(fp)) for j in range(len(fp)) if keys[i] == keys[j] and side[i] < side[j] and int(fp[i] ^ fp[j]).bit_count() <= 3}
+    monkeypatch.setattr(s, "CELLS", cells)
+    for square in (1, 30, 1 << 14):
+        monkeypatch.setattr(s, "SQUARE", square)
+        got = [(int(i), int(j)) for x in s._near(keys, side, fp, 3) for i, j in zip(*x)]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_what_busy_anchors_send_grows_with_their_members(spark, monkeypatch):
+    """One member in 44 of an anchor is at home: twice the fingerprints are about twice the rows sent, not four times."""
+    from cellweave.llm import simhash as s
+
+    monkeypatch.setattr(s, "BLOCK", 4)
+    sent, dealt = [], type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda rows, *by: sent.append(rows.count()) or dealt(rows, *by))
+    for n in (600, 1200):
+        fps = spark.range(n).select(F.xxhash64("id").alias("fp"))
+        meetings(fps, 11, lambda anchor, i, j, of: iter(()), "u long")
+    assert 1.9 * sent[0] < sent[1] < 2.3 * sent[0]
