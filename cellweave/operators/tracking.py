@@ -189,16 +189,22 @@ def apply_mappers(df: DataFrame, first: DataFrame, second: DataFrame | None = No
 
     Negative ids stay.
     """
-    out = df
-    if deleted is not None:
-        gone = deleted.select("frame_i", F.col("label").alias("Cell_ID")).distinct()
-        out = out.join(gone, ["frame_i", "Cell_ID"], "left_anti")
-    both = first.withColumn("__rank", F.lit(1))
+    named = lambda m, rank: m.select("frame_i", "label", F.col("new_label"), F.lit(rank).alias("__rank"))
+    both = named(first, 1)
     if second is not None:
-        both = both.unionByName(second.withColumn("__rank", F.lit(2)))
-    one = both.groupBy("frame_i", "label").agg(F.min_by("new_label", "__rank").alias("__new"))
-    # A frame's changes as one map, so that all columns of ids change in one join.
-    maps = one.groupBy("frame_i").agg(F.map_from_entries(F.collect_list(F.struct("label", "__new"))).alias("__map"))
-    joined = out.join(maps, "frame_i", "left")
-    new = lambda c: F.coalesce(F.when(col(c) >= 0, F.try_element_at("__map", col(c).cast("long"))), col(c))
-    return joined.select(*(new(c).alias(c) if c in ID_COLUMNS else col(c) for c in df.columns))
+        both = both.unionByName(named(second, 2))
+    if deleted is not None:
+        both = both.unionByName(named(deleted.withColumn("new_label", F.lit(None).cast(first.schema["new_label"].dataType)), None))
+    one = both.groupBy(F.col("frame_i").alias("__frame"), F.col("label").alias("__label")).agg(F.min_by("new_label", "__rank").alias("__new"), F.max(F.col("__rank").isNull()).alias("__gone"))
+    # A join for each column of ids: a frame's changes are as many as it has objects, too many to go along with every row.
+    out, ids = df, [c for c in df.columns if c in ID_COLUMNS]
+    rest = -1 - F.pmod(F.xxhash64(*map(col, ids)), F.lit(1 << 20))  # what finds nothing, each in a place of its own
+    for k, c in enumerate(ids):
+        found = (one if c == "Cell_ID" else one.where("__label >= 0")).withColumnRenamed("__new", f"__new{k}")
+        keyed = out.withColumn("__key", F.coalesce(col(c).cast("long") if c == "Cell_ID" else F.when(col(c) >= 0, col(c).cast("long")), rest))
+        out = keyed.join(found, (keyed["frame_i"] == found["__frame"]) & (keyed["__key"] == found["__label"]), "left")
+        if c == "Cell_ID":
+            out = out.where(~F.coalesce(F.col("__gone") & (col(c) == F.col("__label")), F.lit(False)))
+        out = out.drop("__frame", "__label", "__key", "__gone")
+    new = {c: F.coalesce(F.when(col(c) >= 0, F.col(f"__new{k}")), col(c)).alias(c) for k, c in enumerate(ids)}
+    return out.select(*(new.get(c, col(c)) for c in df.columns))

@@ -90,3 +90,18 @@ def test_a_tree_added_to_a_table(spark):
     assert (out[2].sister_ID_tree, out[2].sister_ID_tree_1, out[1].sister_ID_tree) == (3, 4, -1) and "sister_ID_tree_2" not in out[2].asDict()
     back = {r.Cell_ID: r.sisters for r in L.build(forests.add_tree(df)).collect()}
     assert back == {1: [], 2: [3, 4], 3: [2, 4], 4: [2, 3]}
+
+
+def test_mappers_of_a_full_frame_meet_rows_by_id(spark):
+    """No row carries all changes of its frame; ids that are missing, negative or not named stay."""
+    ids = "frame_i long, Cell_ID long, relative_ID double, parent_ID_tree int"
+    rows = [(f, c, float(c + 1) if c % 3 else -1.0, None if c % 5 == 0 else c - 7) for f in (0, 1) for c in range(300)]
+    first = {(0, c): c + 1000 for c in range(0, 300, 2)} | {(1, 4): 6, (1, 6): 4, (0, -1): 77}
+    second = {(0, c): 5 for c in range(0, 300, 3)}
+    table = lambda m: spark.createDataFrame([(f, c, n) for (f, c), n in m.items()], "frame_i long, label long, new_label long")
+    gone = spark.createDataFrame([(0, 8), (1, 299)], "frame_i long, label long")
+    out = tracking.apply_mappers(spark.createDataFrame(rows, ids), table(first), table(second), gone)
+    both = second | first
+    new = lambda f, c: c if c is None or c < 0 else both.get((f, c), c)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(((f, new(f, c), new(f, r), new(f, p)) for f, c, r, p in rows if (f, c) not in ((0, 8), (1, 299))), key=str)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
