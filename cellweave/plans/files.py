@@ -81,9 +81,7 @@ def typed_image_round_trip(spark, d):
     folder = scratch(spark)
     R.save_files(_named(R.encode_images(table(spark, d, "scenes"), (7, 48, 48), ["position"], dtype="uint8"), "exp_gfp.tif"), "name", folder)
     planes = R.read_planes(spark, f"{folder}/*/Images/exp_gfp.tif", size_t=7, range_bytes=1 << 12)
-    pixels = R.pixels_of(planes).where("value <> 0").withColumn("dtype", F.lit(None).cast("string"))
-    kinds = planes.select("path", "frame_i", F.col("dtype").alias("__kind"))
-    out = pixels.join(kinds, ["path", "frame_i"]).withColumn("dtype", F.col("__kind"))
+    out = R.pixels_of(planes, keep=["dtype"]).where("value <> 0")
     return _position(out).select("position", "frame_i", "y", "x", F.col("value").cast("long").alias("value"), "dtype")
 
 

@@ -250,10 +250,13 @@ def read_planes(spark: SparkSession, path: str | list[str] | DataFrame, size_t:
     return _read_whole(spark, path, size_t, size_z)
 
 
-def pixels_of(planes: DataFrame, column: str = "value") -> DataFrame:
-    """A row per pixel."""
-    rows = planes.select("path", "name", "frame_i", "z", "width", F.posexplode("data").alias("i", column))
-    return rows.select("path", "name", "frame_i", "z", F.floor(F.col("i") / F.col("width")).alias("y"), (F.col("i") % F.col("width")).cast("long").alias("x"), column)
+def pixels_of(planes: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """A row per pixel, with the columns ``keep`` of its plane.
+
+    Spark takes pixels to be as few as planes: do not join them with what it may set beside them as small, but keep what is needed.
+    """
+    rows = planes.select("path", "name", "frame_i", "z", "width", *keep, F.posexplode("data").alias("i", column))
+    return rows.select("path", "name", "frame_i", "z", F.floor(F.col("i") / F.col("width")).alias("y"), (F.col("i") % F.col("width")).cast("long").alias("x"), column, *keep)
 
 
 def labels_of(planes: DataFrame) -> DataFrame:

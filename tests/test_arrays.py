@@ -145,3 +145,11 @@ def test_free_hand_regions(spark, tmp_path):
     np.savez(tmp_path / "b.npz", wrong=np.ones((2, 2), bool))
     with pytest.raises(Exception, match="not the box of a region"):
         R.freehand_pixels(R.read_planes(spark, str(tmp_path / "b.npz"))).collect()
+
+
+def test_pixels_keep_their_planes_type_without_meeting_the_planes_again(spark):
+    """As many pixels as a table has were broadcast to meet the types of their planes."""
+    from cellweave.plans.files import typed_image_round_trip
+
+    out = typed_image_round_trip(spark, "/root/testdata/sf0.001")
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString() and {r.dtype for r in out.collect()} == {"uint8"}
