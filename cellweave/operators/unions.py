@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellweave.session import checkpointed
 
 
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of the nodes 0 to ``n`` - 1 of a task the smallest that it is connected with over the edges ``a``-``b``."""
+    root = np.arange(n)
+    while len(a):
+        x, y = root[a], root[b]
+        a, b, x, y = (v[x != y] for v in (a, b, x, y))
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+    return root
+
+
 def united(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of every node of the edges ``(u, v)``, longs: the smallest node that it is connected with.
 

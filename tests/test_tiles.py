@@ -67,3 +67,18 @@ def test_holes_over_tiles(spark, tile):
     labels = plane(spark, ragged, nested, nested.max() - nested)
     whole = planes.fill_holes(labels).collect()
     assert sorted(map(tuple, tiles.fill_holes(labels, tile=tile).collect())) == sorted((r.frame_i, r.y, r.x, r.label) for r in whole)
+
+
+def test_labels_that_fit_a_tile_are_filled_whole(spark, monkeypatch):
+    """Thousands of small labels took a task's call for each of them and tile; they are filled together, in batches that cut labels."""
+    rng = np.random.default_rng(5)
+    rows = [(f, 12 * (k % 4) + y, 12 * (k // 4) + x, k + 1) for f in range(6) for k in range(16) for y, x in np.argwhere(rng.random((12, 12)) < 0.55).tolist()]
+    labels = spark.createDataFrame(rows, "frame_i long, y long, x long, label long")
+    monkeypatch.setattr(tiles, "parts", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = tiles.fill_holes(labels, tile=16).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = planes.fill_holes(labels).collect()
+    assert len(got) > len(rows) and sorted((r.frame_i, r.y, r.x, r.label) for r in got) == sorted((r.frame_i, r.y, r.x, r.label) for r in whole)
