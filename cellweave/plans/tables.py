@@ -13,6 +13,7 @@ from cellweave.operators.order import numbered
 from cellweave.operators import phases as P
 from cellweave.operators import relatives as R
 from cellweave.plans.adapters import oracle, table
+from cellweave.session import checkpointed
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 AT = ("position", "frame_i", "Cell_ID")
@@ -155,7 +156,8 @@ def add_missing_columns(spark: SparkSession, d: str) -> DataFrame:
       THEN 0 ELSE z.will_divide END AS will_divide,
     CASE WHEN corrected_assignment > 0 THEN min(frame_i) OVER (PARTITION BY position, Cell_ID, run) ELSE -1 END AS corrected_on_frame_i, 0 AS is_cell_excluded FROM z""")
 def ensure_compat(spark: SparkSession, d: str) -> DataFrame:
-    old = _with_mothers(spark, d).drop("will_divide").withColumn("index", F.lit(9))
+    # A small part of the objects has its relative in the frame: found once, not for every pass over the table.
+    old = checkpointed(_with_mothers(spark, d).drop("will_divide", "cell_vol_fl", "cell_area_um2", "GFP_corrected_amount", "GFP_raw_sum")).withColumn("index", F.lit(9))
     twice = old.unionByName(old.where("frame_i = 2").withColumns({"_row_id": F.col("_row_id") + 10**9, "generation_num": F.lit(7).cast("long")}))
     return A.ensure_compatible(twice).select(*AT, "will_divide", "corrected_on_frame_i", "is_cell_excluded")
 

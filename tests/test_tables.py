@@ -214,3 +214,11 @@ def test_natural_order(spark):
     names = ["Position_10", "Position_2", "Position_02", "position_1"]
     df = spark.createDataFrame([(n,) for n in names], "name string")
     assert [x[0] for x in df.orderBy(C.natural_key("name"), "name").collect()] == ["position_1", "Position_02", "Position_2", "Position_10"]
+
+
+def test_objects_with_mothers_are_found_once(spark):
+    """Every pass of the repairs joined all of lineitem with itself again."""
+    from cellweave.plans.tables import ensure_compat
+
+    out = ensure_compat(spark, "/root/testdata/sf0.001")
+    assert "Relation" not in out._jdf.queryExecution().optimizedPlan().toString()
