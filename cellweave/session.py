@@ -50,7 +50,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     before = conf.get(_CLEANUP, "false")
     conf.set(_CLEANUP, "true")
     try:
-        return df.checkpoint(eager=True)
+        return df.select("*").checkpoint(eager=True)  # a query of its own, as the setting is read when one is made
     finally:
         conf.set(_CLEANUP, before)
 
